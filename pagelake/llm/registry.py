@@ -1,11 +1,14 @@
 """The queries of this subpackage by name, and their DuckDB counterparts where SQL expresses them."""
 
-from . import decontaminate, mixing
+from . import decontaminate, jaccard_join, mixing, secrets
 
 QUERIES = {
     "op2_benchmark_decontamination": decontaminate.op2,
+    "op5_ngram_jaccard_join": jaccard_join.op5,
+    "op8_secret_scan": secrets.op8,
     "op10_source_mixing": mixing.op10,
 }
 ORACLE_SQL = {
     "op2_benchmark_decontamination": decontaminate.OP2_SQL,
+    "op8_secret_scan": secrets.OP8_SQL,
 }

@@ -1,11 +1,12 @@
 """The queries of this subpackage by name, and their DuckDB counterparts where SQL expresses them."""
 
-from . import decontaminate, jaccard_join, mixing, secrets
+from . import decontaminate, jaccard_join, mixing, secrets, toxicity
 
 QUERIES = {
     "op2_benchmark_decontamination": decontaminate.op2,
     "op5_ngram_jaccard_join": jaccard_join.op5,
     "op8_secret_scan": secrets.op8,
+    "op9_toxicity_string_kernel": toxicity.op9,
     "op10_source_mixing": mixing.op10,
 }
 ORACLE_SQL = {

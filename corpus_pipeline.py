@@ -1,4 +1,57 @@
-"""The training-data pipeline (being built): see STAGES."""
+"""From raw documents to a training mix.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but the last return the columns
+of `documents`. A runner may write each stage's result as Parquet and read it again for the next one; `run` does so in
+the folder that the cluster shares.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from pagelake.llm import decontaminate, jaccard_join, mixing, secrets, toxicity
+from pagelake.llm.common import written
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity machine, trained on the labels, rejects are gone."""
+    return toxicity.clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    return jaccard_join.one_of_each(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of the benchmark are gone."""
+    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; its secrets are replaced by a mark."""
+    return secrets.redacted(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The training mix: a row for each document's part of each block drawn."""
+    return mixing.mixed_pieces(docs)
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("ngram_jaccard_join", one_of_each),
+    ("benchmark_decontamination", decontaminated),
+    ("secret_scan", without_secrets),
+    ("source_mixing", mixed),
+]
+
+#: Training a machine is not SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,15 +1,23 @@
 """The queries of this subpackage by name, and their DuckDB counterparts where SQL expresses them."""
 
-from . import decontaminate, jaccard_join, mixing, secrets, toxicity
+import corpus_pipeline
+
+from . import decontaminate, hnsw, jaccard_join, mixing, quality, secrets, suffixes, toxicity
 
 QUERIES = {
+    "op1_hnsw_neighbours": hnsw.op1,
     "op2_benchmark_decontamination": decontaminate.op2,
     "op5_ngram_jaccard_join": jaccard_join.op5,
+    "op6_quality_line_field": quality.op6,
+    "op7_suffix_merge_dedup": suffixes.op7,
     "op8_secret_scan": secrets.op8,
     "op9_toxicity_string_kernel": toxicity.op9,
     "op10_source_mixing": mixing.op10,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {
     "op2_benchmark_decontamination": decontaminate.OP2_SQL,
     "op8_secret_scan": secrets.OP8_SQL,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

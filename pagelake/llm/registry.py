@@ -2,11 +2,13 @@
 
 import corpus_pipeline
 
-from . import decontaminate, hnsw, jaccard_join, mixing, quality, secrets, suffixes, toxicity
+from . import decontaminate, hnsw, jaccard_join, licences, mixing, pii, quality, secrets, suffixes, toxicity
 
 QUERIES = {
     "op1_hnsw_neighbours": hnsw.op1,
     "op2_benchmark_decontamination": decontaminate.op2,
+    "op3_pii_pseudonyms": pii.op3,
+    "op4_licence_scan": licences.op4,
     "op5_ngram_jaccard_join": jaccard_join.op5,
     "op6_quality_line_field": quality.op6,
     "op7_suffix_merge_dedup": suffixes.op7,

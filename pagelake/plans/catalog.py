@@ -1,4 +1,6 @@
 """Every query of the retrieval engine by name, with its DuckDB counterpart."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import queries_search, queries_state
+
+QUERIES = queries_search.QUERIES | queries_state.QUERIES
+ORACLE_SQL = queries_search.ORACLE_SQL | queries_state.ORACLE_SQL

@@ -32,6 +32,37 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Texts are long, so Arrow batches of them are bounded by bytes (unless the session says how) and stay far below a worker's memory."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
+def rows_of(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text): whole rows beside what operators read, so that no other column's name can clash with theirs."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
+
+
+def as_before(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of `docs` again, with the `text` of `df`."""
+    return df.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """`docs` but for rows whose doc_id `gone` has as `gone_id`."""
+    return as_before(rows_of(docs).join(few(gone), F.col("doc_id") == F.col("gone_id"), "left_anti"), docs)
+
+
+#: Ids are broadcast up to this many (16 bytes each), else joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """A table of ids, written, and marked for broadcast if it is no longer than BROADCAST_IDS."""
+    ids = written(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else, so that the result doesn't depend on a locale or Unicode version."""
     return F.translate(text, UPPER, LOWER)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORD, ascii_lower, words_of
+from .common import ALNUM_WORD, as_before, ascii_lower, rows_of, without, words_of
 
 #: The set of windows is broadcast up to this many rows (some 100 bytes each); a larger one is joined by shuffle.
 BROADCAST_WINDOWS = 1_000_000
@@ -63,15 +63,15 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, mode: str
 
     Columns stay as they are. A document id that is null is kept (it can't be traced to a hit row).
     """
-    found = contamination(docs, benchmark, n).where("n_hit > 0").select(F.col("doc_id").alias("_hit_id"), F.col("positions").alias("_hit_at"))
+    found = contamination(docs, benchmark, n).where("n_hit > 0").select(F.col("doc_id").alias("gone_id"), F.col("positions").alias("hit_at"))
     if mode == "documents":
-        return docs.join(found.select("_hit_id"), F.col("doc_id") == F.col("_hit_id"), "left_anti")
+        return without(docs, found.select("gone_id"))
     pieces = F.regexp_extract_all("text", F.lit(f"({ALNUM_WORD}|[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+)"), F.lit(1))
-    joined = docs.join(found, F.col("doc_id") == F.col("_hit_id"), "left").withColumn("_pieces", pieces)
     # Words and gaps alternate: the i-th piece is word i / 2, or (i - 1) / 2 where the text begins with a gap.
     first = F.when(F.col("text").rlike(f"^{ALNUM_WORD}"), 0).otherwise(1)
-    kept = F.expr("array_join(filter(_pieces, (p, i) -> pmod(i - _first, 2) = 1 OR NOT array_contains(_hit_at, cast((i - _first) div 2 AS int))), '')")
-    return joined.withColumn("_first", first).withColumn("text", F.when(F.col("_hit_id").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    joined = rows_of(docs).join(found, F.col("doc_id") == F.col("gone_id"), "left").withColumn("pieces", pieces).withColumn("first", first)
+    kept = F.expr("array_join(filter(pieces, (p, i) -> pmod(i - first, 2) = 1 OR NOT array_contains(hit_at, cast((i - first) div 2 AS int))), '')")
+    return as_before(joined.withColumn("text", F.when(F.col("gone_id").isNull(), F.col("text")).otherwise(kept)), docs)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

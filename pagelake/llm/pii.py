@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import as_before, rows_of
+
 KINDS = ("email", "card", "phone", "ssn", "date", "ip")
 _NOT_BEFORE, _NOT_AFTER = r"(?<![A-Za-z0-9.+-])", r"(?![A-Za-z0-9]|[.-][0-9])"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
@@ -109,7 +111,7 @@ def _kind(v: str) -> str:
 def pseudonymised(docs: DataFrame, key: str = "pagelake", found: bool = False) -> DataFrame:
     """`docs` with pseudonyms in `text`. found: also `_found`, array<struct<k, start, end>> of what was replaced (code points of the old text)."""
     hits = F.regexp_extract_all(F.col("text"), F.lit(ANY), F.lit(0))
-    with_hits = docs.withColumn("_hits", F.when(F.col("text").rlike("[0-9@]"), hits))
+    with_hits = rows_of(docs).withColumn("_hits", F.when(F.col("text").rlike("[0-9@]"), hits))
     kinds = with_hits.withColumn("_hits", F.expr(f"transform(_hits, v -> struct({_kind('v')} AS k, v AS v))"))
     some = "size(_hits) > 0 AND exists(_hits, h -> h.k IS NOT NULL)"
     gaps = F.split("text", ANY, -1)
@@ -120,7 +122,9 @@ def pseudonymised(docs: DataFrame, key: str = "pagelake", found: bool = False) -
         'found', if(_hits[i].k IS NULL, a.found, concat(a.found, array(named_struct('k', _hits[i].k, 'start', a.at + length(_gaps[i]), 'end', a.at + length(_gaps[i]) + length(_hits[i].v)))))), a -> a.found)"""
     out = out.withColumn("_found", F.expr(f"if(_gaps IS NULL, cast(array() AS array<struct<k: int, start: int, end: int>>), {spans})"))
     out = out.withColumn("text", F.expr(f"if(_gaps IS NULL, text, array_join({pieces}, ''))"))
-    return out.select(*docs.columns, *(["_found"] if found else []))
+    if not found:
+        return as_before(out, docs)
+    return as_before(out.withColumn("row", F.struct("row.*", "_found")), docs.withColumn("_found", F.lit(None)))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

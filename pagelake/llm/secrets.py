@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import as_before, rows_of, written
 
 
 def _either_case(word: str) -> str:
@@ -86,8 +86,8 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", example_owners: int = 3) -
          concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).start AS start, greatest(s.end, element_at(a, -1).end) AS end))), concat(a, array(s))))"""
     pieces = f"""concat(transform(_m, (m, i) -> concat(substring(text, if(i = 0, 0, _m[i - 1].end) + 1, m.start - if(i = 0, 0, _m[i - 1].end)), '{mark}')),
       array(substring(text, element_at(_m, -1).end + 1)))"""
-    joined = docs.join(spans.withColumn("_m", F.expr(merge)), F.col("doc_id") == F.col("_d"), "left")
-    return joined.withColumn("text", F.when(F.col("_d").isNull(), F.col("text")).otherwise(F.expr(f"array_join({pieces}, '')"))).select(*docs.columns)
+    joined = rows_of(docs).join(spans.withColumn("_m", F.expr(merge)), F.col("doc_id") == F.col("_d"), "left")
+    return as_before(joined.withColumn("text", F.when(F.col("_d").isNull(), F.col("text")).otherwise(F.expr(f"array_join({pieces}, '')"))), docs)
 
 
 def _listed(spans: Column) -> Column:

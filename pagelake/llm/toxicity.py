@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import LOWER, pieces, texts_of
-from .common import ascii_lower, written
+from .common import ascii_lower, small_batches, without, written
 
 ORDER, DECAY = 3, 0.7
 LANDMARKS = 48
@@ -162,7 +162,7 @@ def sentence_features(column: pa.Array, marks: Landmarks) -> Iterator[tuple[int,
             if b - a >= 4:
                 words.append(_letters(raw[starts[a] : ends[b - 1]]))
                 at = np.append(at, a)
-        if not len(words):
+        if not words or not marks.words:
             yield first, past, counts, *none
             continue
         values = marks.of(words)
@@ -293,6 +293,7 @@ def landmark_words(training: DataFrame) -> list[bytes]:
 
 
 def train(docs: DataFrame, labels: DataFrame, rounds: int = 2) -> Model:
+    small_batches(docs.sparkSession)
     training = training_rows(docs, labels)
     words = landmark_words(training)
     model = Model(words)
@@ -336,8 +337,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """`docs` without those whose score is `threshold` or more; all columns as they are."""
-    toxic = scored(docs, train(docs, labels)).where(F.col("score") >= threshold).select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(toxic, F.col("doc_id") == F.col("_d"), "left_anti")
+    toxic = scored(docs, train(docs, labels)).where(F.col("score") >= threshold)
+    return without(docs, toxic.select(F.col("doc_id").alias("gone_id")).distinct())
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

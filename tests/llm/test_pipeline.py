@@ -1,0 +1,28 @@
+"""The pipeline against plain versions of its stages; toxicity by the scores of the same model."""
+
+import corpus_pipeline
+from pagelake.llm import mixing, secrets, toxicity
+from tests.llm import brute
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_run_equals_the_stages_by_brute_force(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    scores = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, toxicity.train(docs, labels)).collect()}
+    rows = {r["doc_id"]: r["text"] for r in docs.collect() if scores[r["doc_id"]] < 0.5}
+    groups = brute.near_duplicates(list(rows.items()))
+    rows = {d: t for d, t in rows.items() if groups[d][1] == d}
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    bad = brute.contaminated(list(rows.items()), items)
+    left = docs.where(docs.doc_id.isin([d for d in rows if d not in bad]))
+    wanted = mixing.mixed_pieces(secrets.redacted(left))
+    got = corpus_pipeline.run(spark, SF)
+    key = ("doc_id", "block_id", "epoch", "offset", "piece", "n_words")
+    assert sorted(tuple(r[k] for k in key) for r in got.collect()) == sorted(tuple(r[k] for k in key) for r in wanted.collect())
+
+
+def test_stages_keep_the_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, SF).columns == docs.columns

@@ -1,6 +1,6 @@
 """Every query of the retrieval engine by name, with its DuckDB counterpart."""
 
-from . import queries_search, queries_state
+from . import queries_runs, queries_search, queries_state
 
-QUERIES = queries_search.QUERIES | queries_state.QUERIES
-ORACLE_SQL = queries_search.ORACLE_SQL | queries_state.ORACLE_SQL
+QUERIES = queries_search.QUERIES | queries_state.QUERIES | queries_runs.QUERIES
+ORACLE_SQL = queries_search.ORACLE_SQL | queries_state.ORACLE_SQL | queries_runs.ORACLE_SQL

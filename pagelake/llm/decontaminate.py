@@ -5,7 +5,8 @@ or all words of an item that has fewer. Each document makes its windows as text,
 comparing the words themselves; only hits and one marker row a document leave the scan, pre-aggregated.
 
 Null or empty texts have no words and no hits. Items without words have no window. Repeated items, repeated windows
-and ties count as they stand: `n_items` counts item ids. Extra columns of either table are not read.
+and ties count as they stand: `n_items` counts item ids. Rows that repeat a doc_id and its number of words give one row
+with the hits of all. Extra columns of either table are not read.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@
 4. Slot k of a source takes block p(k mod N), p a keyed affine permutation of its N blocks; every N slots a new epoch
    begins. As slots never exceed 2 N, no block, hence no document, is used more than twice. Blocks join by index.
 
-Null texts have size 0 and are never taken; a source of null is a source like any other, ordered last. Empty tables
+Null texts have size 0 and are never taken; rows without doc_id take no part and give no row; a source of null is a source like any other, ordered last. Empty tables
 give no rows. Repeated document ids are told apart by nothing: the ids must be unique, as `documents` has them.
 Extra columns are not read. Only integer arithmetic and xxhash64 are used, so reruns agree.
 """
@@ -34,7 +34,7 @@ def block_words(total: int) -> int:
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.size(words_of(F.col("text"), SPACE_WORD)).cast("long").alias("size"))
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "source", F.size(words_of(F.col("text"), SPACE_WORD)).cast("long").alias("size"))
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, total: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -72,8 +72,8 @@ def packed(sized: DataFrame, rows: int, seed: int = 0) -> DataFrame:
     return joined.select(*sized.columns, (F.col("_start") + F.col("_run")).alias("offset"))
 
 
-def drawn_blocks(targets: DataFrame, block: int, shard_slots: int = 1024, seed: int = 0) -> DataFrame:
-    """(source, block_id, epoch, shard, slot): the blocks of the mix, one row a use."""
+def drawn_blocks(targets: DataFrame, block: int, words: int, shard_slots: int = 1024, seed: int = 0) -> DataFrame:
+    """(source, block_id, epoch, shard, slot): the blocks of the mix, one row a use. words: of the mix, about."""
     n = F.ceil(F.col("source_size") / F.lit(block)).cast("long")
     # A target in words becomes slots by the mean block of the source, whose last block may be short.
     slots = F.least(F.round(F.col("target") * n / F.col("source_size")).cast("long"), 2 * n)
@@ -84,7 +84,8 @@ def drawn_blocks(targets: DataFrame, block: int, shard_slots: int = 1024, seed:
     primes = F.expr("filter(array(2147483647L, 1000000007L, 998244353L, 104729L, 7919L, 1L), p -> n % p <> 0 OR p = 1)")
     per = per.select("source", "n", "slots", start.alias("b"), F.element_at(primes, 1).alias("a"), key.alias("key"))
     ranges = per.withColumn("from", F.explode_outer(F.expr("sequence(0L, slots - 1, 65536L)")))
-    each = ranges.repartition("source", "from").withColumn("k", F.explode_outer(F.expr("sequence(`from`, least(`from` + 65535, slots - 1))")))
+    # With a number, Spark doesn't put these few rows, which become many, into one task.
+    each = ranges.repartition(max(4, words // block // 65536), "source", "from").withColumn("k", F.explode_outer(F.expr("sequence(`from`, least(`from` + 65535, slots - 1))")))
     total = per.agg(F.greatest(F.lit(1), F.ceil(F.sum("slots") / F.lit(shard_slots))).cast("long").alias("shards"))
     each = each.crossJoin(F.broadcast(total))  # one row
     epoch = F.expr("k div n")
@@ -103,7 +104,7 @@ def mixture(docs: DataFrame, weights=WEIGHTS, total: float = 1.5, most: float =
     rows, words = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     targets = written(source_targets(sized, weights, total, most).coalesce(1))
     block = block_words(words)
-    return packed(sized, rows, seed), targets, drawn_blocks(targets, block, seed=seed), block
+    return packed(sized, rows, seed), targets, drawn_blocks(targets, block, int(words * total), seed=seed), block
 
 
 def taken_words(docs: DataFrame, weights=WEIGHTS, total: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:

@@ -6,7 +6,7 @@ that one owner alone has looks live and is added as a span of kind `live`, one t
 have is an example that people copy. Base spans stay whatever the counts say; the counts are reported with them.
 
 Repository: the column `source`; owner: what stands before its first "/", or all of it. A null source counts as one
-repository of its own. Null or empty texts have no spans. Repeated rows give equal rows; repeated document ids share
+repository of its own. Null or empty texts, and rows without doc_id, have no spans. Repeated rows give equal rows; repeated document ids share
 their spans' counts. Extra columns are kept by `redacted` and not read by `scan`.
 """
 
@@ -65,7 +65,7 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame, example_owners: int = 3) -> DataFrame:
     """One row for each row of `docs`: doc_id, base, spans (array<struct<start, kind, end, repositories, owners>>), n_live, n_example."""
-    found = written(candidates(docs))
+    found = written(candidates(docs.withColumn("text", F.when(F.col("doc_id").isNotNull(), F.col("text")))))
     each = found.select("doc_id", "repository", "owner", F.explode(F.concat("base", "runs")).alias("s"))
     # Distinct first, so that a secret in a million documents leaves each task once.
     seen = each.select(F.col("s.value").alias("value"), "repository", "owner").distinct()

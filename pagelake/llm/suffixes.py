@@ -15,7 +15,7 @@ document). Sorting every suffix of a corpus moves many times its size, so only s
    looked up by what is left and right of the anchor, only as far as the common prefixes reach.
 4. The spans found meet their documents, which are cut.
 
-Texts are UTF-8 bytes; null is empty. Texts below LENGTH bytes lose nothing. Repeated document ids: each row is cut by
+Texts are UTF-8 bytes; null is empty. Texts below LENGTH bytes and rows without doc_id lose nothing. Repeated document ids: each row is cut by
 the spans of all rows of the id, so ids should be unique. Empty tables give no rows; extra columns are not read.
 """
 
@@ -256,7 +256,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """(doc_id, start, end): bytes that are repeated from earlier; a document's spans may overlap, and end past its text."""
     small_batches(docs.sparkSession)
-    texts = docs.selectExpr("cast(doc_id AS long) AS doc_id", "text").where("octet_length(text) >= 100")
+    texts = docs.selectExpr("cast(doc_id AS long) AS doc_id", "text").where("octet_length(text) >= 100 AND doc_id IS NOT NULL")
     rows = texts.mapInArrow(_anchors, "gram long, context long, doc_id long, at int")
     met = written(rows.repartition("gram").sortWithinPartitions("gram", "context", "doc_id", "at").mapInArrow(_met, "doc_id long, at int, gram long, first boolean"))
     whole = met.where("NOT first").select("doc_id", F.greatest(F.col("at") - LEFT, F.lit(0)).alias("start"), (F.col("at") + LENGTH).alias("end"))

@@ -8,14 +8,16 @@ Two texts link when the Jaccard similarity of their sets of five-word shingles i
 3. A set of n shingles needs o = ceil(0.75 n) of them in any partner. Its prefix of length n - o + l shares l shingles
    or more with the prefix of every partner (the larger l of the two taken down to the smaller). Documents begin with
    l = 1; the estimated cost of a prefix is the sum of its frequencies, and l grows with its excess over one a shingle.
-4. Components need connections, not all pairs. A round takes each shingle's first document as pivot and verifies each
+4. Components need connections, not all pairs. A round takes a document of each shingle as pivot and verifies each
    document against the pivot it shares most with. Rounds go on while shingles join documents of different components
    at a high count of pairs; then every pair that is left, in different components and sharing as many prefix
    shingles as its smaller l, is verified. So no link between different components is lost.
 5. Verification intersects the whole sets; it streams the documents of a pivot past the pivot's set.
 
-Null or empty texts have an empty set and link with nothing, not with each other. Repeated rows are exact copies.
-Extra columns are not read by `near_duplicates` and kept by `one_of_each`.
+Null or empty texts have an empty set and link with nothing, not with each other. Repeated rows are exact copies; a
+repeated doc_id with different texts is not told apart, so ids should be unique. Rows without doc_id take no part: they
+have no row in `near_duplicates`, and `one_of_each` keeps them. An empty table gives no rows. Extra columns are not read
+by `near_duplicates` and kept by `one_of_each`.
 """
 
 from __future__ import annotations
@@ -29,29 +31,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import U, shingle_sets
-from .common import components, written
+from .common import BROADCAST_IDS, components, small_batches, without, written
 
 PERCENT, WORDS = 75, 5
 #: Shingles whose frequency is told to every task (16 bytes each), and the least such frequency.
 HOT, HOT_DF = 500_000, 16
 #: The longest a prefix is lengthened by, in shingles and matches.
 MOST_MATCHES = 8
-#: Ids of documents are broadcast up to this many, else joined by shuffle.
-BROADCAST_IDS = 1_000_000
 #: Documents that one pivot's partition verifies; more are salted.
 ROWS_A_PIVOT = 1_000
+#: Rounds of pivots end when so few pairs of different components are left to look at, or a round finds hardly a link.
+PAIRS_A_DOCUMENT = 1
 #: Bytes of text whose shingles make up one hash range, which one task sorts at a time.
 RANGE_BYTES = 16 << 20
-SHIFT = U(16)  # hashes are exchanged and compared as 48 bits
+#: Hashes are 48 bits in rows and 40 where whole sets are packed, to be counted or intersected.
+ROW_SHIFT, SHIFT = U(16), U(24)
 
 
 def _packed(tokens: np.ndarray) -> bytes:
-    return np.ascontiguousarray((tokens >> SHIFT).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    return np.ascontiguousarray((tokens >> SHIFT).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
-    wide = np.zeros((len(blob) // 6, 8), dtype=np.uint8)
-    wide[:, :6] = np.frombuffer(blob, dtype=np.uint8).reshape(-1, 6)
+    wide = np.zeros((len(blob) // 5, 8), dtype=np.uint8)
+    wide[:, :5] = np.frombuffer(blob, dtype=np.uint8).reshape(-1, 5)
     return wide.view(U).ravel()
 
 
@@ -61,7 +64,7 @@ def _needed(n: np.ndarray | int):
 
 
 def _ranges(ranges: int):
-    """For mapInArrow over (text): sorted 48-bit hashes of the texts' shingles, once for each text that has them, by hash range."""
+    """For mapInArrow over (text): sorted hashes of the texts' shingles, once for each text that has them, by hash range."""
     width = -(-(1 << 64) // ranges)
 
     def out(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -76,7 +79,7 @@ def _ranges(ranges: int):
             for tokens in shingle_sets(batch.column("text"), WORDS):
                 held.append(tokens)
                 size += len(tokens)
-                if size > 2_000_000:
+                if size > 1_000_000:
                     yield out(held)
                     held, size = [], 0
         if size:
@@ -112,73 +115,73 @@ def frequencies(docs: DataFrame, text_bytes: int) -> DataFrame:
 
 
 def _prefixes(hot):
-    """For mapInArrow over (doc_id, text): a row for each shingle of each document's adaptive prefix."""
+    """For mapInArrow over (doc_id, text): a row for each shingle of each document's adaptive prefix, and one with its size and l."""
+    def of_document(doc: int, tokens: np.ndarray, known: np.ndarray, df_of: np.ndarray) -> tuple:
+        n = len(tokens)
+        df = np.ones(n, dtype=np.int64)
+        if len(known) and n:
+            short = tokens >> SHIFT
+            at = np.minimum(np.searchsorted(known, short), len(known) - 1)
+            df = np.where(known[at] == short, df_of[at], 1)
+        order = np.lexsort((tokens, df))
+        shortest = n - _needed(n) + 1 if n else 0
+        cost = float(df[order[:shortest]].sum()) / max(shortest, 1)
+        matches = int(min(1 + math.log2(max(cost, 1.0)) // 2, MOST_MATCHES, 1 + shortest // 8))
+        taken = (tokens[order[: shortest + matches - 1]] >> ROW_SHIFT).view(np.int64) if n else np.zeros(0, np.int64)
+        none = np.full(len(taken), -1)
+        # The row with the sizes has a token of its own, so that it is dealt out like any other.
+        own = -doc - 1 if doc >= 0 else doc
+        return np.full(len(taken) + 1, doc), np.append(taken, own), np.arange(len(taken) + 1), np.append(none, n), np.append(none, matches)
+
+    def rows(parts: list[tuple]) -> pa.RecordBatch:
+        doc, token, at, n, matches = (np.concatenate(x) for x in zip(*parts))
+        plain = n < 0
+        return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(token.astype(np.int64)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32), mask=plain), pa.array(matches.astype(np.int32), mask=plain)], COLUMNS)
+
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, df_of = hot.value
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             parts: list[tuple] = []
-            for i, tokens in zip(ids.tolist(), shingle_sets(batch.column("text"), WORDS)):
-                n = len(tokens)
-                tokens = tokens >> SHIFT
-                df = np.ones(n, dtype=np.int64)
-                if len(known) and n:
-                    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-                    df = np.where(known[at] == tokens, df_of[at], 1)
-                order = np.lexsort((tokens, df))
-                shortest = n - _needed(n) + 1 if n else 0
-                cost = float(df[order[:shortest]].sum()) / max(shortest, 1)
-                matches = int(min(1 + math.log2(max(cost, 1.0)) // 2, MOST_MATCHES, _needed(n) or 1))
-                taken = order[: shortest + matches - 1] if n else order
-                parts.append((np.full(len(taken), i), tokens[taken].view(np.int64), np.arange(len(taken)), np.full(len(taken), n), np.full(len(taken), matches)))
-                if n == 0 or len(parts) >= 2_000:
-                    if n == 0:
-                        parts.append((np.array([i]), np.array([-1]), np.array([0]), np.array([0]), np.array([1])))
-                    yield _rows(parts)
+            for doc, tokens in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), WORDS)):
+                parts.append(of_document(doc, tokens, known, df_of))
+                if len(parts) >= 500:
+                    yield rows(parts)
                     parts = []
             if parts:
-                yield _rows(parts)
+                yield rows(parts)
 
     return made
 
 
-def _rows(parts: list[tuple]) -> pa.RecordBatch:
-    doc, token, at, n, matches = (np.concatenate(x) for x in zip(*parts))
-    return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(token.astype(np.int64)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(matches.astype(np.int32))], ["doc_id", "token", "at", "n", "matches"])
-
-
+COLUMNS = ["doc_id", "token", "at", "n", "matches"]
 PREFIX = "doc_id long, token long, at int, n int, matches int"
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by token and doc_id: those whose token has another row, each with the first document as `pivot`.
 
-    The first rows of all texts (at = 0) pass even so, with a null pivot, to tell the size of each set.
+    Rows with sizes pass as they are, with a null pivot.
     """
-    last_token, pivot, last = None, None, None
+
+    def out(rows: pa.RecordBatch, pivot: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
+        pivots = pa.array(pivot.astype(np.int64), mask=~more)
+        return pa.RecordBatch.from_arrays([*(rows.column(c) for c in COLUMNS), pivots], [*COLUMNS, "pivot"]).filter(pa.array(more | rows.column("n").is_valid().to_numpy(zero_copy_only=False)))
+
+    last, last_token, pivot, had = None, None, 0, False
     for batch in batches:
         token, doc = batch.column("token").to_numpy(), batch.column("doc_id").to_numpy()
         if not len(token):
             continue
         new = np.concatenate(([token[0] != last_token], token[1:] != token[:-1]))
         start = np.maximum.accumulate(np.where(new, np.arange(len(token)), -1))
-        first = np.where(start < 0, pivot if pivot is not None else 0, doc[np.maximum(start, 0)])
+        first = np.where(start < 0, pivot, doc[np.maximum(start, 0)])
         more = np.concatenate((~new[1:], [False])) | ~new  # a later row of the token in this batch, or an earlier one
         if last is not None:  # the batch before ended in a row whose token may go on here
-            yield _with_pivot(last, np.array([pivot]), np.array([last[1] or not new[0]]))
-        yield _with_pivot((batch.slice(0, len(token) - 1), None), first[:-1], more[:-1])
-        last, last_token, pivot = (batch.slice(len(token) - 1), bool(more[-1])), token[-1], first[-1]
+            yield out(last, np.array([pivot]), np.array([had or not new[0]]))
+        yield out(batch.slice(0, len(token) - 1), first[:-1], more[:-1])
+        last, last_token, pivot, had = batch.slice(len(token) - 1), token[-1], first[-1], bool(more[-1])
     if last is not None:
-        yield _with_pivot(last, np.array([pivot]), np.array([last[1]]))
-
-
-def _with_pivot(rows: tuple, pivot: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
-    batch = rows[0]
-    more = more & (batch.column("token").to_numpy() != -1) if len(pivot) else more.astype(bool)
-    keep = pa.array(more | (batch.column("at").to_numpy() == 0))
-    pivots = pa.array(pivot.astype(np.int64), mask=~more)
-    out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "token", "at", "n", "matches")), pivots], ["doc_id", "token", "at", "n", "matches", "pivot"])
-    return out.filter(keep)
+        yield out(last, np.array([pivot]), np.array([had]))
 
 
 def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,13 +223,11 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return written(streams.mapInArrow(_verified, "a long, b long"))
 
 
-def _labels(spark, edges: DataFrame | None) -> DataFrame | None:
-    return None if edges is None else components(edges, spark)
-
-
-def near_duplicates(docs: DataFrame, rounds: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, rounds: int = 6) -> DataFrame:
     """One row for each row of `docs`: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
     spark = docs.sparkSession
+    small_batches(spark)
+    docs = docs.where("doc_id IS NOT NULL")
     members = written(docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.octet_length("text").alias("bytes")))
     text_bytes = members.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     classes = members.groupBy("digest").agg(F.min("doc_id").alias("rep"))
@@ -241,31 +242,45 @@ def near_duplicates(docs: DataFrame, rounds: int = 4) -> DataFrame:
     hot = spark.sparkContext.broadcast((top["token"].to_numpy().view(U), top["df"].to_numpy()))
     rows = reps.mapInArrow(_prefixes(hot), PREFIX)
     shared = written(rows.repartition("token").sortWithinPartitions("token", "doc_id").mapInArrow(_shared, PREFIX + ", pivot long"))
-    sizes = shared.where("at = 0").groupBy("doc_id").agg(F.max("n").alias("n"))
-    active = shared.where("pivot IS NOT NULL").select("doc_id", "token", "at", "n", "matches", "pivot")
-
-    # First the pivots as they are; later ones are the first document of the least component of each shingle.
+    sizes = written(shared.where("n IS NOT NULL").groupBy("doc_id").agg(F.max("n").alias("n"), F.max("matches").alias("matches")))
+    active = shared.where("n IS NULL").select("doc_id", "token", "at", "pivot")
+    size_of = lambda side: sizes.select(F.col("doc_id").alias(f"_{side}"), F.col("n").alias(f"n_{side}"), F.col("matches").alias(f"matches_{side}"))
+
+    def able(pairs: DataFrame) -> DataFrame:
+        """Pairs (doc_id, pivot, c) that may link: of like sizes, with c shared prefix shingles as the smaller l asks for,
+        and enough with all that stands behind the prefix of the one whose prefix ends first in the order (either may)."""
+        both = pairs.join(size_of("x"), F.col("doc_id") == F.col("_x")).join(size_of("y"), F.col("pivot") == F.col("_y"))
+        behind = " , ".join(f"ceil({PERCENT} * n_{side} / 100) - matches_{side}" for side in "xy")
+        sizes = f"100 * least(n_x, n_y) >= {PERCENT} * greatest(n_x, n_y) AND c >= least(matches_x, matches_y)"
+        return both.where(f"{sizes} AND c + greatest({behind}) >= ceil({PERCENT} * (n_x + n_y) / {100 + PERCENT})")
+
+    # First the pivots as they are, then others, drawn anew each round.
     stars = active.where("doc_id <> pivot")
-    links, labels = None, None
-    for _ in range(rounds):
-        best = stars.groupBy("doc_id", "pivot").agg(F.count("*").alias("c")).groupBy("doc_id").agg(F.max(F.struct("c", (-F.col("pivot")).alias("p"))).alias("m"))
+    links = None
+    for turn in range(rounds):
+        tried = able(stars.groupBy("doc_id", "pivot").agg(F.count("*").alias("c")))
+        best = tried.groupBy("doc_id").agg(F.max(F.struct("c", (-F.col("pivot")).alias("p"))).alias("m"))
         new = verified(reps, best.select("doc_id", (-F.col("m.p")).alias("pivot")))
         links = new if links is None else links.union(new)
-        labels = components(links, spark)
-        named = labels.withColumnRenamed("node", "d")
-        placed = active.select("doc_id", "token", "at", "n", "matches").join(named, F.col("doc_id") == F.col("d"), "left").select("doc_id", "token", "at", "n", "matches", F.coalesce("component", "doc_id").alias("label"))
-        per = placed.groupBy("token", "label").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.count("*").alias("labels"))
-        mixed = per.where("labels > 1").select(F.col("token").alias("t"), (F.col("k") * F.col("k") - F.col("kk")).alias("pairs"))
-        open_rows = written(placed.join(mixed, F.col("token") == F.col("t")).select(*placed.columns, "pairs"))
-        n, pairs = open_rows.select("token", "pairs").distinct().agg(F.count("*"), F.coalesce(F.sum("pairs"), F.lit(0))).first()
-        if pairs <= 20 * n:
+        named = components(links, spark).withColumnRenamed("node", "d")
+        placed = active.join(named, F.col("doc_id") == F.col("d"), "left").join(size_of("s"), F.col("doc_id") == F.col("_s"))
+        # Two documents of n and m shingles need (n + m) 3 / 7 in common, so their first l common ones stand early in at
+        # least one of them: at 1 / 7 of it or before, but for l.
+        early = F.expr(f"at <= n_s - ceil({2 * PERCENT} * n_s / {100 + PERCENT}) + matches_s")
+        placed = placed.select("doc_id", "token", "at", F.col("n_s").alias("n"), F.col("matches_s").alias("matches"), F.coalesce("component", "doc_id").alias("label"), early.alias("early"))
+        per = placed.groupBy("token", "label").agg(F.count("*").alias("k"), F.count_if("early").alias("e")).groupBy("token").agg((F.sum("k") * F.sum("e") - F.sum(F.col("k") * F.col("e"))).alias("pairs"))
+        open_rows = written(placed.join(per.where("pairs > 0").select(F.col("token").alias("t"), "pairs"), F.col("token") == F.col("t")).select(*placed.columns, "pairs"))
+        count, found = open_rows.select("token", "pairs").distinct().agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0], new.count()
+        if count <= PAIRS_A_DOCUMENT * sizes.count() or found < 100:
             break
-        least = open_rows.groupBy(F.col("token").alias("t")).agg(F.min(F.struct("label", "doc_id")).alias("first"))
-        stars = open_rows.join(least, F.col("token") == F.col("t")).where("label <> first.label").select("doc_id", F.col("first.doc_id").alias("pivot"))
-    left, right = open_rows.alias("x"), open_rows.alias("y")
-    pairs = left.join(right, "token").where("x.label <> y.label AND x.doc_id < y.doc_id").where(f"100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n)")
-    pairs = pairs.groupBy(F.col("x.doc_id").alias("pivot"), F.col("y.doc_id").alias("doc_id"), F.least("x.matches", "y.matches").alias("least")).agg(F.count("*").alias("c"))
-    links = links.union(verified(reps, pairs.where("c >= least").select("doc_id", "pivot")))
+        drawn = F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id", "label")
+        pivots = open_rows.groupBy(F.col("token").alias("t")).agg(F.min(drawn).alias("one"))
+        stars = open_rows.join(pivots, F.col("token") == F.col("t")).where("label <> one.label").select("doc_id", F.col("one.doc_id").alias("pivot"))
+    left, right = open_rows.where("early").alias("x"), open_rows.alias("y")
+    reach = lambda side: f"{side}.at <= {side}.n - ceil({PERCENT} * (x.n + y.n) / {100 + PERCENT}) + least(x.matches, y.matches) - 1"
+    meet = f"x.label <> y.label AND (NOT y.early OR x.doc_id < y.doc_id) AND 100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n) AND {reach('x')} AND {reach('y')}"
+    met = left.join(right, (F.col("x.token") == F.col("y.token")) & F.expr(meet)).groupBy(F.greatest("x.doc_id", "y.doc_id").alias("doc_id"), F.least("x.doc_id", "y.doc_id").alias("pivot"), F.least("x.matches", "y.matches").alias("least")).agg(F.count("*").alias("c"))
+    links = links.union(verified(reps, met.where("c >= least").select("doc_id", "pivot")))
     labels = components(links, spark)
 
     per_rep = sizes.join(labels, F.col("doc_id") == F.col("node"), "left").select(F.col("doc_id").alias("r"), F.col("n").alias("n"), F.coalesce("component", "doc_id").alias("c"))
@@ -276,8 +291,8 @@ def near_duplicates(docs: DataFrame, rounds: int = 4) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """`docs` with one document, the smallest doc_id, of each group of near duplicates; all columns as they are."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_d"), "left_semi")
+    gone = near_duplicates(docs).where("doc_id <> component_id")
+    return without(docs, gone.select(F.col("doc_id").alias("gone_id")).distinct())
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -85,6 +85,16 @@ def test_contamination_of_odd_rows(spark, odd):
     assert {r["doc_id"]: len(r["hits"]) for r in few.collect()} == {r["doc_id"]: len(r["hits"]) for r in decontaminate.window_hits(odd, items).collect()}
 
 
+def test_rows_without_id_and_repeated_rows(spark, odd):
+    extra = odd.unionByName(odd.limit(8).withColumn("doc_id", F.lit(None).cast("long"))).unionByName(odd.where("doc_id IN (6, 7, 12)"))
+    n, plain = odd.count(), brute.near_duplicates(pairs(odd))
+    found = jaccard_join.near_duplicates(extra)
+    assert table(found, "n_shingles", "component_id") == plain and found.count() == n + 3
+    assert jaccard_join.one_of_each(extra).where("doc_id IS NULL").count() == 8
+    assert suffixes.deduplicated(extra).where("doc_id IS NULL AND n_removed = 0").count() == 8
+    assert secrets.redacted(extra).count() == n + 11 and mixing.taken_words(odd.unionByName(odd.limit(8).withColumn("doc_id", F.lit(None).cast("long")))).count() == n
+
+
 def test_empty_tables(spark, odd):
     none = odd.where("false")
     assert jaccard_join.near_duplicates(none).count() == 0

@@ -37,7 +37,7 @@ PERCENT, WORDS = 75, 5
 #: Shingles whose frequency is told to every task (16 bytes each), and the least such frequency.
 HOT, HOT_DF = 500_000, 16
 #: The longest a prefix is lengthened by, in shingles and matches.
-MOST_MATCHES = 8
+MOST_MATCHES = 4
 #: Documents that one pivot's partition verifies; more are salted.
 ROWS_A_PIVOT = 1_000
 #: Rounds of pivots end when so few pairs of different components are left to look at, or a round finds hardly a link.
@@ -223,7 +223,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return written(streams.mapInArrow(_verified, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, rounds: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, rounds: int = 1) -> DataFrame:
     """One row for each row of `docs`: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
     spark = docs.sparkSession
     small_batches(spark)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 LEAST_ENTRIES, LEAST_RESOLVED, LEAST_RATIO, LEAST_VOTES = 3, 2, 0.5, 2
 HEADER_PAGES = 3
+#: Ords of a book in one window.
+BLOCK = 20_000
 
 
 def ordinal(label: Column) -> Column:
@@ -77,17 +79,34 @@ def chapter_of(pages: DataFrame, ranges: DataFrame) -> DataFrame:
     return rows.withColumn("start", F.last("start", ignorenulls=True).over(before)).where("is_page = 1").select("book_id", "page", "start")
 
 
+def _following(rows: DataFrame, by: list[str], value: Column, own: bool) -> DataFrame:
+    """`rows` with `next`: the first `value` that isn't null behind a row by `ord` among the rows of equal `by`. own: a row's own comes first.
+
+    A value is a struct that begins with the row's ord. Each BLOCK of ords is a window of its own, then one over the
+    blocks' first values, so a large book is many tasks' work.
+    """
+    rows = rows.withColumn("_block", F.floor(F.col("ord") / BLOCK)).withColumn("_value", value)
+    back = lambda w, c, to: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, to))
+    near = rows.withColumn("_near", back(Window.partitionBy(*by, "_block").orderBy(F.desc("ord")), "_value", 0 if own else -1))
+    blocks = rows.groupBy(*by, "_block").agg(F.min("_value").alias("_first"))
+    later = blocks.withColumn("_later", back(Window.partitionBy(*by).orderBy(F.desc("_block")), "_first", -1)).drop("_first")
+    return near.join(later, [*by, "_block"], "left").withColumn("next", F.coalesce("_near", "_later")).drop("_block", "_value", "_near", "_later")
+
+
+def _next_as_high(nodes: DataFrame, value: Column) -> DataFrame:
+    """`nodes` with `next`: the value of the next node that is at least as high. A row counts at each of its book's depths from its own on."""
+    depths = nodes.groupBy("book_id").agg(F.collect_set("depth").alias("_depths"))
+    each = nodes.join(depths, "book_id").withColumn("_level", F.explode_outer(F.filter("_depths", lambda d: d >= F.col("depth")))).drop("_depths")
+    return _following(each, ["book_id", "_level"], F.when(F.col("depth").isNotNull(), value), own=False).where(F.col("_level").eqNullSafe(F.col("depth"))).drop("_level")
+
+
 def section_ranges(nodes: DataFrame, totals: DataFrame) -> DataFrame:
     """(book_id, ord, start, end): a node's own or first paged descendant's page, to before the next node as high that has one."""
-    a, b = nodes.alias("a"), nodes.alias("b")
-    later = a.join(b, (F.col("a.book_id") == F.col("b.book_id")) & (F.col("b.ord") > F.col("a.ord")) & (F.col("b.depth") <= F.col("a.depth")), "left")
-    bound = later.groupBy(F.col("a.book_id").alias("book_id"), F.col("a.ord").alias("ord")).agg(F.min("b.ord").alias("past"))
-    inside = bound.join(nodes.select("book_id", F.col("ord").alias("o"), "page").where("page IS NOT NULL"), "book_id").where("o >= ord AND (past IS NULL OR o < past)")
-    start = inside.groupBy("book_id", "ord").agg(F.min_by("page", "o").alias("start"))
-    resolved = nodes.join(start, ["book_id", "ord"]).select("book_id", "ord", "depth", "start")
-    x, y = resolved.alias("x"), resolved.alias("y")
-    after = x.join(y, (F.col("x.book_id") == F.col("y.book_id")) & (F.col("y.ord") > F.col("x.ord")) & (F.col("y.depth") <= F.col("x.depth")), "left")
-    ends = after.groupBy(F.col("x.book_id").alias("book_id"), F.col("x.ord").alias("ord"), F.col("x.start").alias("start")).agg(F.min_by("y.start", "y.ord").alias("next"))
+    nodes = nodes.select("book_id", "ord", "depth", "page")
+    bound = _next_as_high(nodes, F.struct("ord")).withColumn("past", F.col("next.ord")).drop("next")
+    paged = _following(bound, ["book_id"], F.when(F.col("page").isNotNull(), F.struct("ord", "page")), own=True)
+    resolved = paged.where("next IS NOT NULL AND (past IS NULL OR next.ord < past)").select("book_id", "ord", "depth", F.col("next.page").alias("start"))
+    ends = _next_as_high(resolved, F.struct("ord", "start")).withColumn("next", F.col("next.start"))
     return ends.join(totals, "book_id").select("book_id", "ord", "start", F.greatest(F.col("start"), F.coalesce(F.col("next") - 1, F.col("total"))).alias("end"))
 
 

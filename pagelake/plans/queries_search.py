@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunker, citations, search, state
 from ..sources.tables import book_pages, few, table
 
+#: Characters of a part in offset reading.
+PART = 20_000
+
 PAGES = "pages_ AS (SELECT source AS book_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, doc_id, text FROM documents)"
 QUERIES_CTE = "queries_ AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:4], ' ') AS query FROM benchmark)"
 TERMS = r"list_filter(string_split_regex(query, '[\s,，、;；:：/|]+'), lambda t: t <> '')"
@@ -132,6 +136,29 @@ def paged_reading(spark, sf_dir):
     return window.select("book_id", F.length("full").cast("long").alias("chars"), F.sha2(F.substring("full", 1, 20000), 256).alias("first"), F.sha2(F.substring("full", 20001, 20000), 256).alias("second"))
 
 
+def paged_reading_whole(spark, sf_dir):
+    """Every part of PART characters of each book's text; `paged_reading` and its SQL stop at page 20 and two parts.
+
+    Places come from the pages' lengths alone; a part then gathers its own pieces of pages, so no book is one value.
+    """
+    pages = book_pages(table(spark, sf_dir, "documents"))
+    marked = F.concat(F.when(F.col("page") > 1, "\n\n").otherwise(""), F.lit("[page "), F.col("page").cast("string"), F.lit("]\n"), T.page_text(F.col("text")))
+    sized = pages.select("book_id", "page", "doc_id", F.length(marked).cast("long").alias("n"))
+    # Blocks of pages, then pages of a block: a large book is many tasks' work.
+    blocked = sized.withColumn("block", F.floor(F.col("page") / 1000))
+    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocked.groupBy("book_id", "block").agg(F.sum("n").alias("n")).select("book_id", "block", F.coalesce(F.sum("n").over(before("book_id", "block")), F.lit(0)).alias("base"))
+    placed = blocked.withColumn("inner", F.coalesce(F.sum("n").over(before("book_id", "block", "page")), F.lit(0))).join(blocks, ["book_id", "block"])
+    placed = placed.select("book_id", "page", (F.col("base") + F.col("inner")).alias("at"))
+    texts = pages.select("book_id", "page", marked.alias("t")).join(placed, ["book_id", "page"])
+    each = texts.withColumn("part", F.explode(F.sequence(F.floor(F.col("at") / PART), F.floor((F.col("at") + F.length("t") - 1) / PART))))
+    skip = F.greatest(F.lit(0), F.col("part") * PART - F.col("at"))
+    room = PART - F.greatest(F.lit(0), F.col("at") - F.col("part") * PART)
+    pieces = each.select("book_id", "part", "page", F.substring("t", (skip + 1).cast("int"), room.cast("int")).alias("t"))
+    joined = pieces.groupBy("book_id", "part").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "t"))), lambda x: x["t"]), "").alias("t"))
+    return joined.select("book_id", "part", F.length("t").cast("long").alias("chars"), F.sha2("t", 256).alias("digest"))
+
+
 def page_digest(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.page_text(F.col("text")), 256).alias("content_hash"), T.token_estimate(F.col("text")).alias("tokens"))
 
@@ -174,7 +201,7 @@ COLLAPSED = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 QUERIES = {
     "hybrid_search": hybrid_search, "lexical_search_multi_term": lexical_search, "semantic_topk": semantic_topk, "focus_boosted_search": focus_boosted,
     "term_split": term_split, "index_tokens": index_tokens, "page_length_factor": page_factor, "index_coverage": index_coverage,
-    "missing_embeddings_anti": missing_embeddings, "stale_embeddings_semi": stale_embeddings, "page_range_read": page_range, "paged_reading_offset": paged_reading,
+    "missing_embeddings_anti": missing_embeddings, "stale_embeddings_semi": stale_embeddings, "page_range_read": page_range, "paged_reading_offset": paged_reading, "paged_reading_whole": paged_reading_whole,
     "content_hash": page_digest, "html_strip": html_text, "url_param_unwrap": url_param, "citation_quotes_grounding": quote_grounding,
     "page_chunks": page_chunks, "single_chunk_pages": single_chunk_pages, "export_names": export_names,
 }
@@ -191,6 +218,7 @@ ORACLE_SQL = {
     "stale_embeddings_semi": "SELECT vec_id, label FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE n_chars >= 200)",
     "page_range_read": f"WITH {PAGES} SELECT book_id, page, length(text) AS chars FROM pages_ WHERE page BETWEEN 3 AND 12",
     "paged_reading_offset": f"WITH {PAGES}, w AS (SELECT book_id, string_agg('[page ' || page || ']' || chr(10) || {NORMAL.format('text')}, chr(10) || chr(10) ORDER BY page) AS f FROM pages_ WHERE page <= 20 GROUP BY book_id) SELECT book_id, length(f) AS chars, sha256(substring(f, 1, 20000)) AS first, sha256(substring(f, 20001, 20000)) AS second FROM w",
+    "paged_reading_whole": f"WITH {PAGES}, w AS (SELECT book_id, string_agg('[page ' || page || ']' || chr(10) || {NORMAL.format('text')}, chr(10) || chr(10) ORDER BY page) AS f FROM pages_ GROUP BY book_id), p AS (SELECT book_id, f, unnest(range((length(f) + 19999) // 20000)) AS part FROM w) SELECT book_id, part, length(substring(f, part * 20000 + 1, 20000)) AS chars, sha256(substring(f, part * 20000 + 1, 20000)) AS digest FROM p",
     "content_hash": f"SELECT doc_id, sha256({NORMAL.format('text')}) AS content_hash, CAST(ceil((length(text) + 3 * (length(text) - length(regexp_replace(text, '{CJK}', '', 'g')))) / 4.0) AS BIGINT) AS tokens FROM documents",
     "html_strip": f"SELECT page_id, t AS text, length(replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) AS escaped_chars FROM (SELECT page_id, {HTML} AS t FROM pages)",
     "url_param_unwrap": "SELECT page_id, nullif(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), '') AS host, nullif(regexp_extract(url, '[?&]utm_source=([^&#]*)', 1), '') AS utm_source FROM pages",

@@ -9,6 +9,10 @@ pseudonyms in all documents and different values different ones; who has the key
 Generic strings alternate between their halves: each character of a half moves within its alphabet by a number drawn
 from the hash of the other half. Numbers of a fixed range do the same with quotient and remainder.
 
+A run of digit groups is searched for cards: sub-runs of whole groups with 13 to 19 digits that pass the check. The
+whole run comes first, then 16, 15 and other digits, each from the left; what is left of the run is searched for the
+other kinds. Dates with slashes are day first where that is a date, else month first; the latter keep a day above 12.
+
 Null texts stay null; texts without a valid value stay as they are. Runs that fail their check (a wrong Luhn digit, an
 octet of 300, a 31st of February, a date before 1900 or after FIRST + DAYS) are no personal data here. Repeated rows
 give equal rows. Extra columns are kept by `pseudonymised`.
@@ -29,13 +33,24 @@ PATTERNS = {
     "ip": _NOT_BEFORE + r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}" + _NOT_AFTER,
     "date": _NOT_BEFORE + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})" + _NOT_AFTER,
     "ssn": _NOT_BEFORE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _NOT_AFTER,
-    "phone": r"(?<![A-Za-z0-9.+-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}" + _NOT_AFTER,
-    "card": _NOT_BEFORE + r"[0-9](?:[ -]?[0-9]){12,18}" + _NOT_AFTER,
-}
+    "phone": _NOT_BEFORE + "(?:" + "|".join([
+        r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}",
+        r"\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-][0-9]{2}){4}",
+        r"\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}",
+        r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,5}\)?[ .-][0-9]{5,8}",
+        r"\+[0-9]{8,15}",
+        r"[2-9][0-9]{2}[2-9][0-9]{6}",
+    ]) + ")" + _NOT_AFTER,
+    # Possessive, as Java's regex recurses over groups it may have to give back.
+    "card": _NOT_BEFORE + r"(?=[0-9](?:[ -]?[0-9]){12})[0-9]++(?![A-Za-z]|[.][0-9])(?:[ -][0-9]++(?![A-Za-z]|[.][0-9]))*+" + _NOT_AFTER,
+}
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+NO_CARD = "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k != "card")
 #: Dates are permuted among DAYS = 250 * 292 days from FIRST.
 FIRST, RADIX = "1900-01-01", (250, 292)
 ROUNDS = 8
+#: What stays of a telephone number: + and, where its end can be seen, the country's number.
+_COUNTRY = "^(?:[+](?:[0-9]{1,3}(?=[ .(-])[ .-]?)?)?"
 
 
 def _q(x: str) -> str:
@@ -82,46 +97,94 @@ def _date(v: str) -> str:
     return f"coalesce(try_to_date({v}, 'yyyy-MM-dd'), try_to_date({v}, 'dd/MM/yyyy'), try_to_date({v}, 'dd.MM.yyyy'))"
 
 
+def _month_first(v: str) -> str:
+    """SQL for the date written month first, null if its day could be a month: then it is day first."""
+    return f"if(substring({v}, 3, 1) = '/' AND substring({v}, 4, 2) > '12', try_to_date({v}, 'MM/dd/yyyy'), null)"
+
+
+def _month_first_pseudonym(key: str) -> str:
+    """Days 13 to 28 are permuted with month and year, 29 and 30 with those but February, 31 with the long months, 29 February among leap years."""
+    y, m, d = "cast(substring(h.v, 7, 4) AS int) - 1900", "cast(substring(h.v, 1, 2) AS int)", "cast(substring(h.v, 4, 2) AS int)"
+    out = lambda month, day, year="n.x + 1900": f"concat(lpad(cast({month} AS string), 2, '0'), '/', {day}, '/', {year})"
+    long = "array(1, 3, 5, 7, 8, 10, 12)"
+    leap = _number(f"(({y}) div 4 - 1) div 7", f"(({y}) div 4 - 1) % 7", 7, 7, key, "mdy-leap", out("2", "29", "1904 + 4 * (n.x * 7 + n.y)"))
+    day31 = _number(y, f"array_position({long}, {m}) - 1", 200, 7, key, "mdy-31", out(f"{long}[cast(n.y AS int)]", "31"))
+    day29 = _number(y, f"({m} - if({m} > 2, 2, 1)) * 2 + {d} - 29", 200, 22, key, "mdy-29", out("n.y div 2 + if(n.y >= 2, 2, 1)", "29 + n.y % 2"))
+    rest = _number(y, f"({m} - 1) * 16 + {d} - 13", 200, 192, key, "mdy", out("n.y div 16 + 1", "13 + n.y % 16"))
+    return f"CASE WHEN {m} = 2 AND {d} = 29 THEN {leap} WHEN {d} = 31 THEN {day31} WHEN {d} >= 29 THEN {day29} ELSE {rest} END"
+
+
 def _pseudonym(key: str) -> str:
     """SQL over h.v (a hit) and h.k (its kind)."""
     email = f"concat({permuted('substring_index(h.v, \'@\', 1)', key, 'local')}, '@', {permuted('regexp_replace(substring_index(h.v, \'@\', -1), \'[.][A-Za-z]+$\', \'\')', key, 'domain')}, regexp_extract(h.v, '[.][A-Za-z]+$', 0))"
     check = f"cast((10 - ({luhn_sum('y.d', 1)}) % 10) % 10 AS string)"
     # Named values are bound by a transform over an array of one.
     card = f"transform(transform(array({permuted('substring(h.v, 1, length(h.v) - 1)', key, 'card')}), x -> struct(x AS x, regexp_replace(x, '[^0-9]', '') AS d)), y -> concat(y.x, {check}))[0]"
-    phone = f"concat(regexp_extract(h.v, '^([+][0-9]+[ .-]?)?', 0), {permuted('regexp_replace(h.v, \'^[+][0-9]+[ .-]?\', \'\')', key, 'phone')})"
+    phone = f"concat(regexp_extract(h.v, '{_COUNTRY}', 0), {permuted(f"regexp_replace(h.v, '{_COUNTRY}', '')", key, 'phone')})"
     octet = lambda i: f"cast(split(h.v, '[.]')[{i}] AS int)"
     ip = _number(f"{octet(0)} * 256 + {octet(1)}", f"{octet(2)} * 256 + {octet(3)}", 65536, 65536, key, "ip", "concat_ws('.', n.x div 256, n.x % 256, n.y div 256, n.y % 256)")
     days = f"datediff({_date('h.v')}, date'{FIRST}')"
     form = "CASE WHEN instr(h.v, '/') > 0 THEN 'dd/MM/yyyy' WHEN instr(h.v, '.') > 0 THEN 'dd.MM.yyyy' ELSE 'yyyy-MM-dd' END"
     date = _number(f"{days} div {RADIX[1]}", f"{days} % {RADIX[1]}", *RADIX, key, "date", f"date_format(date_add(date'{FIRST}', cast(n.x * {RADIX[1]} + n.y AS int)), {form})")
-    parts = {"email": email, "card": card, "phone": phone, "ssn": permuted("h.v", key, "ssn"), "date": date, "ip": ip}
+    parts = {"email": email, "card": card, "phone": phone, "ssn": permuted("h.v", key, "ssn"), "date": f"if({_month_first('h.v')} IS NOT NULL, {_month_first_pseudonym(key)}, {date})", "ip": ip}
     return f"CASE h.k {' '.join(f'WHEN {i} THEN {parts[k]}' for i, k in enumerate(KINDS))} ELSE h.v END"
 
 
 def _kind(v: str) -> str:
-    """SQL for the index of the kind of a hit, null if it fails its check."""
-    is_a = lambda k: f"{v} rlike {_q('^(?:' + PATTERNS[k].replace(chr(92), chr(92) * 2) + ')$')}"
-    digits = f"regexp_replace({v}, '[^0-9]', '')"
+    """SQL for the index of the kind of a hit, null if it fails its check; cards are found by _cards()."""
     octets = f"forall(split({v}, '[.]'), o -> cast(o AS int) < 256)"
-    date = f"{_date(v)} BETWEEN date'{FIRST}' AND date_add(date'{FIRST}', {RADIX[0] * RADIX[1] - 1})"
-    return f"""CASE WHEN {is_a('email')} THEN 0 WHEN {is_a('ip')} THEN if({octets}, 5, null) WHEN {is_a('date')} THEN if({date}, 4, null)
-      WHEN {is_a('ssn')} THEN 3 WHEN {is_a('phone')} THEN 2 WHEN {is_a('card')} THEN if(({luhn_sum(digits, 0)}) % 10 = 0, 1, null) END"""
+    date = f"{_date(v)} BETWEEN date'{FIRST}' AND date_add(date'{FIRST}', {RADIX[0] * RADIX[1] - 1}) OR year({_month_first(v)}) BETWEEN 1900 AND 2099"
+    return f"""CASE WHEN {_is_a(v, 'email')} THEN 0 WHEN {_is_a(v, 'ip')} THEN if({octets}, 5, null) WHEN {_is_a(v, 'date')} THEN if({date}, 4, null)
+      WHEN {_is_a(v, 'ssn')} THEN 3 WHEN {_is_a(v, 'phone')} THEN 2 END"""
+
+
+def _escaped(pattern: str) -> str:
+    return _q(pattern.replace(chr(92), chr(92) * 2))
+
+
+def _is_a(v: str, kind: str) -> str:
+    return f"{v} rlike {_escaped('^(?:' + PATTERNS[kind] + ')$')}"
+
+
+def _cards(v: str) -> str:
+    """SQL for the cards of a run of digit groups: array<struct<order, i, j, ...>> by place, of groups i to j."""
+    digits = "array_join(slice(r.g, i + 1, j - i + 1), '')"
+    order = "if(j - i + 1 = size(r.g), 0, CASE length(d) WHEN 16 THEN 1 WHEN 15 THEN 2 ELSE 3 END)"
+    tried = f"flatten(transform(sequence(0, size(r.g) - 1), i -> flatten(transform(sequence(i, least(i + 18, size(r.g) - 1)), j -> transform(filter(array({digits}), d -> length(d) BETWEEN 13 AND 19 AND ({luhn_sum('d', 0).replace('(s, j)', '(s, q)').replace(', j, 1)', ', q, 1)').replace('- j +', '- q +')}) % 10 = 0), d -> named_struct('o', {order}, 'i', i, 'j', j))))))"
+    taken = f"aggregate(array_sort({tried}), cast(array() AS array<struct<o: int, i: int, j: int>>), (t, c) -> if(exists(t, x -> x.i <= c.j AND c.i <= x.j), t, concat(t, array(c))))"
+    return f"transform(array(named_struct('g', split({v}, '[ -]'))), r -> array_sort(transform({taken}, c -> named_struct('at', length(array_join(slice(r.g, 1, c.i), ' ')) + if(c.i > 0, 1, 0), 'n', length(array_join(slice(r.g, c.i + 1, c.j - c.i + 1), ' '))))))[0]"
+
+
+_PARTS = "array<struct<k: int, v: string>>"
+
+
+def _searched(v: str) -> str:
+    """SQL for the parts of a text without cards: (kind or null, text)."""
+    return f"""flatten(transform(array(named_struct('g', split({v}, {_escaped(NO_CARD)}, -1), 'h', regexp_extract_all({v}, {_escaped(NO_CARD)}, 0))), f ->
+      flatten(transform(f.g, (g, i) -> if(i < size(f.h), array(named_struct('k', cast(null AS int), 'v', g), transform(slice(f.h, i + 1, 1), w -> named_struct('k', {_kind('w')}, 'v', w))[0]), array(named_struct('k', cast(null AS int), 'v', g)))))))"""
+
+
+def _parts(v: str) -> str:
+    """SQL for the parts of a hit: itself, or a run's cards and what lies between them."""
+    cut = f"substring({v}, a.at + 1, c.at - a.at)"
+    step = f"(a, c) -> named_struct('at', c.at + c.n, 'p', concat(a.p, {_searched(cut)}, array(named_struct('k', 1, 'v', substring({v}, c.at + 1, c.n)))))"
+    run = f"aggregate({_cards(v)}, named_struct('at', 0, 'p', cast(array() AS {_PARTS})), {step}, a -> concat(a.p, {_searched(f'substring({v}, a.at + 1)')}))"
+    return f"if({_is_a(v, 'card')} AND NOT {_is_a(v, 'date')} AND NOT {_is_a(v, 'ssn')} AND NOT {_is_a(v, 'phone')}, {run}, array(named_struct('k', {_kind(v)}, 'v', {v})))"
 
 
 def pseudonymised(docs: DataFrame, key: str = "pagelake", found: bool = False) -> DataFrame:
     """`docs` with pseudonyms in `text`. found: also `_found`, array<struct<k, start, end>> of what was replaced (code points of the old text)."""
     hits = F.regexp_extract_all(F.col("text"), F.lit(ANY), F.lit(0))
     with_hits = rows_of(docs).withColumn("_hits", F.when(F.col("text").rlike("[0-9@]"), hits))
-    kinds = with_hits.withColumn("_hits", F.expr(f"transform(_hits, v -> struct({_kind('v')} AS k, v AS v))"))
-    some = "size(_hits) > 0 AND exists(_hits, h -> h.k IS NOT NULL)"
-    gaps = F.split("text", ANY, -1)
-    pieces = f"flatten(transform(_gaps, (g, i) -> if(i < size(_hits), array(g, transform(slice(_hits, i + 1, 1), h -> {_pseudonym(key)})[0]), array(g))))"
-    out = kinds.withColumn("_gaps", F.when(F.expr(some), gaps))
-    spans = """aggregate(sequence(0, size(_hits) - 1), named_struct('at', 0, 'found', cast(array() AS array<struct<k: int, start: int, end: int>>)), (a, i) -> named_struct(
-        'at', a.at + length(_gaps[i]) + length(_hits[i].v),
-        'found', if(_hits[i].k IS NULL, a.found, concat(a.found, array(named_struct('k', _hits[i].k, 'start', a.at + length(_gaps[i]), 'end', a.at + length(_gaps[i]) + length(_hits[i].v)))))), a -> a.found)"""
-    out = out.withColumn("_found", F.expr(f"if(_gaps IS NULL, cast(array() AS array<struct<k: int, start: int, end: int>>), {spans})"))
-    out = out.withColumn("text", F.expr(f"if(_gaps IS NULL, text, array_join({pieces}, ''))"))
+    gaps = with_hits.withColumn("_gaps", F.when(F.size("_hits") > 0, F.split("text", ANY, -1)))
+    parts = f"flatten(transform(_gaps, (g, i) -> if(i < size(_hits), concat(array(named_struct('k', cast(null AS int), 'v', g)), flatten(transform(slice(_hits, i + 1, 1), v -> {_parts('v')}))), array(named_struct('k', cast(null AS int), 'v', g)))))"
+    split = gaps.withColumn("_parts", F.when(F.col("_gaps").isNotNull(), F.expr(parts)))
+    split = split.withColumn("_parts", F.expr("if(exists(_parts, h -> h.k IS NOT NULL), _parts, null)"))
+    spans = """aggregate(_parts, named_struct('at', 0, 'found', cast(array() AS array<struct<k: int, start: int, end: int>>)), (a, h) -> named_struct(
+        'at', a.at + length(h.v),
+        'found', if(h.k IS NULL, a.found, concat(a.found, array(named_struct('k', h.k, 'start', a.at, 'end', a.at + length(h.v)))))), a -> a.found)"""
+    out = split.withColumn("_found", F.expr(f"if(_parts IS NULL, cast(array() AS array<struct<k: int, start: int, end: int>>), {spans})"))
+    out = out.withColumn("text", F.expr(f"if(_parts IS NULL, text, array_join(transform(_parts, h -> {_pseudonym(key)}), ''))"))
     if not found:
         return as_before(out, docs)
     return as_before(out.withColumn("row", F.struct("row.*", "_found")), docs.withColumn("_found", F.lit(None)))

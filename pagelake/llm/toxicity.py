@@ -12,14 +12,16 @@ these into coordinates whose inner products are the kernel's. A linear SVM with
 of about TRAIN_ROWS rows at most (drawn by hash), and a logistic curve to a text's two worst margins and its length.
 The fit is a few hundred numbers.
 
-Scoring is one pass over whole texts. Null and empty texts, and
-texts without a word near a landmark, get the score of no feature. Without labels of both kinds every score is 0.
-Repeated rows score alike. Extra columns are not read by `scored` and kept by `clean`.
+Scoring is one pass over whole texts; a very long text is one numpy array, some 60 bytes of memory a byte. Null and
+empty texts, and texts without a word near a landmark, get the score of no feature. Without labels of both kinds every
+score is near 0; an empty table gives no rows. Repeated rows score alike; ties between sentences don't change a score.
+Extra columns are not read by `scored` and kept by `clean`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,8 @@ EVIDENCE = 14.0
 FLOOR = 0.4
 #: Letters of a word that the kernel looks at at once; longer words are looked at in halves that overlap.
 WIDTH = 24
+#: Words whose kernels a task keeps (4 bytes a landmark each).
+KEPT_WORDS = 200_000
 
 #: Bits of a-z; other letters share the six bits that are left, by byte.
 _BIT = np.zeros(256, dtype=np.uint32)
@@ -46,45 +50,74 @@ for _b in range(97, 123):
     _BIT[_b] = np.uint32(1) << np.uint32(_b - 97)
 for _b in range(128, 256):
     _BIT[_b] = np.uint32(1) << np.uint32(26 + _b % 6)
+#: Numbers of letters: a-z, and each byte of other letters.
+CODES = 26 + 128 + 1
+_CODE = np.zeros(256, dtype=np.uint8)
+_CODE[97:123] = np.arange(1, 27)
+_CODE[128:] = np.arange(27, CODES)
 _WORD_BYTE = np.ones(256, dtype=bool)
 _WORD_BYTE[[9, 10, 11, 12, 13, 32]] = False
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[[10, 33, 46, 63]] = True  # line feed ! . ?
 
 
-def kernels(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Gap-weighted subsequence kernels of pairs of words: rows of bytes, 0 where a word has ended.
+def _keys(rows: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """(words, places): the subsequences of words of one length as numbers."""
+    letters = _CODE[rows].astype(np.int32)
+    return (letters[:, places[:, 0]] * CODES + letters[:, places[:, 1]]) * CODES + letters[:, places[:, 2]]
 
-    The usual recurrences, for all pairs at once: k1[i][j] carries the weight of common subsequences that end by i and j.
+
+def triples(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, subsequence, weight) of words as rows of bytes: each subsequence of ORDER letters that a word has, once, with
+    the sum over its places of DECAY to the power of the letters that the place spans. Sorted by word and subsequence.
+
+    Words of one length have the same places, so a length's words are one table of words by places.
     """
-    n, la, lb = len(a), a.shape[1], b.shape[1]
-    decay = np.float32(DECAY)
-    before = np.ones((n, la + 1, lb + 1), dtype=np.float32)
-    same = (a[:, :, None] == b[:, None, :]) & (a[:, :, None] != 0)
-    for order in range(1, ORDER + 1):
-        hit = np.where(same, before[:, :-1, :-1], np.float32(0)) * (decay * decay)
-        if order == ORDER:
-            return hit.sum(axis=(1, 2))
-        now = np.zeros_like(before)
-        for i in range(1, la + 1):
-            row = np.zeros(n, dtype=np.float32)
-            for j in range(1, lb + 1):
-                row = decay * row + hit[:, i - 1, j - 1]
-                now[:, i, j] = decay * now[:, i - 1, j] + row
-        before = now
-    raise ValueError("ORDER must be 1 or more")
+    lengths = (rows != 0).sum(axis=1)
+    words, keys, weights = [], [], []
+    for n in np.unique(lengths[lengths >= ORDER]).tolist():
+        places, weight = _places(n)
+        of = np.flatnonzero(lengths == n)
+        for at in range(0, len(of), max(1, 500_000 // len(places))):
+            part = of[at : at + max(1, 500_000 // len(places))]
+            flat = (_keys(rows[part], places) + part[:, None] * CODES**3).ravel()
+            order = np.argsort(flat, kind="stable")
+            flat = flat[order]
+            first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+            weights.append(np.add.reduceat(weight[order % len(places)], first))
+            words.append(flat[first] // CODES**3)
+            keys.append(flat[first] % CODES**3)
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    word, key, weight = np.concatenate(words), np.concatenate(keys), np.concatenate(weights)
+    order = np.argsort(word, kind="stable")
+    return word[order], key[order], weight[order]
+
+
+def _places(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of ORDER letters in a word of n, and their weights."""
+    if n not in _PLACES:
+        places = np.array(list(combinations(range(n), ORDER)))
+        _PLACES[n] = places, DECAY ** (places[:, -1] - places[:, 0] + 1.0)
+    return _PLACES[n]
+
+
+def least_norm(n: int) -> float:
+    return float(np.sqrt((_places(n)[1] ** 2).sum()))
+
+
+_PLACES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _rows(words: list[bytes], width: int) -> np.ndarray:
     return np.frombuffer(b"".join(w[:width].ljust(width, b"\0") for w in words), dtype=np.uint8).reshape(len(words), width)
 
 
-def _norms(rows: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(kernels(rows, rows), 1e-12))
+_NO_LETTERS = bytes(c for c in range(128) if not 97 <= c <= 122)
 
 
 def _letters(word: bytes) -> bytes:
-    return bytes(c for c in word if 97 <= c <= 122 or c >= 128)
+    return word.translate(None, _NO_LETTERS)
 
 
 def _halves(word: bytes) -> list[bytes]:
@@ -92,45 +125,107 @@ def _halves(word: bytes) -> list[bytes]:
 
 
 class Landmarks:
-    """Words, their norms and their letters; gives the normalised kernels of any word with them."""
+    """Words, and their subsequences as one table; gives the normalised kernels of any word with them.
+
+    A kernel of two words is the inner product of their subsequences' weights. So the landmarks' weights, divided by
+    their norms, are a matrix over the subsequences that any of them has, and a word's kernels with all landmarks at once
+    are its own few rows of that matrix, weighted and summed.
+    """
 
     def __init__(self, words: list[bytes]):
         self.words = words
-        self.rows = _rows(words, WIDTH)[:, : max(map(len, words), default=1)]
-        self.norms = _norms(self.rows) if words else np.zeros(0)
         self.masks = np.array([np.bitwise_or.reduce(_BIT[np.frombuffer(w, np.uint8)]) for w in words], dtype=np.uint32)
         # A word that is near has most of a landmark's letters.
         self.least = np.maximum(np.ceil(np.bitwise_count(self.masks) * 0.75), 2).astype(np.uint8)
-        self.seen: dict[bytes, np.ndarray] = {}
+        word, key, weight = triples(_rows(words, WIDTH)) if words else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        norms = np.sqrt(np.maximum(np.bincount(word, weight**2, len(words)), 1e-12))
+        known, column = np.unique(key, return_inverse=True)
+        # The last row, of zeros, is that of subsequences that no landmark has.
+        self.table = np.zeros((len(known) + 1, len(words)), dtype=np.float32)
+        self.table[column, word] = weight / norms[word]
+        self.known = known
+        self.forget()
+
+    def forget(self) -> None:
+        self.row_of: dict[bytes, int] = {}
+        self.values = np.zeros((1024, len(self.words)), dtype=np.float32)
+
+    def __getstate__(self) -> dict:
+        """What goes to the tasks: without the words met so far, and the subsequences' numbers are made again there."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("row_of", "values", "number")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.forget()
+
+    def numbers(self, keys: np.ndarray) -> np.ndarray:
+        """Rows of `table`, by a table over all subsequences."""
+        if not hasattr(self, "number"):
+            self.number = np.full(CODES**3, len(self.known), dtype=np.int32)
+            self.number[self.known] = np.arange(len(self.known))
+        return self.number[keys]
 
     def near(self, masks: np.ndarray) -> np.ndarray:
         """Of words by their letters: which may be near a landmark."""
-        found = np.zeros(len(masks), dtype=bool)
+        distinct, back = np.unique(masks, return_inverse=True)
+        found = np.zeros(len(distinct), dtype=bool)
         for mask, least in zip(self.masks, self.least):
-            found |= np.bitwise_count(masks & mask) >= least
-        return found
+            found |= np.bitwise_count(distinct & mask) >= least
+        return found[back]
+
+    def kernels(self, words: list[bytes]) -> np.ndarray:
+        """(words, landmarks) of normalised kernels, 0 below FLOOR; of a long word the greatest of its halves'."""
+        values = np.zeros((len(words), len(self.words)), dtype=np.float32)
+        halves = [(i, h) for i, w in enumerate(words) for h in _halves(_letters(w))]
+        if not halves or not self.words:
+            return values
+        owner, rows = np.array([i for i, _ in halves]), _rows([h for _, h in halves], WIDTH)
+        masks = np.bitwise_or.reduce(_BIT[rows], axis=1)
+        word, dots = self._dots(rows)
+        dots[np.bitwise_count(masks[word][:, None] & self.masks[None, :]) < self.least[None, :]] = 0
+        near = dots.max(axis=1) >= FLOOR
+        word, dots = word[near], dots[near]
+        of, _, weight = triples(rows[word])
+        norms = np.sqrt(np.maximum(np.bincount(of, weight**2, len(word)), 1e-12))
+        sums = dots * (np.array([least_norm(n) for n in (rows[word] != 0).sum(axis=1)]) / norms).astype(np.float32)[:, None]
+        np.maximum.at(values, owner[word], np.where(sums >= FLOOR, sums, 0))
+        return values
+
+    def _dots(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word, bounds): of words with a landmark's subsequence, what their kernels are at most.
+
+        The inner products with the landmarks, divided by the least norm that a word of so many letters can have: that
+        of different subsequences at all its places. Only words that this leaves need their norms.
+        """
+        lengths = (rows != 0).sum(axis=1)
+        words, dots = [np.zeros(0, np.int64)], [np.zeros((0, len(self.words)), np.float32)]
+        for n in np.unique(lengths[lengths >= ORDER]).tolist():
+            places, weight = _places(n)
+            of, share = np.flatnonzero(lengths == n), (weight / least_norm(n)).astype(np.float32)
+            step = max(1, 1_200_000 // len(places) // max(1, len(self.words) // 16))
+            for at in range(0, len(of), step):
+                number = self.numbers(_keys(rows[of[at : at + step]], places))
+                word, place = np.nonzero(number < len(self.known))
+                if len(word):
+                    first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+                    dots.append(np.add.reduceat(self.table[number[word, place]] * share[place][:, None], first, axis=0))
+                    words.append(of[at + word[first]])
+        return np.concatenate(words), np.concatenate(dots)
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        """(words, landmarks) of normalised kernels, 0 below FLOOR; kept by word, as words repeat."""
-        if len(self.seen) > 200_000:
-            self.seen.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self.seen]
+        """The kernels of `words`, kept by word, as words repeat."""
+        new = [w for w in dict.fromkeys(words) if w not in self.row_of]
+        if len(self.row_of) + len(new) > KEPT_WORDS and self.row_of:
+            self.forget()
+            new = list(dict.fromkeys(words))
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
-            halves = [(i, h) for i, w in enumerate(part) for h in _halves(_letters(w))]
-            values = np.zeros((len(part), len(self.words)), dtype=np.float32)
-            if halves:
-                owner, rows = np.array([i for i, _ in halves]), _rows([h for _, h in halves], WIDTH)
-                masks = np.bitwise_or.reduce(_BIT[rows], axis=1)
-                w, m = np.nonzero(np.bitwise_count(masks[:, None] & self.masks[None, :]) >= self.least[None, :])
-                for i in range(0, len(w), 8192):
-                    x, y = w[i : i + 8192], m[i : i + 8192]
-                    distinct, back = np.unique(x, return_inverse=True)
-                    cut = max(1, int((rows[distinct] != 0).sum(axis=1).max()))
-                    k = kernels(rows[x][:, :cut], self.rows[y]) / (_norms(rows[distinct][:, :cut])[back] * self.norms[y])
-                    np.maximum.at(values, (owner[x], y), np.where(k >= FLOOR, k, 0))
-            self.seen.update(zip(part, values))
-        return np.array([self.seen[w] for w in words], dtype=np.float32).reshape(len(words), len(self.words))
+            size = len(self.row_of)
+            while size + len(part) > len(self.values):
+                self.values = np.concatenate((self.values, np.zeros_like(self.values)))
+            self.values[size : size + len(part)] = self.kernels(part)
+            self.row_of.update(zip(part, range(size, size + len(part))))
+        return self.values[np.fromiter((self.row_of[w] for w in words), np.int64, len(words))]
 
 
 def sentence_features(column: pa.Array, marks: Landmarks) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -155,7 +250,7 @@ def sentence_features(column: pa.Array, marks: Landmarks) -> Iterator[tuple[int,
         raw = low.tobytes()
         at = np.flatnonzero(marks.near(masks) & (count >= 3))
         words = [raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())]
-        # Runs of three or more words of one letter each make a word.
+        # Runs of four or more words of one letter each make a word.
         single = count == 1
         turn = np.flatnonzero(np.diff(np.concatenate(([0], single.view(np.int8), [0]))))
         for a, b in zip(turn[::2].tolist(), turn[1::2].tolist()):
@@ -217,12 +312,15 @@ class Model:
         self.curve = curve
 
 
-def _worst(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Of each text: (its two worst sentences' margins, the logarithm of its words), and the worst sentence's features."""
-    out = np.full((len(column), 3), model.bias)
-    rows = np.zeros((len(column), len(model.marks.words)), dtype=np.float32)
+def _worst(n: int, parts: Iterator[tuple], model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Of n texts, from `sentence_features`: (two worst sentences' margins, the logarithm of the words), and the worst sentence's features.
+
+    Ties between sentences go to the greatest features, compared from the last landmark on, so the order doesn't matter.
+    """
+    out = np.full((n, 3), model.bias)
+    rows = np.zeros((n, len(model.marks.words)), dtype=np.float32)
     out[:, 2] = 0
-    for first, past, counts, text, features in sentence_features(column, model.marks):
+    for first, past, counts, text, features in parts:
         out[first:past, 2] = np.log1p(counts)
         if not len(text):
             continue
@@ -242,13 +340,18 @@ def held_out() -> F.Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, label): about TRAIN_ROWS labelled rows that aren't held out, drawn by hash; equal texts once."""
-    known = labels.select(F.col("doc_id").alias("l"), F.col("toxic").alias("label")).where("label IS NOT NULL").dropDuplicates(["l"])
+    """(doc_id, text, label): about TRAIN_ROWS labelled rows that aren't held out, drawn by hash.
+
+    Of several labels of a document the greatest holds; of equal texts one stays, of those with the greatest label the
+    smallest doc_id.
+    """
+    known = labels.select(F.col("doc_id").alias("l"), F.col("toxic").alias("label")).where("label IS NOT NULL").groupBy("l").agg(F.max("label").alias("label"))
     n = known.count()
     drawn = known.where(F.shiftrightunsigned(F.xxhash64("l"), 1) < F.lit(min(2**63 - 1, int(2**63 * min(1.0, TRAIN_ROWS / max(n, 1))))))
     drawn = F.broadcast(drawn)  # TRAIN_ROWS rows
     rows = docs.select("doc_id", "text").where(~held_out()).join(drawn, F.col("doc_id") == F.col("l")).select("doc_id", "text", "label")
-    return written(rows.withColumn("d", F.sha2("text", 256)).dropDuplicates(["d"]).drop("d"))
+    one = F.max_by(F.struct("doc_id", "text", "label"), F.struct("label", -F.col("doc_id").cast("long")))
+    return written(rows.groupBy(F.sha2("text", 256).alias("d")).agg(one.alias("r")).select("r.*"))
 
 
 def landmark_words(training: DataFrame) -> list[bytes]:
@@ -300,26 +403,48 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = 2) -> Model:
     if not words:
         model.curve[0] = -50.0
         return model
+    featured = training_features(training, model.marks)
     # Which sentence stands for a text is decided by kernels alone at first, then by the machine of the round before.
     model.weights = np.ones(len(words))
     for _ in range(rounds):
-        _, x, y = _bags(training, model)
+        _, x, y = _bags(featured, model)
         model.fit(x, y)
-    margins, _, y = _bags(training, model)
+    margins, _, y = _bags(featured, model)
     model.calibrate(margins, y)
     return model
 
 
-def _bags(training: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def training_features(training: DataFrame, marks: Landmarks) -> DataFrame:
+    """(doc_id, label, words, x): of each training text the features of its sentences, worked out once for all rounds."""
+    shared = training.sparkSession.sparkContext.broadcast(marks)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, x = np.zeros(len(batch), dtype=np.int64), [b""] * len(batch)
+            for first, past, counts, text, features in sentence_features(batch.column("text"), shared.value):
+                words[first:past] = counts
+                bounds = np.searchsorted(text, np.arange(first, past + 1))
+                for i in range(past - first):
+                    x[first + i] = features[bounds[i] : bounds[i + 1]].tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(words), pa.array(x, pa.binary())], ["doc_id", "label", "words", "x"])
+
+    rows = training.selectExpr("cast(doc_id AS long) AS doc_id", "text", "cast(label AS int) AS label")
+    return written(rows.mapInArrow(made, "doc_id long, label int, words long, x binary"))
+
+
+def _bags(featured: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(margins, features of the worst sentence, label) of the training texts, in an order that doesn't depend on Spark."""
-    shared = training.sparkSession.sparkContext.broadcast(model)
+    shared = featured.sparkSession.sparkContext.broadcast(model)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            margins, rows = _worst(batch.column("text"), shared.value)
+            each = [np.frombuffer(x.as_py(), np.float32).reshape(-1, len(shared.value.marks.words)) for x in batch.column("x")]
+            text = np.repeat(np.arange(len(batch)), [len(x) for x in each])
+            part = 0, len(batch), batch.column("words").to_numpy(), text, np.concatenate(each) if each else np.zeros((0, 0), np.float32)
+            margins, rows = _worst(len(batch), iter([part]), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(list(margins), pa.list_(pa.float64())), pa.array(list(rows), pa.list_(pa.float32()))], ["doc_id", "label", "m", "x"])
 
-    rows = training.selectExpr("cast(doc_id AS long) AS doc_id", "text", "cast(label AS int) AS label").mapInArrow(made, "doc_id long, label int, m array<double>, x array<float>")
+    rows = featured.mapInArrow(made, "doc_id long, label int, m array<double>, x array<float>")
     rows = rows.toPandas().sort_values("doc_id", kind="stable")  # about TRAIN_ROWS rows
     return np.array(rows["m"].tolist()).reshape(len(rows), 3), np.array(rows["x"].tolist(), dtype=np.float64).reshape(len(rows), -1), rows["label"].to_numpy()
 
@@ -330,7 +455,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.scores(_worst(batch.column("text"), shared.value)[0]))], ["doc_id", "score"])
+            margins, _ = _worst(len(batch), sentence_features(batch.column("text"), shared.value.marks), shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.scores(margins))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, score double")
 

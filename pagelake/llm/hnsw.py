@@ -1,14 +1,16 @@
 """Approximate nearest neighbours by a hierarchical navigable small-world graph per shard, merged over shards.
 
-Equal vectors are one class, of which the smallest ids suffice for any answer. Classes are dealt over shards by hash;
-a shard's graph is built in one task and written as flat arrays: for each level the nodes of it and, in one matrix,
-their neighbours. Nodes go in by rounds that double; a round's nodes look for their neighbours in the graph of the
-rounds before, all at once, so that building and searching are matrix work. Queries are packed in blocks and meet
-shards as rows: each (block, shard) pair is one task's matter. Each shard's best are merged by a window per query.
+Equal vectors are one class, of which the smallest ids suffice for any answer; they are told by a digest. Classes are
+dealt over shards by hash; a shard's graph is built in one task and written as flat arrays: for each level the nodes of
+it and, in one matrix, their neighbours. Nodes go in by rounds that double; a round's nodes look for their neighbours in
+the graph of the rounds before, all at once, so that building and searching are matrix work. Queries are packed in
+blocks. A task takes a shard's graph once and the blocks of queries one after another, as they stream by; blocks go to
+every shard, a shard goes out once for each QUERIES_A_TASK queries. Each shard's best are merged by a window per query.
 
 The score is the cosine in double precision on the original vectors. Vectors that are null, empty, zero or hold a null
 or non-finite component take no part; vectors of another length are never compared. Ties go to the smaller id. Equal
-ids, or fewer than k other vectors, give what there is. An empty table gives no rows. Extra columns are not read.
+ids are rows like any other, but none is a neighbour of its own id; fewer than k other vectors give what there is. A
+very long vector makes its shard larger in proportion. An empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from .common import written
 
 #: Vectors in a shard, about. A larger shard means fewer graphs for a query to visit and more memory to build one.
 SHARD_ROWS = 4_096
-#: Queries in a block.
-BLOCK = 512
+#: Queries in a block, and queries that one task looks up in a shard, about.
+BLOCK, QUERIES_A_TASK = 512, 65_536
 #: Neighbours of a node above the ground level; twice that on it. Candidates kept in building and in searching.
 LINKS, BUILD, SEARCH = 16, 64, 96
 
@@ -145,32 +147,39 @@ def _index(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _search(k: int):
+    """For mapInPandas over rows sorted by shard and part, the shard's own row first, then blocks of queries, whose
+    `ids` are null: the k + 1 best of each query in it."""
+
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, graph, ids, vectors, lengths = None, None, None, None, None
         for batch in batches:
             for row in batch.itertuples():
-                ids, vectors = np.frombuffer(row.ids, np.int64), np.frombuffer(row.vectors, np.float64).reshape(-1, row.dims)
-                links = [np.frombuffer(x, np.int32).reshape(len(ids), -1) for x in row.links]
-                queries, asked = np.array(row.queries, dtype=np.int64), np.frombuffer(row.asked, np.float64).reshape(-1, row.dims)
-                nodes, _ = Graph(_unit(vectors), links, row.entry).search(_unit(asked), SEARCH)
-                # Exact cosines of all that the search has kept, on the original vectors.
-                a, b = asked[:, None, :], vectors[np.maximum(nodes, 0)]
-                score = np.where(nodes >= 0, (a * b).sum(axis=2) / np.sqrt((a * a).sum(axis=2) * (b * b).sum(axis=2)), -np.inf)
-                order = np.argsort(-score, axis=1, kind="stable")[:, : k + 1]
-                node, score = np.take_along_axis(nodes, order, axis=1), np.take_along_axis(score, order, axis=1)
-                keep = node >= 0
-                yield pd.DataFrame({"query_class": np.repeat(queries, keep.sum(axis=1)), "class_id": ids[node[keep]], "score": score[keep]})
+                if row.ids is not None:
+                    key, ids, vectors = (row.shard, row.part), np.frombuffer(row.ids, np.int64), np.frombuffer(row.vectors, np.float64).reshape(-1, int(row.dims))
+                    graph = Graph(_unit(vectors), [np.frombuffer(x, np.int32).reshape(len(ids), -1) for x in row.links], int(row.entry))
+                    lengths = (vectors * vectors).sum(axis=1)
+                elif key == (row.shard, row.part):
+                    queries, asked = np.array(row.queries, dtype=np.int64), np.frombuffer(row.asked, np.float64).reshape(-1, int(row.dims))
+                    nodes, _ = graph.search(_unit(asked), SEARCH)
+                    # Exact cosines of all that the search has kept, on the original vectors.
+                    a, b = asked[:, None, :], vectors[np.maximum(nodes, 0)]
+                    score = np.where(nodes >= 0, (a * b).sum(axis=2) / np.sqrt((a * a).sum(axis=2) * lengths[np.maximum(nodes, 0)]), -np.inf)
+                    order = np.argsort(-score, axis=1, kind="stable")[:, : k + 1]
+                    node, score = np.take_along_axis(nodes, order, axis=1), np.take_along_axis(score, order, axis=1)
+                    keep = node >= 0
+                    yield pd.DataFrame({"query_class": np.repeat(queries, keep.sum(axis=1)), "class_id": ids[node[keep]], "score": score[keep]})
 
     return made
 
 
-def nearest(embeddings: DataFrame, every: int, k: int = 5, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def nearest(embeddings: DataFrame, every: int, k: int = 5, shard_rows: int = SHARD_ROWS, queries_a_task: int = QUERIES_A_TASK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose vec_id is divisible by `every`, among all other rows."""
     v = F.transform("embedding", lambda x: x.cast("double"))
     whole = F.expr("size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')) AND exists(v, x -> x <> 0)")
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL").where(whole)
-    classes = rows.groupBy("v").agg(F.min("vec_id").alias("class_id"))
-    members = rows.join(classes, "v").select("vec_id", "class_id")
-    classes = written(classes)
+    rows = rows.withColumn("digest", F.unhex(F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), " "), 256)))
+    classes = written(rows.groupBy("digest").agg(F.min("vec_id").alias("class_id"), F.first("v").alias("v")))
+    members = written(rows.select("vec_id", "digest").join(classes.select("digest", "class_id"), "digest").select("vec_id", "class_id"))
     # k + 1 ids of a class answer any query; found within salted parts first, as a class may be large.
     salted = Window.partitionBy("class_id", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("vec_id")
     among = Window.partitionBy("class_id").orderBy("vec_id")
@@ -182,12 +191,16 @@ def nearest(embeddings: DataFrame, every: int, k: int = 5, shard_rows: int = SHA
     dealt = classes.select("class_id", "v", F.concat_ws("-", F.size("v"), F.pmod(F.xxhash64("class_id"), F.lit(shards))).alias("shard"))
     index = written(dealt.groupBy("shard").applyInPandas(_index, "shard string, dims int, ids binary, vectors binary, links array<binary>, entry int"))
 
+    queries = asked.count()
+    blocks, parts = max(1, -(-queries // BLOCK)), max(1, -(-queries // queries_a_task))
     wanted = asked.select("query_class").distinct().join(classes, F.col("query_class") == F.col("class_id")).select("query_class", "v")
-    blocks = max(1, -(-asked.count() // BLOCK))
-    pack = lambda r: pd.DataFrame({"dims_asked": [len(r["v"].iloc[0])], "queries": [r["query_class"].to_numpy()], "asked": [np.array(r["v"].tolist()).tobytes()]})
-    packed = wanted.withColumn("dims", F.size("v")).withColumn("block", F.pmod(F.xxhash64("query_class"), F.lit(blocks))).groupBy("dims", "block").applyInPandas(pack, "dims_asked int, queries array<long>, asked binary")
-    # Every block of queries meets every shard; both are whole rows, dealt out pair by pair.
-    met = index.join(packed, F.col("dims") == F.col("dims_asked")).repartition(max(12, min(shards * blocks, 4_000)), "shard", F.col("queries")[0])
+    pack = lambda r: pd.DataFrame({"dims": [len(r["v"].iloc[0])], "queries": [r["query_class"].to_numpy()], "asked": [np.array(r["v"].tolist()).tobytes()]})
+    packed = wanted.withColumn("size", F.size("v")).withColumn("block", F.pmod(F.xxhash64("query_class"), F.lit(blocks))).groupBy("size", "block").applyInPandas(pack, "dims int, queries array<long>, asked binary")
+    part = F.pmod(F.xxhash64(F.col("queries")[0]), F.lit(parts)).cast("int")
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("ids", "binary"), ("vectors", "binary"), ("links", "array<binary>"), ("entry", "int"))]
+    blocks_of = written(packed).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select(F.concat_ws("-", "dims", "s").alias("shard"), part.alias("part"), "dims", *none, "queries", "asked")
+    shards_of = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "dims", "ids", "vectors", "links", "entry", F.lit(None).cast("array<long>").alias("queries"), F.lit(None).cast("binary").alias("asked"))
+    met = shards_of.union(blocks_of).repartition(max(12, min(shards * parts, 4_000)), "shard", "part").sortWithinPartitions("shard", "part", F.col("ids").isNull())
     found = met.mapInPandas(_search(k), "query_class long, class_id long, score double")
     best = Window.partitionBy("query_class").orderBy(F.col("score").desc(), "class_id")
     found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")

@@ -1,7 +1,10 @@
 """Operators that learn or approximate: held-out accuracy, recall, and what must hold for any model."""
 
+import itertools
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pagelake.llm import hnsw, licences, quality, toxicity
 
@@ -33,6 +36,9 @@ def test_neighbours_of_odd_vectors(spark):
     found = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in hnsw.nearest(e, 50).orderBy("query_id", "rank").collect()]
     assert found == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 50, 1.0), (0, 4, 3, 0.0), (50, 1, 0, 1.0), (50, 2, 1, 1.0), (50, 3, 2, 1.0), (50, 4, 3, 0.0)]
     assert hnsw.nearest(e.where("false"), 50).count() == 0
+    wide = e.withColumn("score", F.lit(1)).withColumn("shard", F.lit("x")).unionByName(e.limit(1).withColumn("score", F.lit(2)).withColumn("shard", F.lit("y")))
+    again = hnsw.nearest(wide, 50, shard_rows=2, queries_a_task=1).where("query_id = 50")
+    assert [(r["rank"], r["vec_id"]) for r in again.orderBy("rank").collect()] == [(1, 0), (2, 0), (3, 1), (4, 2), (5, 3)]
 
 
 @pytest.mark.parametrize("op,column,least", [(quality.op6, "quality", 0.9), (toxicity.op9, "toxic", 0.8)])
@@ -56,6 +62,31 @@ def test_models_of_odd_rows(spark):
     assert quality.scored(docs.where("false"), trained).count() == 0
 
 
+def test_kernel_is_that_of_enumeration():
+    """Normalised weights of common subsequences, place by place."""
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abcé"), n)).encode() for n in rng.integers(3, 10, 60)]
+
+    def subsequences(w):
+        out = {}
+        for p in itertools.combinations(range(len(w)), toxicity.ORDER):
+            key = bytes(w[i] for i in p)
+            out[key] = out.get(key, 0) + toxicity.DECAY ** (p[-1] - p[0] + 1)
+        return out
+
+    inner = lambda a, b: sum(v * b.get(k, 0) for k, v in a.items())
+    letters = [toxicity._letters(w) for w in words]
+    marks = [w for w in letters if len(w) > toxicity.ORDER][:10]
+    found = toxicity.Landmarks(marks).of(words)
+    for w, row in zip(letters, found):
+        for m, k in zip(marks, row):
+            a, b = subsequences(w), subsequences(m)
+            exact = inner(a, b) / np.sqrt(inner(a, a) * inner(b, b)) if a else 0
+            common = len(set(toxicity._BIT[list(w)]) & set(toxicity._BIT[list(m)]))
+            enough = common >= max(2, np.ceil(0.75 * len(set(toxicity._BIT[list(m)]))))
+            assert k == pytest.approx(exact if exact >= toxicity.FLOOR and enough else 0, abs=1e-5)
+
+
 def test_kernel_tolerates_insertions():
     marks = toxicity.Landmarks([b"idiot", b"worthless"])
     near = marks.of([b"idiot", b"id1iot", b"idxiot", b"worthlessly", b"table"])
@@ -76,8 +107,21 @@ def test_marginals_are_those_of_enumeration():
 
 
 def test_licences(spark):
+    """Whatever notices the documents hold, told by a string that only their families have."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    named = {"Apache License": "apache", "MIT License": "mit", "GNU General": "gpl", "CC BY-NC": "cc-by-nc"}
+    named = {"Apache License": "apache", "MIT License": "mit", "GNU General": "gpl", "CC BY-NC": "cc-by-nc", "All rights reserved": "proprietary"}
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    found = {r["doc_id"]: set(r["families"]) - {"proprietary"} for r in licences.scan(docs).collect()}
+    found = {r["doc_id"]: set(r["families"]) for r in licences.scan(docs).collect()}
     assert found == {d: {f for mark, f in named.items() if mark in t} for d, t in texts.items()}
+
+
+def test_licences_wrapped_and_odd(spark):
+    prose = "The harbour was quiet, and the boats lay at anchor\nuntil the evening came. Nobody spoke.\n"
+    wrapped = "\n".join(["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU Affero General Public License as", "published by the Free Software Foundation."])
+    texts = [prose + wrapped, prose + "\n" + wrapped + "\n\n" + prose, "Permission is hereby granted, free of charge,\nto any person obtaining a copy of this software\nand associated documentation files, to deal in the\nSoftware without restriction", None, "", "\n\n", prose * 2_000 + "Released under the MIT License.", prose, prose]
+    docs = spark.createDataFrame([(i, t, "x", 0.0) for i, t in enumerate(texts)], "doc_id long, text string, families string, p double")
+    found = {r["doc_id"]: r["families"] for r in licences.scan(docs).collect()}
+    assert found == {0: ["agpl"], 1: ["agpl"], 2: ["mit"], 3: [], 4: [], 5: [], 6: ["mit"], 7: [], 8: []}
+    assert licences.scan(docs.where("false")).count() == 0
+    again = licences.scan(docs.unionByName(docs))
+    assert again.count() == 18 and again.where("size(families) > 0").count() == 8

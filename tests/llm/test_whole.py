@@ -25,7 +25,7 @@ def test_personal_data_beside_numbers(spark):
     card = "4111 1111 1111 1111"
     texts = [f"{card} 12/27", "4111111111111111 123", f"12 {card}", f"1234 {card}", f"{card} 123-45-6789", "12/31/1999 02/29/2000 31/12/1999", "+44 20 7946 0958", "+442079460958", "call 2125550123 now", "+33 1 23 45 67 89", f"{card} 12ab", "13/32/1999 1234567890123456 7", "7" * 30_000]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows = {r["doc_id"]: r for r in pii.pseudonymised(docs, found=True).collect()}
+    rows = {r["doc_id"]: r for r in pii.pseudonymised(docs, "k", found=True).collect()}
     kinds = {i: [(pii.KINDS[s["k"]], texts[i][s["start"] : s["end"]]) for s in r["_found"]] for i, r in rows.items()}
     assert kinds == {0: [("card", card)], 1: [("card", card.replace(" ", ""))], 2: [("card", card)], 3: [("card", card)], 4: [("card", card), ("ssn", "123-45-6789")],
         5: [("date", d) for d in texts[5].split(" ")], 6: [("phone", texts[6])], 7: [("phone", texts[7])], 8: [("phone", "2125550123")], 9: [("phone", texts[9])], 10: [("card", card)], 11: [], 12: []}
@@ -35,5 +35,5 @@ def test_personal_data_beside_numbers(spark):
 
 def test_month_first_dates_stay_apart(spark):
     days = spark.sql("SELECT id AS doc_id, date_format(date_add(date'1900-01-01', cast(id AS int)), 'MM/dd/yyyy') AS text FROM range(73049)").where("substring(text, 4, 2) > '12'")
-    out = pii.pseudonymised(days).cache()
+    out = pii.pseudonymised(days, "k").cache()
     assert out.select("text").distinct().count() == days.count() and out.where("try_to_date(text, 'MM/dd/yyyy') IS NULL OR substring(text, 4, 2) <= '12'").count() == 0

@@ -129,15 +129,8 @@ def page_range(spark, sf_dir):
     return book_pages(table(spark, sf_dir, "documents")).where(F.col("page").between(3, 12)).select("book_id", F.col("page").cast("long").alias("page"), F.length("text").cast("long").alias("chars"))
 
 
-def paged_reading(spark, sf_dir):
-    pages = book_pages(table(spark, sf_dir, "documents"))
-    marked = F.concat(F.lit("[page "), F.col("page").cast("string"), F.lit("]\n"), T.page_text(F.col("text")))
-    window = pages.where("page <= 20").groupBy("book_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", marked.alias("t")))), lambda x: x["t"]), "\n\n").alias("full"))
-    return window.select("book_id", F.length("full").cast("long").alias("chars"), F.sha2(F.substring("full", 1, 20000), 256).alias("first"), F.sha2(F.substring("full", 20001, 20000), 256).alias("second"))
-
-
 def paged_reading_whole(spark, sf_dir):
-    """Every part of PART characters of each book's text; `paged_reading` and its SQL stop at page 20 and two parts.
+    """Every part of PART characters of each book's text.
 
     Places come from the pages' lengths alone; a part then gathers its own pieces of pages, so no book is one value.
     """
@@ -201,7 +194,7 @@ COLLAPSED = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 QUERIES = {
     "hybrid_search": hybrid_search, "lexical_search_multi_term": lexical_search, "semantic_topk": semantic_topk, "focus_boosted_search": focus_boosted,
     "term_split": term_split, "index_tokens": index_tokens, "page_length_factor": page_factor, "index_coverage": index_coverage,
-    "missing_embeddings_anti": missing_embeddings, "stale_embeddings_semi": stale_embeddings, "page_range_read": page_range, "paged_reading_offset": paged_reading, "paged_reading_whole": paged_reading_whole,
+    "missing_embeddings_anti": missing_embeddings, "stale_embeddings_semi": stale_embeddings, "page_range_read": page_range, "paged_reading_offset": paged_reading_whole, "paged_reading_whole": paged_reading_whole,
     "content_hash": page_digest, "html_strip": html_text, "url_param_unwrap": url_param, "citation_quotes_grounding": quote_grounding,
     "page_chunks": page_chunks, "single_chunk_pages": single_chunk_pages, "export_names": export_names,
 }
@@ -217,7 +210,7 @@ ORACLE_SQL = {
     "missing_embeddings_anti": "SELECT doc_id AS vec_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
     "stale_embeddings_semi": "SELECT vec_id, label FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE n_chars >= 200)",
     "page_range_read": f"WITH {PAGES} SELECT book_id, page, length(text) AS chars FROM pages_ WHERE page BETWEEN 3 AND 12",
-    "paged_reading_offset": f"WITH {PAGES}, w AS (SELECT book_id, string_agg('[page ' || page || ']' || chr(10) || {NORMAL.format('text')}, chr(10) || chr(10) ORDER BY page) AS f FROM pages_ WHERE page <= 20 GROUP BY book_id) SELECT book_id, length(f) AS chars, sha256(substring(f, 1, 20000)) AS first, sha256(substring(f, 20001, 20000)) AS second FROM w",
+    "paged_reading_offset": f"WITH {PAGES}, w AS (SELECT book_id, string_agg('[page ' || page || ']' || chr(10) || {NORMAL.format('text')}, chr(10) || chr(10) ORDER BY page) AS f FROM pages_ GROUP BY book_id), p AS (SELECT book_id, f, unnest(range((length(f) + 19999) // 20000)) AS part FROM w) SELECT book_id, part, length(substring(f, part * 20000 + 1, 20000)) AS chars, sha256(substring(f, part * 20000 + 1, 20000)) AS digest FROM p",
     "paged_reading_whole": f"WITH {PAGES}, w AS (SELECT book_id, string_agg('[page ' || page || ']' || chr(10) || {NORMAL.format('text')}, chr(10) || chr(10) ORDER BY page) AS f FROM pages_ GROUP BY book_id), p AS (SELECT book_id, f, unnest(range((length(f) + 19999) // 20000)) AS part FROM w) SELECT book_id, part, length(substring(f, part * 20000 + 1, 20000)) AS chars, sha256(substring(f, part * 20000 + 1, 20000)) AS digest FROM p",
     "content_hash": f"SELECT doc_id, sha256({NORMAL.format('text')}) AS content_hash, CAST(ceil((length(text) + 3 * (length(text) - length(regexp_replace(text, '{CJK}', '', 'g')))) / 4.0) AS BIGINT) AS tokens FROM documents",
     "html_strip": f"SELECT page_id, t AS text, length(replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) AS escaped_chars FROM (SELECT page_id, {HTML} AS t FROM pages)",

@@ -158,12 +158,6 @@ def chapter_ranges(spark, sf_dir):
 
 
 def section_range(spark, sf_dir):
-    nodes, totals = _nodes(spark, sf_dir)
-    return O.section_ranges(nodes.where("ord <= 40"), totals)
-
-
-def section_range_whole(spark, sf_dir):
-    """Sections of every node; `section_range` and its SQL stop at a book's 40th."""
     return O.section_ranges(*_nodes(spark, sf_dir))
 
 
@@ -252,7 +246,7 @@ QUERIES = {
     "retained_runs_by_budget": retained_runs, "elision_savings": elision, "conversation_replay": replay, "conversation_export": export, "evidence_top8": evidence,
     "inherited_evidence": inherited_evidence, "interrupted_messages": interrupted, "quota_reject": tool_quota, "job_queue_order": job_queue, "latest_job_per_kind": latest_jobs,
     "job_transition_validity": transitions, "reading_state_clamp": reading_state, "latest_wins_upsert": upsert, "cascade_delete": cascade, "covered_prefix": covered,
-    "running_header_suppression": running_headers, "offset_vote": offset_vote, "chapter_range_asof": chapter_asof, "chapter_ranges": chapter_ranges, "section_range": section_range, "section_range_whole": section_range_whole,
+    "running_header_suppression": running_headers, "offset_vote": offset_vote, "chapter_range_asof": chapter_asof, "chapter_ranges": chapter_ranges, "section_range": section_range, "section_range_whole": section_range,
     "monotone_page_repair": monotone, "embedded_gate": embedded_gate, "toc_window_candidates": toc_candidates, "inherited_pages": inherited_pages, "body_font_median": body_size,
     "level_tree": level_tree, "heading_candidates": title_keys, "rect_overlap_join": rect_overlap, "union_bbox": union_bbox, "trace_kind_counts": trace_kinds,
     "last_value_throttle": last_values, "idle_sessions": idle_sessions, "roman_numerals": roman,
@@ -277,7 +271,7 @@ ORACLE_SQL = {
     "offset_vote": f"WITH {PAGES}, v AS (SELECT book_id, CASE WHEN length(text) < 400 THEN 'toc' WHEN doc_id % 5 = 0 THEN 'anchor' ELSE 'body' END AS kind, CAST(page - floor(page * 0.9) AS BIGINT) AS o FROM pages_), c AS (SELECT book_id, o, count(*) FILTER (kind = 'anchor') AS a, count(*) FILTER (kind = 'body') AS b, count(*) FILTER (kind = 'toc') AS t FROM v GROUP BY ALL), w AS (SELECT book_id, (SELECT o FROM c x WHERE x.book_id = k.book_id AND a > 0 ORDER BY a DESC, a + b DESC, o LIMIT 1) AS ao, (SELECT a + b FROM c x WHERE x.book_id = k.book_id AND a > 0 ORDER BY a DESC, a + b DESC, o LIMIT 1) AS an, (SELECT o FROM c x WHERE x.book_id = k.book_id AND b > 0 ORDER BY b DESC, a + b DESC, o LIMIT 1) AS bo, (SELECT a + b FROM c x WHERE x.book_id = k.book_id AND b > 0 ORDER BY b DESC, a + b DESC, o LIMIT 1) AS bn, (SELECT o FROM c x WHERE x.book_id = k.book_id AND t > 0 ORDER BY t DESC, o LIMIT 1) AS \"to\", (SELECT t FROM c x WHERE x.book_id = k.book_id AND t > 0 ORDER BY t DESC, o LIMIT 1) AS tn FROM (SELECT DISTINCT book_id FROM c) k) SELECT book_id, CASE WHEN an >= 2 THEN ao WHEN bn >= 2 THEN bo WHEN tn >= 2 THEN \"to\" END AS page_offset, CASE WHEN an >= 2 THEN 'anchor' WHEN bn >= 2 THEN 'body' WHEN tn >= 2 THEN 'toc' END AS basis FROM w",
     "chapter_range_asof": f"WITH {PAGES}, {NODES} SELECT n.book_id, n.ord * 3 + 1 AS page, (SELECT max(x.page) FROM nodes x WHERE x.book_id = n.book_id AND x.depth = 1 AND x.page <= n.ord * 3 + 1) AS start FROM nodes n",
     "chapter_ranges": f"WITH {PAGES}, {NODES} SELECT book_id, s AS start, coalesce(lead(s) OVER (PARTITION BY book_id ORDER BY s) - 1, total) AS \"end\" FROM (SELECT DISTINCT book_id, page AS s FROM nodes WHERE depth = 1 AND page IS NOT NULL) JOIN totals USING (book_id)",
-    "section_range": f"WITH {PAGES}, {NODES}, n AS (SELECT * FROM nodes WHERE ord <= 40), p AS (SELECT a.*, (SELECT min(b.ord) FROM n b WHERE b.book_id = a.book_id AND b.ord > a.ord AND b.depth <= a.depth) AS past FROM n a), r AS (SELECT p.book_id, p.ord, p.depth, (SELECT arg_min(x.page, x.ord) FROM n x WHERE x.book_id = p.book_id AND x.page IS NOT NULL AND x.ord >= p.ord AND (p.past IS NULL OR x.ord < p.past)) AS start FROM p), k AS (SELECT * FROM r WHERE start IS NOT NULL) SELECT k.book_id, k.ord, k.start, greatest(k.start, coalesce((SELECT arg_min(y.start, y.ord) FROM k y WHERE y.book_id = k.book_id AND y.ord > k.ord AND y.depth <= k.depth) - 1, total)) AS \"end\" FROM k JOIN totals USING (book_id)",
+    "section_range": f"WITH {PAGES}, {NODES}, n AS (SELECT * FROM nodes), p AS (SELECT a.*, (SELECT min(b.ord) FROM n b WHERE b.book_id = a.book_id AND b.ord > a.ord AND b.depth <= a.depth) AS past FROM n a), r AS (SELECT p.book_id, p.ord, p.depth, (SELECT arg_min(x.page, x.ord) FROM n x WHERE x.book_id = p.book_id AND x.page IS NOT NULL AND x.ord >= p.ord AND (p.past IS NULL OR x.ord < p.past)) AS start FROM p), k AS (SELECT * FROM r WHERE start IS NOT NULL) SELECT k.book_id, k.ord, k.start, greatest(k.start, coalesce((SELECT arg_min(y.start, y.ord) FROM k y WHERE y.book_id = k.book_id AND y.ord > k.ord AND y.depth <= k.depth) - 1, total)) AS \"end\" FROM k JOIN totals USING (book_id)",
     "section_range_whole": f"WITH {PAGES}, {NODES}, n AS (SELECT * FROM nodes), p AS (SELECT a.*, (SELECT min(b.ord) FROM n b WHERE b.book_id = a.book_id AND b.ord > a.ord AND b.depth <= a.depth) AS past FROM n a), r AS (SELECT p.book_id, p.ord, p.depth, (SELECT arg_min(x.page, x.ord) FROM n x WHERE x.book_id = p.book_id AND x.page IS NOT NULL AND x.ord >= p.ord AND (p.past IS NULL OR x.ord < p.past)) AS start FROM p), k AS (SELECT * FROM r WHERE start IS NOT NULL) SELECT k.book_id, k.ord, k.start, greatest(k.start, coalesce((SELECT arg_min(y.start, y.ord) FROM k y WHERE y.book_id = k.book_id AND y.ord > k.ord AND y.depth <= k.depth) - 1, total)) AS \"end\" FROM k JOIN totals USING (book_id)",
     "monotone_page_repair": f"WITH {PAGES}, {NODES} SELECT book_id, ord, CASE WHEN page IS NOT NULL THEN max(page * 7 % 50) OVER (PARTITION BY book_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS page FROM nodes",
     "embedded_gate": f"WITH {PAGES}, {NODES}, x AS (SELECT n.*, total, page BETWEEN 1 AND total AS ok, page - lag(page) OVER (PARTITION BY n.book_id ORDER BY ord) AS step FROM nodes n JOIN totals USING (book_id)), g AS (SELECT book_id, total, count(*) AS n, count(*) FILTER (ok) AS r, count(DISTINCT page) FILTER (ok) AS pages, count(DISTINCT trim(label)) AS labels, count(*) FILTER (NOT regexp_matches(trim(label), '^[0-9]+$')) AS words, count(*) FILTER (step = 1) AS steps FROM x GROUP BY ALL) SELECT book_id, n >= 3 AND r >= 2 AND r / n >= 0.5 AND pages >= 2 AND labels > 1 AND words > 0 AND NOT (n = total AND steps = n - 1) AS accepted FROM g",

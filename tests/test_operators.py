@@ -89,6 +89,34 @@ def test_frontier_stream(spark, tmp_path):
 
 
 def test_repeat_stream(spark, tmp_path):
-    rows = [[("r", i, "a", "x", 600)] for i in range(4)]
-    out = run_stream(spark, tmp_path, rows, "run_id string, seq long, args_hash string, result_hash string, chars int", events.repeats, "append")
+    rows = [[("r", i, "t", "a", "x", 600)] for i in range(4)]
+    schema = "run_id string, seq long, tool string, args_hash string, result_hash string, chars int"
+    out = run_stream(spark, tmp_path, rows, schema, events.repeats, "append")
     assert sorted(v for batch in out for *_, v in batch) == sorted(["full", "stub", "warn", "final"])
+    # A chain goes by results, whatever was asked; tools and short results are told apart.
+    cases = {"mixed": "ax bx bx ax", "args": "ax bx cx", "short": "ax bx cx ax", "tools": "ax ax"}
+    rows = [(run, i, f"t{i}" if run == "tools" else "t", c[0], c[1], 100 if run == "short" else 600) for run, steps in cases.items() for i, c in enumerate(steps.split())]
+    found = {}
+    for r in events.repeat_verdicts(spark.createDataFrame(rows, schema)).orderBy("run_id", "seq").collect():
+        found.setdefault(r["run_id"], []).append(r["verdict"])
+    assert found == {"mixed": ["full", "stub", "warn", "final"], "args": ["full", "stub", "final"], "short": ["full", "full", "full", "final"], "tools": ["full", "full"]}
+
+
+def test_sinks_and_caches_stream(spark, tmp_path):
+    source = tmp_path / "in"
+    schema = "book_id string, page long, text string, ts timestamp, key string"
+    for i, rows in enumerate([[("b", 1, "old", 0), ("b", 2, "two", 1)], [("b", 1, "new", 2), ("b", 0, "no", 3), ("c", 1, None, 4)]]):
+        spark.createDataFrame([(*r[:3], None, f"k{r[3] % 2}") for r in rows], schema).withColumn("ts", F.lit("2024-01-01").cast("timestamp")).coalesce(1).write.parquet(str(source / f"batch={i}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(source))
+    for query in (events.ingested(stream, str(tmp_path / "pages"), str(tmp_path / "c1")), events.trace_sink(stream.selectExpr("book_id", "ts", "text AS kind", "text AS data"), str(tmp_path / "traces"), str(tmp_path / "c2"))):
+        query.processAllAvailable()
+        query.stop()
+    pages = {(r["book_id"], r["page"]): r["text"] for r in events.latest_pages(spark, str(tmp_path / "pages")).collect()}
+    assert pages == {("b", 1): "new", ("b", 2): "two"}
+    lines = spark.read.text(str(tmp_path / "traces"))
+    assert lines.count() == 5 and traces(lines.where("book_id = 'b'")).count() == 4
+    out = tmp_path / "once"
+    query = events.results_once(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c3")).start(str(out))
+    query.processAllAvailable()
+    query.stop()
+    assert spark.read.schema(schema).parquet(str(out)).count() == 2

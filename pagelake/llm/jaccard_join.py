@@ -8,13 +8,13 @@ Two texts link when the Jaccard similarity of their sets of five-word shingles i
 3. A set of n shingles needs o = ceil(0.75 n) of them in any partner. Its prefix of length n - o + l shares l shingles
    or more with the prefix of every partner (the larger l of the two taken down to the smaller). Documents begin with
    l = 1; the estimated cost of a prefix is the sum of its frequencies, and l grows with its excess over one a shingle.
-4. Components need connections, not all pairs. A round takes a document of each shingle as pivot and verifies each
-   document against the pivot it shares most with. Rounds go on while shingles join documents of different components
-   at a high count of pairs; then every pair that is left, in different components and sharing as many prefix
-   shingles as its smaller l, is verified. So no link between different components is lost.
-5. Verification intersects the whole sets; it streams the documents of a pivot past the pivot's set.
+4. Components need connections, not all pairs. A document of each shingle is its pivot, and each document is verified
+   against the pivot it shares most with (`rounds` draws further pivots while many pairs of different components are
+   left; one round is what the query uses). Then every pair that is left, in different components and sharing as many
+   prefix shingles as its smaller l, is verified. So no link between different components is lost.
+5. Verification intersects the whole sets, by hashes of 64 bits; it streams the documents of a pivot past the pivot's set.
 
-Null or empty texts have an empty set and link with nothing, not with each other. Repeated rows are exact copies; a
+A very long text is one set, some 30 bytes of memory a word. Ties between pivots go to the smaller doc_id. Null or empty texts have an empty set and link with nothing, not with each other. Repeated rows are exact copies; a
 repeated doc_id with different texts is not told apart, so ids should be unique. Rows without doc_id take no part: they
 have no row in `near_duplicates`, and `one_of_each` keeps them. An empty table gives no rows. Extra columns are not read
 by `near_duplicates` and kept by `one_of_each`.
@@ -44,12 +44,16 @@ ROWS_A_PIVOT = 1_000
 PAIRS_A_DOCUMENT = 1
 #: Bytes of text whose shingles make up one hash range, which one task sorts at a time.
 RANGE_BYTES = 16 << 20
-#: Hashes are 48 bits in rows and 40 where whole sets are packed, to be counted or intersected.
+#: Hashes are 64 bits where sets are intersected, 48 in the rows of prefixes (equal ones there only lead to a pair that is
+#: verified), and 40 where they are counted (which decides the order of shingles, not links).
 ROW_SHIFT, SHIFT = U(16), U(24)
+#: Copies of one text beyond which its class is told to every task: at least so many, and a ten thousandth of all rows.
+BIG_CLASS = 1_000
 
 
-def _packed(tokens: np.ndarray) -> bytes:
-    return np.ascontiguousarray((tokens >> SHIFT).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+def _packed(short: np.ndarray) -> bytes:
+    """Five bytes each of hashes of 40 bits."""
+    return np.ascontiguousarray(short.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
@@ -64,14 +68,22 @@ def _needed(n: np.ndarray | int):
 
 
 def _ranges(ranges: int):
-    """For mapInArrow over (text): sorted hashes of the texts' shingles, once for each text that has them, by hash range."""
-    width = -(-(1 << 64) // ranges)
+    """For mapInArrow over (text): sorted distinct hashes of the texts' shingles by hash range, in how many of the texts each is.
+
+    Those of one text are apart from the others, as they need no number. Work goes with the hashes, not the ranges.
+    """
+    width = U(-(-(1 << 40) // ranges))
 
     def out(held: list[np.ndarray]) -> pa.RecordBatch:
-        tokens = np.sort(np.concatenate(held))
-        first = np.searchsorted(tokens, np.array([i * width for i in range(ranges)], dtype=U)).tolist()
-        parts = [(i, tokens[a:b]) for i, (a, b) in enumerate(zip(first, [*first[1:], len(tokens)])) if b > a]
-        return pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([_packed(x) for _, x in parts], pa.binary())], ["range", "tokens"])
+        tokens, counts = np.unique(np.concatenate(held) >> SHIFT, return_counts=True)
+        rows = []
+        for keep, told in ((counts == 1, False), (counts > 1, True)):
+            some, n = tokens[keep], counts[keep].astype(np.int32)
+            at = some // width
+            first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(some) else np.zeros(0, np.int64)
+            for i, j in zip(first.tolist(), [*first[1:].tolist(), len(some)]):
+                rows.append((int(at[i]), _packed(some[i:j]), n[i:j].tobytes() if told else None))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["range", "tokens", "counts"])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -90,26 +102,29 @@ def _ranges(ranges: int):
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of partitions of whole ranges: hashes of HOT_DF documents or more, with their number. One range is held at a time."""
-    def told(parts: list[bytes]) -> pa.RecordBatch:
-        tokens, df = np.unique(np.concatenate([_unpacked(x) for x in parts]), return_counts=True)
+    def told(parts: list[tuple[bytes, bytes | None]]) -> pa.RecordBatch:
+        tokens = [_unpacked(x) for x, _ in parts]
+        n = np.concatenate([np.ones(len(t), np.int64) if c is None else np.frombuffer(c, np.int32) for t, (_, c) in zip(tokens, parts)])
+        tokens, at = np.unique(np.concatenate(tokens), return_inverse=True)
+        df = np.bincount(at, n).astype(np.int64)
         keep = df >= HOT_DF
-        return pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(df[keep].astype(np.int64))], ["token", "df"])
+        return pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(df[keep])], ["token", "df"])
 
     now, parts = None, []
     for batch in batches:
-        for key, blob in zip(batch.column("range").to_pylist(), batch.column("tokens")):
+        for key, blob, counts in zip(batch.column("range").to_pylist(), batch.column("tokens"), batch.column("counts")):
             if key != now and parts:
                 yield told(parts)
                 parts = []
             now = key
-            parts.append(blob.as_py())
+            parts.append((blob.as_py(), counts.as_py()))
     if parts:
         yield told(parts)
 
 
 def frequencies(docs: DataFrame, text_bytes: int) -> DataFrame:
     """(token, df): the at most HOT most frequent shingles of `docs`, which have so many bytes of text."""
-    ranges = docs.select("text").mapInArrow(_ranges(max(12, text_bytes // RANGE_BYTES)), "range int, tokens binary")
+    ranges = docs.select("text").mapInArrow(_ranges(max(12, text_bytes // RANGE_BYTES)), "range long, tokens binary, counts binary")
     counted = ranges.repartition("range").sortWithinPartitions("range").mapInArrow(_frequent, "token long, df long")
     return counted.orderBy(F.col("df").desc(), "token").limit(HOT)
 
@@ -186,7 +201,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        blobs = pa.array([_packed(x) for x in shingle_sets(batch.column("text"), WORDS)], pa.binary())
+        blobs = pa.array([x.tobytes() for x in shingle_sets(batch.column("text"), WORDS)], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column("pivot"), batch.column("salt"), batch.column("doc_id"), blobs], ["pivot", "salt", "doc_id", "tokens"])
 
 
@@ -196,7 +211,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = [], []
         for pivot, salt, doc, blob in zip(batch.column("pivot").to_pylist(), batch.column("salt").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("tokens")):
-            tokens = _unpacked(blob.as_py())
+            tokens = np.frombuffer(blob.as_py(), U)
             if pivot == doc:
                 key, own = (pivot, salt), tokens
             elif key == (pivot, salt):
@@ -223,15 +238,29 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return written(streams.mapInArrow(_verified, "a long, b long"))
 
 
+def _classes(members: DataFrame, n_rows: int) -> DataFrame:
+    """(doc_id, rep) of (doc_id, digest): the smallest doc_id with the same digest.
+
+    Large classes are told to every task, at most 10,000 of them, as a class would else be one task's rows.
+    """
+    classes = written(members.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1"))
+    big = F.col("n") > max(BIG_CLASS, n_rows // 10_000)
+    large = F.broadcast(classes.where(big).select(F.col("digest").alias("large"), F.col("rep").alias("large_rep")))
+    placed = members.select("doc_id", "digest").join(large, F.col("digest") == F.col("large"), "left")
+    # Rows of large classes have a key of their own where the others are joined.
+    key = F.when(F.col("large").isNull(), F.col("digest")).otherwise(F.concat(F.lit("-"), F.col("doc_id").cast("string")))
+    others = classes.where(~big).select(F.col("digest").alias("other"), "rep")
+    return placed.withColumn("key", key).join(others, F.col("key") == F.col("other"), "left").select("doc_id", F.coalesce("large_rep", "rep", "doc_id").alias("rep"))
+
+
 def near_duplicates(docs: DataFrame, rounds: int = 1) -> DataFrame:
     """One row for each row of `docs`: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.where("doc_id IS NOT NULL")
     members = written(docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.octet_length("text").alias("bytes")))
-    text_bytes = members.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    classes = members.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    members = written(members.join(classes, "digest").select("doc_id", "rep"))
+    text_bytes, n_rows = members.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
+    members = written(_classes(members, n_rows))
     unique = members.where("doc_id = rep").select(F.col("rep").alias("r")).distinct()
     copies = written(members.where("doc_id <> rep").select(F.col("doc_id").alias("r")).distinct())
     own = docs.select("doc_id", "text")

@@ -7,7 +7,9 @@ document). Sorting every suffix of a corpus moves many times its size, so only s
    equal strings mark the same one. About one position in 35 is marked. An anchor's context is all that the strings
    around it hold: the bytes from LENGTH - GRAM before it to LENGTH after its start.
 2. Anchors meet by the hash of their gram. One whose whole context occurs earlier is repeated throughout; that needs no
-   sorting. Of each distinct context the first anchor is left, and only if its gram has other contexts.
+   sorting. Contexts are told apart by 96 bits beside the 64 of their gram, not byte by byte. Of each distinct context
+   the first anchor is left, and only if its gram has other contexts. Of hot grams (`hot_grams`) contexts are dealt out
+   one by one, and their strings meet by 128 bits of hashes instead of the merge, so that no gram is one task's work.
 3. The suffixes at those anchors, LENGTH bytes each, are sorted in runs where their texts are read and exchanged
    front-coded: the length of the prefix shared with the suffix before, and the rest. A loser tree merges the runs; it
    knows each head's common prefix with the last suffix that left and compares only behind it, so the merged order
@@ -16,7 +18,8 @@ document). Sorting every suffix of a corpus moves many times its size, so only s
 4. The spans found meet their documents, which are cut.
 
 Texts are UTF-8 bytes; null is empty. Texts below LENGTH bytes and rows without doc_id lose nothing. Repeated document ids: each row is cut by
-the spans of all rows of the id, so ids should be unique. Empty tables give no rows; extra columns are not read.
+the spans of all rows of the id, so ids should be unique. A very long text is one array, some 100 bytes of memory a
+byte. Ties between equal strings go to the smaller doc_id and start. Empty tables give no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -32,6 +35,10 @@ from .bytewords import _OF_BYTE, _P, U, mix, pieces, powers, texts_of
 from .common import small_batches, written
 
 LENGTH, GRAM = 100, 32
+#: A second base of polynomial hashes.
+_P2 = 0xD6E8FEB86659FD93
+#: Grams with more than this share of the anchors of every 16th text are hot: at most 1 / HOT_SHARE of them.
+HOT_SHARE = 0.002
 LEFT = LENGTH - GRAM
 WINDOW = LENGTH - GRAM + 1
 
@@ -46,12 +53,12 @@ def _hash(sums: np.ndarray, inverse: np.ndarray, start: np.ndarray, end: np.ndar
     return (sums[end] - sums[start]) * inverse[start]
 
 
-def anchors_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, position in it, hash of the gram, hash of the context) of the anchors of a run of texts."""
+def anchors_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, position in it, hash of the gram, 64 and 32 bits of hashes of the context) of the anchors of a run of texts."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < LENGTH:
-        return none, none, none.view(U), none.view(U)
+        return none, none, none.view(U), none.view(U), none.astype(np.int32)
     sums, inverse = _prefix_sums(data), powers(pow(_P, -1, 1 << 64), n + 1)
     grams = n - GRAM + 1
     hashes = mix((sums[GRAM:] - sums[:grams]) * inverse[:grams])
@@ -69,48 +76,116 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     at = np.unique(least[room] & U(0xFFFFFFFF)).astype(np.int64)
     text = np.searchsorted(offsets, at, side="right") - 1
     begin, end = np.maximum(at - LEFT, offsets[text]), np.minimum(at + LENGTH, offsets[text + 1])
-    context = mix(_hash(sums, inverse, begin, end) + mix((at - begin).astype(U) * U(1 << 20) + (end - at).astype(U)))
-    return text, at - offsets[text], hashes[at], context
+    shape = mix((at - begin).astype(U) * U(1 << 20) + (end - at).astype(U))
+    context = mix(_hash(sums, inverse, begin, end) + shape)
+    # A second hash of its own powers, so that contexts are told apart by 96 bits, and by the 64 of their gram.
+    other = np.zeros(n + 1, dtype=U)
+    np.cumsum(_OF_BYTE[data] * powers(_P2, n), dtype=U, out=other[1:])
+    more = mix(_hash(other, powers(pow(_P2, -1, 1 << 64), n + 1), begin, end) + shape)
+    return text, at - offsets[text], hashes[at], context, (more >> U(32)).astype(np.uint32).view(np.int32)
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (text): (gram, n) of grams that are many in a batch, and the number of its anchors as gram 0."""
     for batch in batches:
-        ids = batch.column("doc_id").to_numpy()
-        for first, past, data, offsets in pieces(*texts_of(batch.column("text"))):
-            text, at, gram, context = anchors_of(data, offsets)
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(ids[first:past][text]), pa.array(at.astype(np.int32))], ["gram", "context", "doc_id", "at"])
+        found = [anchors_of(data, offsets)[2] for _, _, data, offsets in pieces(*texts_of(batch.column("text")))]
+        gram, n = np.unique(np.concatenate(found) if found else np.zeros(0, U), return_counts=True)
+        keep = n > HOT_SHARE / 2 * n.sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(gram[keep].view(np.int64), 0)), pa.array(np.append(n[keep], n.sum()).astype(np.int64))], ["gram", "n"])
+
+
+def hot_grams(texts: DataFrame) -> np.ndarray:
+    """Grams that would fill a task: found on a sixteenth of the texts, as they only decide how work is split, never a result."""
+    some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0).select("text").mapInArrow(_heavy, "gram long, n long")
+    sums = some.groupBy("gram").agg(F.sum("n").alias("n"))
+    total = sums.where("gram = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return np.array(sorted(r["gram"] for r in sums.where(f"gram <> 0 AND n > {max(1000, int(HOT_SHARE * total))}").collect()), dtype=np.int64)  # at most 1 / HOT_SHARE rows
+
+
+def _anchors(hot: np.ndarray):
+    """For mapInArrow over (doc_id, text): the anchors, and the part of the work they belong to: their gram's, of hot grams their context's."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy()
+            for first, past, data, offsets in pieces(*texts_of(batch.column("text"))):
+                text, at, gram, context, more = anchors_of(data, offsets)
+                gram, context = gram.view(np.int64), context.view(np.int64)
+                part = np.where(np.isin(gram, hot), context, gram)
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(gram), pa.array(context), pa.array(more), pa.array(ids[first:past][text]), pa.array(at.astype(np.int32))], ["part", "gram", "context", "more", "doc_id", "at"])
+
+    return made
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of anchors sorted by gram, context, doc_id, at: those repeated throughout (first = false), and the first of each
-    context whose gram has others (first = true). The first anchor of a gram waits until another context comes."""
+def _met(hot: np.ndarray):
+    """For mapInArrow over anchors sorted by gram, context, more, doc_id, at: those repeated throughout (first = false), and
+    the first of each context whose gram has others, or is hot (first = true). The first anchor of a gram waits until another context comes."""
 
     def out(rows: pa.RecordBatch, first: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("at"), rows.column("gram"), pa.array(first)], ["doc_id", "at", "gram", "first"])
 
-    gram0 = context0 = waiting = None
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram0 = context0 = more0 = waiting = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            gram, context, more = (batch.column(c).to_numpy() for c in ("gram", "context", "more"))
+            new_gram = np.concatenate(([gram[0] != gram0], gram[1:] != gram[:-1]))
+            new_context = new_gram | np.concatenate(([context[0] != context0 or more[0] != more0], (context[1:] != context[:-1]) | (more[1:] != more[:-1])))
+            other = new_context & ~new_gram
+            group = np.cumsum(new_gram)  # 0: goes on from the batch before
+            has_other = np.zeros(group[-1] + 1, dtype=bool)
+            has_other[group[other | np.isin(gram, hot)]] = True
+            if waiting is not None and has_other[0]:
+                yield out(waiting, np.array([True]))
+                waiting = None
+            first = other | (new_gram & has_other[group])
+            keep = first | ~new_context
+            if keep.any():
+                yield out(batch.filter(pa.array(keep)), first[keep])
+            if group[-1] > 0:
+                last = int(np.flatnonzero(new_gram)[-1])
+                waiting = None if has_other[-1] else batch.slice(last, 1)
+            gram0, context0, more0 = gram[-1], context[-1], more[-1]
+
+    return made
+
+
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (doc_id, text, ats): 128 bits of hashes of every LENGTH-byte string around the anchors, with its start."""
+    for batch in batches:
+        ids, ats = batch.column("doc_id").to_numpy(), batch.column("ats").to_pylist()
+        for first, past, data, offsets in pieces(*texts_of(batch.column("text"))):
+            at = [np.asarray(a, np.int64) for a in ats[first:past]]
+            text = np.repeat(np.arange(past - first), [len(a) for a in at])
+            start = (np.concatenate(at) + offsets[text])[:, None] - np.arange(LEFT + 1)[None, :]
+            good = (start >= offsets[text][:, None]) & (start + LENGTH <= offsets[text + 1][:, None])
+            text, start = np.repeat(text, good.sum(axis=1)), start[good]
+            hashes = []
+            for base in (_P, _P2):
+                sums = np.zeros(len(data) + 1, dtype=U)
+                np.cumsum(_OF_BYTE[data] * powers(base, len(data)), dtype=U, out=sums[1:])
+                hashes.append(mix(_hash(sums, powers(pow(base, -1, 1 << 64), len(data) + 1), start, start + LENGTH)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[0]), pa.array(hashes[1]), pa.array(ids[first:past][text]), pa.array((start - offsets[text]).astype(np.int32))], ["h", "more", "doc_id", "start"])
+
+
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of strings sorted by hash, doc_id and start: all but the first of each, as spans."""
+    last = None
     for batch in batches:
-        n = len(batch)
-        if not n:
+        if not len(batch):
             continue
-        gram, context = batch.column("gram").to_numpy(), batch.column("context").to_numpy()
-        new_gram = np.concatenate(([gram[0] != gram0], gram[1:] != gram[:-1]))
-        new_context = new_gram | np.concatenate(([context[0] != context0], context[1:] != context[:-1]))
-        other = new_context & ~new_gram
-        group = np.cumsum(new_gram)  # 0: goes on from the batch before
-        has_other = np.zeros(group[-1] + 1, dtype=bool)
-        has_other[group[other]] = True
-        if waiting is not None and has_other[0]:
-            yield out(waiting, np.array([True]))
-            waiting = None
-        first = other | (new_gram & has_other[group])
-        keep = first | ~new_context
+        h, more, doc, start = (batch.column(c).to_numpy() for c in ("h", "more", "doc_id", "start"))
+        again = np.concatenate(([last is not None and (h[0], more[0]) == last[:2]], (h[1:] == h[:-1]) & (more[1:] == more[:-1])))
+        # The same place, found from two of its anchors, is not a repetition of itself: the first place of a string goes on.
+        new = ~again
+        index = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
+        first_doc = np.where(index < 0, last[2] if last else 0, doc[np.maximum(index, 0)])
+        first_start = np.where(index < 0, last[3] if last else 0, start[np.maximum(index, 0)])
+        keep = again & ((doc != first_doc) | (start != first_start))
+        last = h[-1], more[-1], first_doc[-1], first_start[-1]
         if keep.any():
-            yield out(batch.filter(pa.array(keep)), first[keep])
-        if group[-1] > 0:
-            last = int(np.flatnonzero(new_gram)[-1])
-            waiting = None if has_other[-1] else batch.slice(last, 1)
-        gram0, context0 = gram[-1], context[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(start[keep]), pa.array((start[keep] + LENGTH).astype(np.int32))], ["doc_id", "start", "end"])
 
 
 def _runs(ranges: int):
@@ -257,10 +332,18 @@ def repeated_spans(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """(doc_id, start, end): bytes that are repeated from earlier; a document's spans may overlap, and end past its text."""
     small_batches(docs.sparkSession)
     texts = docs.selectExpr("cast(doc_id AS long) AS doc_id", "text").where("octet_length(text) >= 100 AND doc_id IS NOT NULL")
-    rows = texts.mapInArrow(_anchors, "gram long, context long, doc_id long, at int")
-    met = written(rows.repartition("gram").sortWithinPartitions("gram", "context", "doc_id", "at").mapInArrow(_met, "doc_id long, at int, gram long, first boolean"))
+    hot = hot_grams(texts)
+    rows = texts.mapInArrow(_anchors(hot), "part long, gram long, context long, more int, doc_id long, at int")
+    met = written(rows.repartition("part").sortWithinPartitions("gram", "context", "more", "doc_id", "at").mapInArrow(_met(hot), "doc_id long, at int, gram long, first boolean"))
     whole = met.where("NOT first").select("doc_id", F.greatest(F.col("at") - LEFT, F.lit(0)).alias("start"), (F.col("at") + LENGTH).alias("end"))
     firsts = met.where("first")
+    if len(hot):
+        # A hot gram's suffixes would be merged in one task; its strings meet one another by hash instead, each its own key.
+        is_hot = F.col("gram").isin(hot.tolist())
+        places = firsts.where(is_hot).groupBy(F.col("doc_id").alias("d")).agg(F.sort_array(F.collect_list("at")).alias("ats"))
+        strings = texts.join(places, F.col("doc_id") == F.col("d")).select("doc_id", "text", "ats").mapInArrow(_strings, "h long, more long, doc_id long, start int")
+        whole = whole.union(strings.repartition("h").sortWithinPartitions("h", "more", "doc_id", "start").mapInArrow(_later, "doc_id long, start int, end int"))
+        firsts = firsts.where(~is_hot)
     if ranges is None:  # some 20,000 suffixes each
         ranges = max(12, firsts.count() // 20_000)
     at = firsts.groupBy(F.col("doc_id").alias("d")).agg(F.sort_array(F.collect_list(F.struct("at", "gram"))).alias("s")).select("d", F.col("s.at").alias("ats"), F.col("s.gram").alias("grams"))

@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +65,31 @@ def test_passages(spark, odd):
     assert table(suffixes.op7(spark, SF), "n_bytes", "n_removed", "n_spans", "kept_sha256") == wanted(docs)
 
 
+def test_passages_at_hot_grams(spark, monkeypatch):
+    """A gram that everything has, behind other words each time, gives the same cuts as the plain version."""
+    rng = random.Random(9)
+    line = "a line of thirty-two bytes and more that everybody has in common"
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 9)))
+    few = [" ".join(word() for _ in range(12)) for _ in range(30)]
+    rows = [(i, " ".join([rng.choice(few), line, rng.choice(few), word() * 3, line])) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen = []
+    plain = suffixes.hot_grams
+
+    def told(texts):
+        monkeypatch.setattr(suffixes, "HOT_SHARE", 0.02)
+        gram = suffixes.anchors_of(*suffixes.texts_of(pa.array([t for _, t in rows])))[2].view("int64")
+        seen.extend(g for g, n in Counter(gram.tolist()).most_common(5))
+        return np.array(sorted(seen), dtype=np.int64)
+
+    monkeypatch.setattr(suffixes, "hot_grams", told)
+    found = suffixes.deduplicated(docs).withColumn("h", F.sha2("kept", 256))
+    assert table(found, "n_bytes", "n_removed", "n_spans", "h") == brute.passages(rows) and seen
+    monkeypatch.setattr(suffixes, "hot_grams", plain)
+    again = suffixes.deduplicated(docs).withColumn("h", F.sha2("kept", 256))
+    assert table(again, "n_bytes", "n_removed", "n_spans", "h") == brute.passages(rows)
+
+
 def test_merge_knows_prefixes():
     rng = random.Random(1)
     items = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 9))) for _ in range(300)]

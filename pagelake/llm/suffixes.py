@@ -39,6 +39,8 @@ LENGTH, GRAM = 100, 32
 _P2 = 0xD6E8FEB86659FD93
 #: Grams with more than this share of the anchors of every 16th text are hot: at most 1 / HOT_SHARE of them.
 HOT_SHARE = 0.002
+#: Groups of documents in which a hot gram's contexts meet first; the first of each group then meet one another.
+SALTS = 64
 LEFT = LENGTH - GRAM
 WINDOW = LENGTH - GRAM + 1
 
@@ -103,7 +105,8 @@ def hot_grams(texts: DataFrame) -> np.ndarray:
 
 
 def _anchors(hot: np.ndarray):
-    """For mapInArrow over (doc_id, text): the anchors, and the part of the work they belong to: their gram's, of hot grams their context's."""
+    """For mapInArrow over (doc_id, text): the anchors, and the part of the work they belong to: their gram's, of hot grams
+    that of their context and one of SALTS groups of documents."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,7 +114,8 @@ def _anchors(hot: np.ndarray):
             for first, past, data, offsets in pieces(*texts_of(batch.column("text"))):
                 text, at, gram, context, more = anchors_of(data, offsets)
                 gram, context = gram.view(np.int64), context.view(np.int64)
-                part = np.where(np.isin(gram, hot), context, gram)
+                salted = mix(context.view(U) ^ (ids[first:past][text] % SALTS).astype(U)).view(np.int64)
+                part = np.where(np.isin(gram, hot), salted, gram)
                 yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(gram), pa.array(context), pa.array(more), pa.array(ids[first:past][text]), pa.array(at.astype(np.int32))], ["part", "gram", "context", "more", "doc_id", "at"])
 
     return made
@@ -122,7 +126,10 @@ def _met(hot: np.ndarray):
     the first of each context whose gram has others, or is hot (first = true). The first anchor of a gram waits until another context comes."""
 
     def out(rows: pa.RecordBatch, first: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("at"), rows.column("gram"), pa.array(first)], ["doc_id", "at", "gram", "first"])
+        # Contexts are kept of hot grams' first anchors only, which meet once more.
+        no = ~(first & np.isin(rows.column("gram").to_numpy(), hot))
+        told = [pa.array(rows.column(c).to_numpy(), mask=no) for c in ("context", "more")]
+        return pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("at"), rows.column("gram"), pa.array(first), *told], ["doc_id", "at", "gram", "first", "context", "more"])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram0 = context0 = more0 = waiting = None
@@ -328,13 +335,19 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from of(runs)
 
 
+MET = "doc_id long, at int, gram long, first boolean, context long, more int"
+
+
 def repeated_spans(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """(doc_id, start, end): bytes that are repeated from earlier; a document's spans may overlap, and end past its text."""
     small_batches(docs.sparkSession)
     texts = docs.selectExpr("cast(doc_id AS long) AS doc_id", "text").where("octet_length(text) >= 100 AND doc_id IS NOT NULL")
     hot = hot_grams(texts)
     rows = texts.mapInArrow(_anchors(hot), "part long, gram long, context long, more int, doc_id long, at int")
-    met = written(rows.repartition("part").sortWithinPartitions("gram", "context", "more", "doc_id", "at").mapInArrow(_met(hot), "doc_id long, at int, gram long, first boolean"))
+    met = written(rows.repartition("part").sortWithinPartitions("gram", "context", "more", "doc_id", "at").mapInArrow(_met(hot), MET))
+    if len(hot):
+        again = met.where("context IS NOT NULL").select("gram", "context", "more", "doc_id", "at").repartition("context").sortWithinPartitions("gram", "context", "more", "doc_id", "at")
+        met = written(met.where("context IS NULL").union(again.mapInArrow(_met(hot), MET)))
     whole = met.where("NOT first").select("doc_id", F.greatest(F.col("at") - LEFT, F.lit(0)).alias("start"), (F.col("at") + LENGTH).alias("end"))
     firsts = met.where("first")
     if len(hot):

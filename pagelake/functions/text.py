@@ -10,6 +10,11 @@ CJK = r"[　-鿿＀-￯]"
 TERM_BREAKS = r"[\s,，、;；:：/|]+"
 DOT_LEADERS = r"[.．·・…‥]{3,}"
 MAX_TERMS, FULL_LENGTH, LENGTH_FLOOR = 8, 120, 0.4
+#: What a heading begins with, and the most characters it has.
+HEADING_WORDS = r"第[一二三四五六七八九十百零〇0-9]+[章节篇部]|chapter\s+\w+"
+HEADING_NUMBER, HEADING_CHARS = r"\d+(?:\.\d+){0,3}\s+\S", 80
+#: Entities by name.
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "ndash": "-", "mdash": "--", "hellip": "...", "amp": "&"}
 SNIPPET_BEFORE, SNIPPET_AFTER, SNIPPET_MISS = 60, 100, 160
 
 
@@ -71,21 +76,33 @@ def bounded_fact(text: Column, most: int) -> Column:
     return F.left(F.trim(F.regexp_replace(F.regexp_replace(text, r"[\x00-\x1f\x7f]", " "), r"\s+", " ")), F.lit(most))
 
 
-def export_name(title: Column, most: int = 80) -> Column:
-    """A title as a file name: no reserved characters, no dots at the end."""
-    x = F.trim(F.regexp_replace(collapsed(title), r'[<>:"/\\|?*\x00-\x1f]', ""))
-    return F.left(F.regexp_replace(x, r"\.+$", ""), F.lit(most))
+def export_name(title: Column, day: Column, label: str = "conversation", fallback: str = "untitled", most: int = 80) -> Column:
+    """A conversation's file name: its title without reserved characters and without dots or blanks at the end, and the day."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(title, r"\s+", " "), r'[<>:"/\\|?*\x00-\x1f]', ""))
+    cut = F.regexp_replace(F.left(F.regexp_replace(bare, "[. ]+$", ""), F.lit(most)), "[. ]+$", "")
+    return F.concat(F.coalesce(F.nullif(cut, F.lit("")), F.lit(fallback)), F.lit(f"-{label}-"), F.date_format(day, "yyyyMMdd"), F.lit(".md"))
 
 
 def stripped_html(html: Column) -> Column:
     """Bold marks vanish, other tags are a space, white space is collapsed."""
-    return collapsed(F.regexp_replace(F.regexp_replace(html, r"(?i)</?b>", ""), r"<[^>]*>", " "))
+    return collapsed(F.regexp_replace(F.regexp_replace(html, r"(?i)</?b\b[^>]*>", ""), r"<[^>]+>", " "))
 
 
 def decoded_entities(text: Column) -> Column:
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Entities by name or number as their characters, each read once; numbers that are no character stay."""
+    parts = F.regexp_extract_all(text, F.lit(r"(?is)(&(?:" + "|".join(ENTITIES) + r"|#\d+|#x[0-9a-f]+);|&|[^&]+)"), F.lit(1))
+    named = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+
+    def one(part: Column) -> Column:
+        name = F.lower(F.regexp_extract(part, "^&([^;]+);$", 1))
+        digits = F.when(F.left(name, F.lit(2)) == "#x", F.conv(F.substring(name, 3, 100), 16, 10)).otherwise(F.substring(name, 2, 100))
+        code = digits.try_cast("long")
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        # A code point as four bytes of UTF-32.
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(name == "", part).when(F.left(name, F.lit(1)) == "#", F.when(valid, char).otherwise(part)).otherwise(F.coalesce(named[name], part))
+
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(parts, one), "")).otherwise(text)
 
 
 def escaped_html(text: Column) -> Column:
@@ -95,8 +112,9 @@ def escaped_html(text: Column) -> Column:
 
 
 def looks_like_heading(line: Column) -> Column:
-    """At most 80 characters that begin with a chapter word or a dotted number."""
-    return (F.length(line) <= 80) & line.rlike(r"^(第\s*[0-9一二三四五六七八九十百零〇两]+\s*[章节篇部]|(?i:chapter|part|section|unit)\s+[0-9ivxlc]+\b|[0-9]+(\.[0-9]+)*[.、]?\s+\S)")
+    """At most HEADING_CHARS characters that begin with a chapter word or a dotted number."""
+    bare = F.trim(line)
+    return (F.length(bare) <= HEADING_CHARS) & bare.rlike(f"^(?i:{HEADING_WORDS}|{HEADING_NUMBER})")
 
 
 def roman_numeral(text: Column) -> Column:

@@ -2,32 +2,94 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.tables import few
 
+#: How long quotes are, how much of one is shown, what a page claim and a quote look like.
 LEAST_QUOTE, MOST_QUOTE, EXCERPT = 6, 160, 60
-QUOTED = r"[“\"「]([^”\"」\n]{6,160})[”\"」]"
-CLAIMED = r"(?i)(?:\bp(?:age|\.)\s*|第\s*)([0-9]{1,4})\b"
+CLAIMED = r"第\s*(\d{1,4})\s*页"
+QUOTED = r"[「“]([^「」“”]{6,160})[」”]|\"([^\"\n]{6,160})\"|《([^《》]{6,160})》"
+#: Quotes looked for in one pass over the pages; more take more passes.
+QUOTES_A_PASS = 50_000
+
+
+def _excerpt(quote: str) -> F.Column:
+    return F.when(F.length(quote) > EXCERPT, F.concat(F.left(quote, F.lit(EXCERPT)), F.lit("…"))).otherwise(F.col(quote))
+
+
+def _occurrences(corpus: DataFrame, forms: list[str]) -> DataFrame:
+    """(page_id, q) for each form within each page: all forms are looked for at once, in time linear in the text."""
+    kind = corpus.schema["page_id"].dataType.simpleString()
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        searched = ahocorasick.Automaton()
+        for form in forms:
+            searched.add_word(form, form)
+        searched.make_automaton()
+        for batch in batches:
+            rows = [(p, q) for p, m in zip(batch["page_id"], batch["m"]) if m for q in {q for _, q in searched.iter(m)}]
+            yield pd.DataFrame(rows, columns=["page_id", "q"])
+
+    return corpus.mapInPandas(found, f"page_id {kind}, q string")
 
 
 def grounded(quotes: DataFrame, pages: DataFrame) -> DataFrame:
-    """(quote_id, n_pages, first_page_id, excerpt): pages that contain each quote in match form. quotes: (quote_id, quote); pages: (page_id, text)."""
-    wanted = quotes.select("quote_id", "quote", T.match_form(F.col("quote")).alias("q")).where("length(q) > 0")
+    """(quote_id, n_pages, first_page_id, excerpt): pages that contain each quote in match form. quotes: (quote_id, quote); pages: (page_id, text).
+
+    A quote without letters and digits is on no page. QUOTES_A_PASS quotes at a time go to the tasks.
+    """
+    wanted = quotes.select("quote_id", T.match_form(F.col("quote")).alias("q")).where("q <> ''")
+    forms = wanted.select("q").distinct()
+    passes = max(1, -(-forms.count() // QUOTES_A_PASS))
     corpus = pages.select("page_id", T.match_form(F.col("text")).alias("m"))
-    found = corpus.join(few(wanted), F.expr("instr(m, q) > 0")).groupBy("quote_id").agg(F.count("*").alias("n_pages"), F.min("page_id").alias("first_page_id"))
-    cut = F.when(F.length("quote") > EXCERPT, F.concat(F.left("quote", F.lit(EXCERPT)), F.lit("…"))).otherwise(F.col("quote"))
-    return quotes.join(found, "quote_id", "left").select("quote_id", F.coalesce("n_pages", F.lit(0)).alias("n_pages"), "first_page_id", cut.alias("excerpt"))
+    found = None
+    for i in range(passes):
+        some = [r["q"] for r in forms.where(F.pmod(F.xxhash64("q"), F.lit(passes)) == i).collect()]  # about QUOTES_A_PASS
+        if some:
+            part = _occurrences(corpus, some).groupBy("q").agg(F.count("*").alias("n_pages"), F.min("page_id").alias("first_page_id"))
+            found = part if found is None else found.union(part)
+    if found is None:
+        found = corpus.where("false").select(F.col("m").alias("q"), F.lit(0).cast("long").alias("n_pages"), F.col("page_id").alias("first_page_id"))
+    by_quote = wanted.join(found, "q").drop("q")
+    return quotes.join(by_quote, "quote_id", "left").select("quote_id", F.coalesce("n_pages", F.lit(0)).alias("n_pages"), "first_page_id", _excerpt("quote").alias("excerpt"))
 
 
 def page_claims(answers: DataFrame) -> DataFrame:
-    """(answer_id, page): distinct pages that answers name."""
+    """(answer_id, book_id, page): the distinct pages that answers (answer_id, book_id, body) name."""
     numbers = F.regexp_extract_all("body", F.lit(CLAIMED), F.lit(1))
-    return answers.select("answer_id", F.explode_outer(F.array_distinct(F.transform(numbers, lambda n: n.cast("int")))).alias("page")).where("page > 0")
+    return answers.select("answer_id", "book_id", F.explode(F.array_distinct(F.transform(numbers, lambda n: n.cast("int")))).alias("page")).where("page > 0")
+
+
+def answer_quotes(answers: DataFrame) -> DataFrame:
+    """(answer_id, book_id, i, quote): what answers quote, in order, trimmed, LEAST_QUOTE characters or more."""
+    groups = [F.regexp_extract_all("body", F.lit(QUOTED), F.lit(g)) for g in (1, 2, 3)]
+    spans = F.zip_with(F.zip_with(groups[0], groups[1], lambda a, b: F.concat(a, b)), groups[2], lambda a, b: F.trim(F.concat(a, b)))
+    return answers.select("answer_id", "book_id", F.posexplode(spans).alias("i", "quote")).where(F.length("quote") >= LEAST_QUOTE)
+
 
+def checked(answers: DataFrame, evidence: DataFrame, pages: DataFrame) -> DataFrame:
+    """(answer_id, kind, page, excerpt): what in answers no page bears out.
 
-def unfounded_claims(claims: DataFrame, evidence: DataFrame, indexed: DataFrame) -> DataFrame:
-    """Claims that neither the answer's evidence (answer_id, page) nor the index (page) has."""
-    return claims.join(evidence, ["answer_id", "page"], "left_anti").join(indexed, "page", "left_anti")
+    A page claim is unindexed where the page is neither evidence (answer_id, page) nor among the book's `pages` (book_id,
+    page, text). A quote is not found where none of the pages claimed or in evidence has it in match form; where none
+    of these has text, quotes aren't judged. Answers on books without any page have no findings. An answer meets its own
+    pages only, by equal keys.
+    """
+    indexed = pages.select("book_id").distinct()
+    asked = answers.select("answer_id", "book_id", "body").join(indexed, "book_id", "left_semi")
+    claims, shown = page_claims(asked), evidence.select("answer_id", F.col("page").cast("int").alias("page")).distinct()
+    open_claims = claims.join(shown, ["answer_id", "page"], "left_anti").join(pages.select("book_id", "page"), ["book_id", "page"], "left_anti")
+    unindexed = open_claims.select("answer_id", F.lit("page_claim_unindexed").alias("kind"), "page", F.concat(F.lit("第 "), F.col("page").cast("string"), F.lit(" 页")).alias("excerpt"))
+    named = claims.unionByName(shown.join(asked.select("answer_id", "book_id"), "answer_id")).distinct()
+    texts = pages.select("book_id", "page", T.match_form(F.col("text")).alias("m")).where("m <> ''")
+    corpus = named.join(texts, ["book_id", "page"]).select("answer_id", "m")
+    quotes = answer_quotes(asked).select("answer_id", "i", "quote", T.match_form(F.col("quote")).alias("q")).where("q <> ''")
+    judged = quotes.join(corpus, "answer_id").groupBy("answer_id", "i").agg(F.max(F.contains("m", "q")).alias("ok"), F.first("quote").alias("quote"))
+    absent = judged.where("NOT ok").select("answer_id", F.lit("quote_not_found").alias("kind"), F.lit(None).cast("int").alias("page"), _excerpt("quote").alias("excerpt"))
+    return unindexed.unionByName(absent)

@@ -6,29 +6,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .headings import CHINESE_DIGITS, PHONETIC
+
 LEAST_ENTRIES, LEAST_RESOLVED, LEAST_RATIO, LEAST_VOTES = 3, 2, 0.5, 2
-HEADER_PAGES = 3
 #: Ords of a book in one window.
 BLOCK = 20_000
-
-
-def ordinal(label: Column) -> Column:
-    """'c7' for a chapter, 's2.3' for a section 3 of chapter 2, null otherwise."""
-    chapter = F.regexp_extract(label, r"(?i)^\s*(?:chapter|part|unit)\s+([0-9]+)\b", 1)
-    section = F.regexp_extract(label, r"^\s*([0-9]+)\.([0-9]+)(?:\s|$)", 0)
-    numbers = F.regexp_extract(label, r"^\s*([0-9]+\.[0-9]+)(?:\s|$)", 1)
-    return F.when(chapter != "", F.concat(F.lit("c"), chapter)).when(section != "", F.concat(F.lit("s"), numbers))
-
-
-def explicit_level(label: Column) -> Column:
-    dotted = F.regexp_extract(label, r"^\s*([0-9]+(?:\.[0-9]+)+)", 1)
-    return F.when(label.rlike(r"(?i)^\s*(chapter|part|unit)\s+[0-9ivxlc]+\b"), 1).when(label.rlike(r"(?i)^\s*section\s+[0-9]+"), 2).when(dotted != "", F.least(F.lit(3), F.size(F.split(dotted, r"\."))))
+#: Fixed value: what titles of bookmarks without one begin with.
+PLACEHOLDER = "未命名"
 
 
 def title_key(label: Column) -> Column:
-    """What a title is looked up by: without ordinals, letters and digits only, at least two."""
-    bare = F.regexp_replace(F.lower(label), r"^\s*((chapter|part|section|unit)\s+[0-9ivxlc]+|[0-9]+(\.[0-9]+)*)\W*", "")
-    key = F.regexp_replace(bare, r"[^\p{L}\p{N}]+", "")
+    """What a title is looked up by: without ordinals and phonetic notes, letters and digits only, at least two."""
+    bare = F.regexp_replace(label, rf"^第[{CHINESE_DIGITS}\d]+(?:部|篇|章|节|组|单元)\s*", "")
+    bare = F.regexp_replace(bare, r"(?i)^(?:part|chapter|appendix|unit|section)\s+(?:\d+|[ivxlcdm]+)\b\s*", "")
+    bare = F.regexp_replace(bare, r"^[1-9]\d?\s*[.．]\s*[1-9]\d{0,2}(?![.\d])\s*", "")
+    bare = F.regexp_replace(bare, r"^[1-9]\d?\s*\*?\s*[\s.．]?\s*", "")
+    title = F.when(bare != "", bare).otherwise(label)
+    key = F.regexp_replace(F.lower(F.regexp_replace(title, PHONETIC, "")), r"[^a-z0-9一-鿿]", "")
     return F.when(F.length(key) >= 2, key)
 
 
@@ -55,16 +49,6 @@ def page_offset(votes: DataFrame) -> DataFrame:
     return per.select("book_id", F.coalesce(won("a"), won("b"), won("t")).alias("page_offset"), basis.alias("basis"))
 
 
-def without_running_headers(headings: DataFrame) -> DataFrame:
-    """The first heading of each ordinal, and of each label that stands on HEADER_PAGES pages or more; all others."""
-    key = F.lower(F.trim("label"))
-    marked = headings.withColumn("_k", F.coalesce(F.col("ordinal"), key))
-    pages = F.size(F.collect_set("page").over(Window.partitionBy("book_id", "_k")))
-    first = F.row_number().over(Window.partitionBy("book_id", "_k").orderBy("page", "ord"))
-    seen = marked.withColumn("_p", pages).withColumn("_r", first)
-    return seen.where((F.col("_r") == 1) | (F.col("ordinal").isNull() & (F.col("_p") < HEADER_PAGES))).drop("_k", "_p", "_r")
-
-
 def chapter_ranges(nodes: DataFrame, totals: DataFrame) -> DataFrame:
     """(book_id, start, end): roots' distinct pages, each to the page before the next; the last to the end of the book."""
     starts = nodes.where("depth = 1 AND page IS NOT NULL").select("book_id", F.col("page").alias("start")).distinct()
@@ -117,16 +101,21 @@ def monotone(nodes: DataFrame) -> DataFrame:
 
 
 def embedded_gate(nodes: DataFrame, totals: DataFrame) -> DataFrame:
-    """(book_id, accepted): whether a file's own bookmarks are worth using."""
-    w = Window.partitionBy("book_id").orderBy("ord")
-    paged = nodes.join(totals, "book_id").withColumn("ok", F.col("page").between(1, F.col("total"))).withColumn("step", F.col("page") - F.lag("page").over(w))
-    label = F.trim("label")
-    per = paged.groupBy("book_id", "total").agg(
-        F.count("*").alias("n"), F.count_if("ok").alias("r"), F.count_distinct(F.when(F.col("ok"), F.col("page"))).alias("pages"), F.count_distinct(label).alias("labels"),
-        F.count_if(~label.rlike("^[0-9]+$")).alias("words"), F.count_if(F.col("step") == 1).alias("steps"))
-    junk = (F.col("n") == F.col("total")) & (F.col("steps") == F.col("n") - 1)
-    good = (F.col("n") >= LEAST_ENTRIES) & (F.col("r") >= LEAST_RESOLVED) & (F.col("r") / F.col("n") >= LEAST_RATIO) & (F.col("pages") >= 2) & (F.col("labels") > 1) & (F.col("words") > 0) & ~junk
-    return per.select("book_id", good.alias("accepted"))
+    """(book_id, accepted): whether a file's own bookmarks are worth using.
+
+    Entries without a page in the book count as such only. Blank labels don't; labels that are all alike, all numbers or
+    all placeholders don't serve, nor does a bookmark for each page of the book in turn.
+    """
+    before = Window.partitionBy("book_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    good = nodes.join(totals, "book_id").withColumn("ok", F.when(F.col("page").between(F.lit(1), F.col("total")), F.col("page")))
+    good = good.withColumn("step", F.col("ok") - F.last("ok", ignorenulls=True).over(before))
+    label = F.nullif(F.trim(F.coalesce("label", F.lit(""))), F.lit(""))
+    per = good.groupBy("book_id", "total").agg(
+        F.count("*").alias("n"), F.count("ok").alias("r"), F.count_distinct("ok").alias("pages"), F.count_distinct(label).alias("labels"),
+        F.count_if(~label.rlike("^[0-9]+$")).alias("words"), F.count_if(~label.startswith(PLACEHOLDER)).alias("named"), F.count_if(F.col("step") != 1).alias("jumps"))
+    every_page = (F.col("r") >= F.greatest(F.lit(3), F.col("total"))) & (F.col("jumps") == 0)
+    enough = (F.col("n") >= LEAST_ENTRIES) & (F.col("r") >= LEAST_RESOLVED) & (F.col("r") / F.col("n") >= LEAST_RATIO) & (F.col("pages") >= 2)
+    return per.select("book_id", (enough & (F.col("labels") > 1) & (F.col("words") > 0) & (F.col("named") > 0) & ~every_page).alias("accepted"))
 
 
 def toc_candidates(pages: DataFrame) -> DataFrame:

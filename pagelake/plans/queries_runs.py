@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import outline, runs, search
+from ..operators import headings, runs, search
 from ..sources.tables import book_pages, few, messages, table
 from .queries_state import MSG, NODES, PAGES, _nodes
 
@@ -126,7 +126,9 @@ def fenced_writes(spark, sf_dir):
 def section_headings(spark, sf_dir):
     """Dotted labels: their ordinal and level."""
     label = F.concat((F.col("p_size") % 9).cast("string"), F.lit("."), (F.col("p_partkey") % 7).cast("string"), F.when(F.col("p_partkey") % 2 == 0, F.lit(".3")).otherwise(""), F.lit(" "), F.col("p_name"))
-    return table(spark, sf_dir, "part").select("p_partkey", outline.ordinal(label).alias("ordinal"), outline.explicit_level(label).alias("level"))
+    o = headings.ordinal(label)
+    made = F.concat(F.lit("s"), o["scope"].cast("string"), F.lit("."), o["number"].cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", made.alias("ordinal"), headings.explicit_level(label).alias("level"))
 
 
 QUERIES = {
@@ -158,5 +160,5 @@ ORACLE_SQL = {
     "conversation_date_range": "SELECT user_id, CASE WHEN a = b THEN a ELSE a || ' – ' || b END AS range FROM (SELECT user_id, strftime(min(ts), '%Y-%m-%d') AS a, strftime(max(ts), '%Y-%m-%d') AS b FROM events GROUP BY user_id)",
     "relocate_by_hash": "SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS first_id FROM documents",
     "fenced_checkpoint_writes": "SELECT o_orderkey AS job_id, least(greatest(CAST(floor(o_totalprice - 1000) AS BIGINT), 0), 90000) AS progress FROM orders WHERE o_custkey % 3 = o_orderkey % 3 AND o_orderstatus <> 'P'",
-    "section_ordinals": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 1 THEN 's' || (p_size % 9) || '.' || (p_partkey % 7) END AS ordinal, CASE WHEN p_partkey % 2 = 0 THEN 3 ELSE 2 END AS level FROM part",
+    "section_ordinals": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 1 AND p_size % 9 > 0 AND p_partkey % 7 > 0 THEN 's' || (p_size % 9) || '.' || (p_partkey % 7) END AS ordinal, CASE WHEN p_partkey % 2 = 0 THEN 3 ELSE 2 END AS level FROM part",
 }

@@ -170,6 +170,18 @@ def quote_grounding(spark, sf_dir):
     return citations.grounded(quotes, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text"))
 
 
+def citations_checked(spark, sf_dir):
+    """An answer for each page: it quotes the page (one in seven misquotes), and names it, the next or one that isn't there."""
+    pages = book_pages(table(spark, sf_dir, "documents"))
+    d = F.col("doc_id")
+    named = F.when(d % 11 == 0, 9999).otherwise(F.col("page") % 9000 + F.when(d % 4 == 0, 1).otherwise(0))
+    said = F.concat(F.when(d % 7 == 0, "zqx").otherwise(""), F.substring(F.regexp_replace("text", "[“”\"「」《》\n]", " "), 1, 40))
+    body = F.concat(F.lit("第 "), named.cast("string"), F.lit(" 页: "), F.when(d % 2 == 0, "“").otherwise("「"), said, F.when(d % 2 == 0, "”").otherwise("」"))
+    answers = pages.select(d.alias("answer_id"), "book_id", body.alias("body"))
+    evidence = pages.where("doc_id % 3 = 0").select(d.alias("answer_id"), "page")
+    return citations.checked(answers, evidence, pages.select("book_id", "page", "text"))
+
+
 def page_chunks(spark, sf_dir):
     made = chunker.page_chunks(book_pages(table(spark, sf_dir, "documents")))
     return made.select("book_id", "page", "chunk_id", "content_hash", F.length("text").cast("long").alias("chars"))
@@ -182,12 +194,12 @@ def single_chunk_pages(spark, sf_dir):
 
 
 def export_names(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.export_name(F.col("text")).alias("name"), T.bounded_fact(F.col("text"), 100).alias("fact"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.export_name(F.col("text"), F.lit("2024-01-31").cast("date")).alias("name"), T.bounded_fact(F.col("text"), 100).alias("fact"))
 
 
 NORMAL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\r\n?', chr(10), 'g'), '[^\S\n]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
-ENTITIES = "replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
-HTML = ENTITIES.format(r"trim(regexp_replace(regexp_replace(regexp_replace(html, '(?i)</?b>', '', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))")
+NAMED = "replace(replace(replace(replace(replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&nbsp;', ' '), '&ndash;', '-'), '&mdash;', '--'), '&hellip;', '...'), '&#39;', ''''), '&amp;', '&')"
+HTML = NAMED.format(r"trim(regexp_replace(regexp_replace(regexp_replace(html, '(?i)</?b\b[^>]*>', '', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))")
 MATCH = r"lower(regexp_replace({0}, '[\s\p{{P}}\p{{S}}]+', '', 'g'))"
 COLLAPSED = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 
@@ -196,7 +208,7 @@ QUERIES = {
     "term_split": term_split, "index_tokens": index_tokens, "page_length_factor": page_factor, "index_coverage": index_coverage,
     "missing_embeddings_anti": missing_embeddings, "stale_embeddings_semi": stale_embeddings, "page_range_read": page_range, "paged_reading_offset": paged_reading_whole, "paged_reading_whole": paged_reading_whole,
     "content_hash": page_digest, "html_strip": html_text, "url_param_unwrap": url_param, "citation_quotes_grounding": quote_grounding,
-    "page_chunks": page_chunks, "single_chunk_pages": single_chunk_pages, "export_names": export_names,
+    "citations_checked": citations_checked, "page_chunks": page_chunks, "single_chunk_pages": single_chunk_pages, "export_names": export_names,
 }
 ORACLE_SQL = {
     "hybrid_search": f"WITH {LEXICAL}, {SEMANTIC}, {FUSED}, {_ranked()}, t_ AS (SELECT h.*, p.text, trim(q.query) AS q, instr(lower(p.text), lower(trim(q.query))) AS loc FROM hits_ h JOIN pages_ p USING (book_id, page) JOIN queries_ q USING (query_id)) SELECT query_id, book_id, rank, page, score, mode, {SNIPPET} AS snippet FROM t_",
@@ -216,6 +228,7 @@ ORACLE_SQL = {
     "html_strip": f"SELECT page_id, t AS text, length(replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) AS escaped_chars FROM (SELECT page_id, {HTML} AS t FROM pages)",
     "url_param_unwrap": "SELECT page_id, nullif(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), '') AS host, nullif(regexp_extract(url, '[?&]utm_source=([^&#]*)', 1), '') AS utm_source FROM pages",
     "citation_quotes_grounding": f"WITH q AS (SELECT item_id AS quote_id, left(text, 160) AS quote, {MATCH.format('left(text, 160)')} AS q FROM benchmark), p AS (SELECT doc_id, {MATCH.format('text')} AS m FROM documents), f AS (SELECT quote_id, count(*) AS n_pages, min(doc_id) AS first_page_id FROM q JOIN p ON contains(m, q) WHERE q <> '' GROUP BY quote_id) SELECT quote_id, coalesce(n_pages, 0) AS n_pages, first_page_id, CASE WHEN length(quote) > 60 THEN left(quote, 60) || '…' ELSE quote END AS excerpt FROM q LEFT JOIN f USING (quote_id)",
+    "citations_checked": rf"""WITH {PAGES}, a AS (SELECT book_id, page, doc_id, CASE WHEN doc_id % 11 = 0 THEN 9999 ELSE page % 9000 + (doc_id % 4 = 0)::INT END AS named, (CASE WHEN doc_id % 7 = 0 THEN 'zqx' ELSE '' END) || substring(regexp_replace(text, '[“”"「」《》\n]', ' ', 'g'), 1, 40) AS said FROM pages_), u AS (SELECT a.* FROM a WHERE NOT (doc_id % 3 = 0 AND named = page) AND NOT EXISTS (FROM pages_ p WHERE p.book_id = a.book_id AND p.page = a.named)), n AS (SELECT doc_id, book_id, named AS page FROM a UNION SELECT doc_id, book_id, page FROM a WHERE doc_id % 3 = 0), m AS (SELECT n.doc_id, {MATCH.format('text')} AS m FROM n JOIN pages_ p ON n.book_id = p.book_id AND n.page = p.page), q AS (SELECT a.doc_id, trim(said) AS said, bool_or(contains(m, {MATCH.format('said')})) AS ok FROM a JOIN m USING (doc_id) WHERE length(trim(said)) >= 6 AND {MATCH.format('said')} <> '' AND m <> '' GROUP BY ALL) SELECT doc_id AS answer_id, 'page_claim_unindexed' AS kind, named AS page, '第 ' || named || ' 页' AS excerpt FROM u UNION ALL SELECT doc_id, 'quote_not_found', NULL, said FROM q WHERE NOT ok""",
     "single_chunk_pages": f"WITH {PAGES} SELECT book_id, page, sha256(t) AS content_hash FROM (SELECT book_id, page, {NORMAL.format('text')} AS t FROM pages_) WHERE t <> '' AND ceil((length(t) + 3 * (length(t) - length(regexp_replace(t, '{CJK}', '', 'g')))) / 4.0) <= 800",
-    "export_names": rf"""SELECT doc_id, left(regexp_replace(trim(regexp_replace({COLLAPSED}, '[<>:"/\\|?*\x00-\x1f]', '', 'g')), '\.+$', ''), 80) AS name, left(trim(regexp_replace(regexp_replace(text, '[\x00-\x1f\x7f]', ' ', 'g'), '\s+', ' ', 'g')), 100) AS fact FROM documents""",
+    "export_names": rf"""SELECT doc_id, coalesce(nullif(regexp_replace(left(regexp_replace(trim(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '[<>:"/\\|?*\x00-\x1f]', '', 'g')), '[. ]+$', ''), 80), '[. ]+$', ''), ''), 'untitled') || '-conversation-20240131.md' AS name, left(trim(regexp_replace(regexp_replace(text, '[\x00-\x1f\x7f]', ' ', 'g'), '\s+', ' ', 'g')), 100) AS fact FROM documents""",
 }

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import text as T
 from ..operators import conversation as C
+from ..operators import headings as H
 from ..operators import outline as O
 from ..operators import state
 from ..sources.tables import TRACE_KINDS, book_pages, messages, table, traces
@@ -116,18 +117,23 @@ def covered(spark, sf_dir):
     return state.covered_prefix(pages)
 
 
-LABELS = r"heads AS (SELECT book_id, page, doc_id, 'Chapter ' || (doc_id % 12) || ' ' || string_split(text, chr(10))[1] AS label, page AS ord FROM pages_)"
+#: A page's heading: a chapter, a section of the chapter before, a dotted section, a title that many pages share, one that none shares.
+LABELS = r"heads AS (SELECT book_id, page, doc_id, page AS ord, CASE doc_id % 5 WHEN 0 THEN 'Chapter ' || (1 + page % 12) || ' ' WHEN 1 THEN 'section ' || (1 + doc_id % 4) || ' ' WHEN 2 THEN (1 + doc_id % 9) || '.' || (1 + doc_id % 8) || ' ' WHEN 3 THEN 'Contents ' || chr(CAST(97 + doc_id % 3 AS INT)) ELSE 'Note ' || doc_id || ' ' END || CASE WHEN doc_id % 5 = 3 THEN '' ELSE string_split(text, chr(10))[1] END AS label FROM pages_)"
 
 
 def _headings(spark, sf_dir):
     first = F.split("text", "\n")[0]
-    label = F.concat(F.lit("Chapter "), (F.col("doc_id") % 12).cast("string"), F.lit(" "), first)
-    h = book_pages(table(spark, sf_dir, "documents")).select("book_id", "page", "doc_id", label.alias("label"), F.col("page").alias("ord"))
-    return h.withColumn("ordinal", O.ordinal(F.col("label")))
+    d, number = F.col("doc_id"), lambda x: x.cast("string")
+    label = (F.when(d % 5 == 0, F.concat(F.lit("Chapter "), number(1 + F.col("page") % 12), F.lit(" "), first))
+             .when(d % 5 == 1, F.concat(F.lit("section "), number(1 + d % 4), F.lit(" "), first))
+             .when(d % 5 == 2, F.concat(number(1 + d % 9), F.lit("."), number(1 + d % 8), F.lit(" "), first))
+             .when(d % 5 == 3, F.concat(F.lit("Contents "), F.char(97 + d % 3)))
+             .otherwise(F.concat(F.lit("Note "), number(d), F.lit(" "), first)))
+    return book_pages(table(spark, sf_dir, "documents")).select("book_id", "page", "doc_id", label.alias("label"), F.col("page").cast("long").alias("ord"))
 
 
 def running_headers(spark, sf_dir):
-    return O.without_running_headers(_headings(spark, sf_dir)).select("book_id", F.col("page").cast("long").alias("page"), "ordinal")
+    return H.first_of_each(_headings(spark, sf_dir)).select("book_id", F.col("page").cast("long").alias("page"), F.col("key").alias("ordinal"))
 
 
 def offset_vote(spark, sf_dir):
@@ -166,8 +172,21 @@ def monotone(spark, sf_dir):
     return O.monotone(nodes.withColumn("page", (F.col("page") * 7 % 50).cast("long"))).select("book_id", "ord", "page")
 
 
+#: A book for each source and branch of the gate: as it is, labels alike, numbers, placeholders, a bookmark a page, few resolved, blank labels.
+GATED = NODES + """, gated AS (SELECT book_id || '-' || v AS book_id, ord, CASE v WHEN 4 THEN ord WHEN 5 THEN CASE WHEN ord % 3 = 0 THEN page END ELSE page END AS page, CASE v WHEN 1 THEN 'same' WHEN 2 THEN CAST(ord AS VARCHAR) WHEN 3 THEN '未命名目录 ' || ord WHEN 6 THEN '  ' ELSE label END AS label FROM (SELECT book_id, ord, page, label FROM nodes), range(7) t(v)), totals AS (SELECT book_id || '-' || v AS book_id, CASE v WHEN 4 THEN (SELECT max(ord) FROM nodes n WHERE n.book_id = t.book_id) ELSE total END AS total FROM totals t, range(7) r(v))"""
+GATED = GATED.replace("totals AS (SELECT book_id, max", "totals_ AS (SELECT book_id, max", 1).replace("FROM totals t", "FROM totals_ t")
+
+
 def embedded_gate(spark, sf_dir):
-    return O.embedded_gate(*_nodes(spark, sf_dir))
+    nodes, totals = _nodes(spark, sf_dir)
+    last = nodes.groupBy("book_id").agg(F.max("ord").alias("last"))
+    v = F.explode(F.sequence(F.lit(0), F.lit(6)))
+    named = lambda df: df.withColumn("book_id", F.concat("book_id", F.lit("-"), F.col("v").cast("string")))
+    page = F.when(F.col("v") == 4, F.col("ord")).when((F.col("v") == 5) & (F.col("ord") % 3 != 0), None).otherwise(F.col("page"))
+    number = F.col("ord").cast("string")
+    label = F.when(F.col("v") == 1, "same").when(F.col("v") == 2, number).when(F.col("v") == 3, F.concat(F.lit("未命名目录 "), number)).when(F.col("v") == 6, "  ").otherwise(F.col("label"))
+    books = totals.join(last, "book_id").withColumn("v", v).withColumn("total", F.when(F.col("v") == 4, F.col("last")).otherwise(F.col("total")))
+    return O.embedded_gate(named(nodes.withColumn("v", v).withColumn("page", page).withColumn("label", label)).drop("v"), named(books).select("book_id", "total"))
 
 
 def toc_candidates(spark, sf_dir):
@@ -192,7 +211,7 @@ def level_tree(spark, sf_dir):
 
 def title_keys(spark, sf_dir):
     h = _headings(spark, sf_dir)
-    return h.select("doc_id", O.title_key(F.col("label")).alias("title_key"), O.explicit_level(F.col("label")).alias("level"), T.looks_like_heading(F.col("label")).alias("heading"))
+    return h.select("doc_id", O.title_key(F.col("label")).alias("title_key"), H.explicit_level(F.col("label")).alias("level"), T.looks_like_heading(F.col("label")).alias("heading"))
 
 
 RECTS = "s AS (SELECT s_suppkey AS selection_id, s_nationkey AS page, (s_suppkey * 37 % 80) / 100.0 AS l, (s_suppkey * 53 % 80) / 100.0 AS t FROM supplier), b AS (SELECT p_partkey AS block_id, p_partkey % 25 AS page, (p_partkey * 29 % 90) / 100.0 AS l, (p_partkey * 31 % 90) / 100.0 AS t, CASE p_size % 4 WHEN 0 THEN 'header' ELSE 'text' END AS type FROM part)"
@@ -267,18 +286,18 @@ ORACLE_SQL = {
     "latest_wins_upsert": "SELECT user_id, event_type, event_id, round(value, 6) AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1",
     "cascade_delete": "SELECT source AS book_id, doc_id FROM documents WHERE source NOT IN (SELECT source FROM documents GROUP BY source HAVING sum(doc_id) % 3 = 0)",
     "covered_prefix": f"WITH {PAGES} SELECT book_id, coalesce(min(page) FILTER (length(text) < 120), max(page) + 1) - 1 AS prefix, count(*) AS pages FROM pages_ GROUP BY book_id",
-    "running_header_suppression": f"WITH {PAGES} SELECT book_id, min(page) AS page, 'c' || (doc_id % 12) AS ordinal FROM pages_ GROUP BY book_id, doc_id % 12",
+    "running_header_suppression": f"WITH {PAGES}, {LABELS}, c AS (SELECT *, last_value(CASE WHEN doc_id % 5 = 0 THEN 1 + page % 12 END IGNORE NULLS) OVER (PARTITION BY book_id ORDER BY page ROWS UNBOUNDED PRECEDING) AS chapter FROM heads), k AS (SELECT book_id, page, lower(label) AS l, CASE doc_id % 5 WHEN 0 THEN 'c' || (1 + page % 12) WHEN 1 THEN 's' || coalesce(chapter, 0) || '.' || (1 + doc_id % 4) WHEN 2 THEN 's' || (1 + doc_id % 9) || '.' || (1 + doc_id % 8) END AS ordinal FROM c), n AS (SELECT *, count(*) OVER (PARTITION BY book_id, l) AS n FROM k) SELECT book_id, page, ordinal FROM n QUALIFY row_number() OVER (PARTITION BY book_id, coalesce(ordinal, CASE WHEN n >= 3 THEN 'l' || l ELSE 'o' || page END) ORDER BY page) = 1",
     "offset_vote": f"WITH {PAGES}, v AS (SELECT book_id, CASE WHEN length(text) < 400 THEN 'toc' WHEN doc_id % 5 = 0 THEN 'anchor' ELSE 'body' END AS kind, CAST(page - floor(page * 0.9) AS BIGINT) AS o FROM pages_), c AS (SELECT book_id, o, count(*) FILTER (kind = 'anchor') AS a, count(*) FILTER (kind = 'body') AS b, count(*) FILTER (kind = 'toc') AS t FROM v GROUP BY ALL), w AS (SELECT book_id, (SELECT o FROM c x WHERE x.book_id = k.book_id AND a > 0 ORDER BY a DESC, a + b DESC, o LIMIT 1) AS ao, (SELECT a + b FROM c x WHERE x.book_id = k.book_id AND a > 0 ORDER BY a DESC, a + b DESC, o LIMIT 1) AS an, (SELECT o FROM c x WHERE x.book_id = k.book_id AND b > 0 ORDER BY b DESC, a + b DESC, o LIMIT 1) AS bo, (SELECT a + b FROM c x WHERE x.book_id = k.book_id AND b > 0 ORDER BY b DESC, a + b DESC, o LIMIT 1) AS bn, (SELECT o FROM c x WHERE x.book_id = k.book_id AND t > 0 ORDER BY t DESC, o LIMIT 1) AS \"to\", (SELECT t FROM c x WHERE x.book_id = k.book_id AND t > 0 ORDER BY t DESC, o LIMIT 1) AS tn FROM (SELECT DISTINCT book_id FROM c) k) SELECT book_id, CASE WHEN an >= 2 THEN ao WHEN bn >= 2 THEN bo WHEN tn >= 2 THEN \"to\" END AS page_offset, CASE WHEN an >= 2 THEN 'anchor' WHEN bn >= 2 THEN 'body' WHEN tn >= 2 THEN 'toc' END AS basis FROM w",
     "chapter_range_asof": f"WITH {PAGES}, {NODES} SELECT n.book_id, n.ord * 3 + 1 AS page, (SELECT max(x.page) FROM nodes x WHERE x.book_id = n.book_id AND x.depth = 1 AND x.page <= n.ord * 3 + 1) AS start FROM nodes n",
     "chapter_ranges": f"WITH {PAGES}, {NODES} SELECT book_id, s AS start, coalesce(lead(s) OVER (PARTITION BY book_id ORDER BY s) - 1, total) AS \"end\" FROM (SELECT DISTINCT book_id, page AS s FROM nodes WHERE depth = 1 AND page IS NOT NULL) JOIN totals USING (book_id)",
     "section_range": f"WITH {PAGES}, {NODES}, n AS (SELECT * FROM nodes), p AS (SELECT a.*, (SELECT min(b.ord) FROM n b WHERE b.book_id = a.book_id AND b.ord > a.ord AND b.depth <= a.depth) AS past FROM n a), r AS (SELECT p.book_id, p.ord, p.depth, (SELECT arg_min(x.page, x.ord) FROM n x WHERE x.book_id = p.book_id AND x.page IS NOT NULL AND x.ord >= p.ord AND (p.past IS NULL OR x.ord < p.past)) AS start FROM p), k AS (SELECT * FROM r WHERE start IS NOT NULL) SELECT k.book_id, k.ord, k.start, greatest(k.start, coalesce((SELECT arg_min(y.start, y.ord) FROM k y WHERE y.book_id = k.book_id AND y.ord > k.ord AND y.depth <= k.depth) - 1, total)) AS \"end\" FROM k JOIN totals USING (book_id)",
     "section_range_whole": f"WITH {PAGES}, {NODES}, n AS (SELECT * FROM nodes), p AS (SELECT a.*, (SELECT min(b.ord) FROM n b WHERE b.book_id = a.book_id AND b.ord > a.ord AND b.depth <= a.depth) AS past FROM n a), r AS (SELECT p.book_id, p.ord, p.depth, (SELECT arg_min(x.page, x.ord) FROM n x WHERE x.book_id = p.book_id AND x.page IS NOT NULL AND x.ord >= p.ord AND (p.past IS NULL OR x.ord < p.past)) AS start FROM p), k AS (SELECT * FROM r WHERE start IS NOT NULL) SELECT k.book_id, k.ord, k.start, greatest(k.start, coalesce((SELECT arg_min(y.start, y.ord) FROM k y WHERE y.book_id = k.book_id AND y.ord > k.ord AND y.depth <= k.depth) - 1, total)) AS \"end\" FROM k JOIN totals USING (book_id)",
     "monotone_page_repair": f"WITH {PAGES}, {NODES} SELECT book_id, ord, CASE WHEN page IS NOT NULL THEN max(page * 7 % 50) OVER (PARTITION BY book_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS page FROM nodes",
-    "embedded_gate": f"WITH {PAGES}, {NODES}, x AS (SELECT n.*, total, page BETWEEN 1 AND total AS ok, page - lag(page) OVER (PARTITION BY n.book_id ORDER BY ord) AS step FROM nodes n JOIN totals USING (book_id)), g AS (SELECT book_id, total, count(*) AS n, count(*) FILTER (ok) AS r, count(DISTINCT page) FILTER (ok) AS pages, count(DISTINCT trim(label)) AS labels, count(*) FILTER (NOT regexp_matches(trim(label), '^[0-9]+$')) AS words, count(*) FILTER (step = 1) AS steps FROM x GROUP BY ALL) SELECT book_id, n >= 3 AND r >= 2 AND r / n >= 0.5 AND pages >= 2 AND labels > 1 AND words > 0 AND NOT (n = total AND steps = n - 1) AS accepted FROM g",
+    "embedded_gate": f"WITH {PAGES}, {GATED}, x AS (SELECT g.*, total, CASE WHEN page BETWEEN 1 AND total THEN page END AS ok FROM gated g JOIN totals USING (book_id)), y AS (SELECT *, ok - last_value(ok IGNORE NULLS) OVER (PARTITION BY book_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS step FROM x), g AS (SELECT book_id, total, count(*) AS n, count(ok) AS r, count(DISTINCT ok) AS pages, count(DISTINCT trim(label)) FILTER (trim(label) <> '') AS labels, count(*) FILTER (trim(label) <> '' AND NOT regexp_matches(trim(label), '^[0-9]+$')) AS words, count(*) FILTER (trim(label) <> '' AND NOT starts_with(trim(label), '未命名')) AS named, count(*) FILTER (step <> 1) AS jumps FROM y GROUP BY ALL) SELECT book_id, n >= 3 AND r >= 2 AND r / n >= 0.5 AND pages >= 2 AND labels > 1 AND words > 0 AND named > 0 AND NOT (r >= greatest(3, total) AND jumps = 0) AS accepted FROM g",
     "toc_window_candidates": f"WITH {PAGES}, h AS (SELECT book_id, page FROM pages_ WHERE page <= 30 AND contains(text, ' | ')) SELECT DISTINCT book_id, unnest(range(greatest(1, page - 1), page + 2)) AS page FROM h",
     "inherited_pages": f"WITH {PAGES}, {NODES}, w AS (SELECT *, last_value(page IGNORE NULLS) OVER (PARTITION BY book_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS b, first_value(page IGNORE NULLS) OVER (PARTITION BY book_id ORDER BY ord ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS f FROM nodes) SELECT book_id, ord, CASE WHEN depth = 1 THEN coalesce(page, f, b) ELSE coalesce(page, b, f) END AS page FROM w",
     "body_font_median": f"WITH {PAGES}, r AS (SELECT book_id, length(text) AS size, row_number() OVER (PARTITION BY book_id ORDER BY length(text)) AS r, count(*) OVER (PARTITION BY book_id) AS n FROM pages_) SELECT book_id, round(quantile_cont(CAST(size AS DOUBLE), 0.5), 6) AS body FROM r WHERE r <= greatest(1, floor(0.75 * n)) GROUP BY book_id",
-    "heading_candidates": rf"WITH {PAGES}, {LABELS} SELECT doc_id, CASE WHEN length(k) >= 2 THEN k END AS title_key, 1 AS level, length(label) <= 80 AS heading FROM (SELECT doc_id, label, regexp_replace(regexp_replace(lower(label), '^\s*((chapter|part|section|unit)\s+[0-9ivxlc]+|[0-9]+(\.[0-9]+)*)\W*', ''), '[^\p{{L}}\p{{N}}]+', '', 'g') AS k FROM heads)",
+    "heading_candidates": rf"WITH {PAGES}, {LABELS}, t AS (SELECT doc_id, label, CASE WHEN doc_id % 5 < 3 AND string_split(text, chr(10))[1] <> '' THEN string_split(text, chr(10))[1] ELSE label END AS title FROM heads JOIN documents USING (doc_id)), k AS (SELECT *, regexp_replace(lower(regexp_replace(CASE WHEN doc_id % 5 < 2 THEN regexp_replace(title, '^([1-9][0-9]?\s*[.．]\s*[1-9][0-9]{{0,2}}\s+)?', '') ELSE title END, '^[1-9][0-9]?\s*\*?\s*[\s.．]?\s*', '')), '[^a-z0-9一-鿿]', '', 'g') AS k FROM t) SELECT doc_id, CASE WHEN length(k) >= 2 THEN k END AS title_key, CASE doc_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 2 END AS level, doc_id % 5 IN (0, 2) AND length(trim(label)) <= 80 AS heading FROM k",
     "rect_overlap_join": f"WITH {RECTS} SELECT selection_id, block_id, type = 'header' AS noise FROM s JOIN b USING (page) WHERE CAST(s.l AS DOUBLE) < CAST(b.l AS DOUBLE) + 0.08::DOUBLE AND CAST(b.l AS DOUBLE) < CAST(s.l AS DOUBLE) + 0.15::DOUBLE AND CAST(s.t AS DOUBLE) < CAST(b.t AS DOUBLE) + 0.05::DOUBLE AND CAST(b.t AS DOUBLE) < CAST(s.t AS DOUBLE) + 0.1::DOUBLE",
     "union_bbox": f"WITH {RECTS}, u AS (SELECT page, min(l::DOUBLE) AS x0, min(t::DOUBLE) AS y0, max(l::DOUBLE + 0.08::DOUBLE) AS x1, max(t::DOUBLE + 0.05::DOUBLE) AS y1 FROM b GROUP BY page) SELECT page, round(x0, 6) AS \"left\", round(y0, 6) AS top, round(x1, 6) AS \"right\", round(y1, 6) AS bottom, CAST(least(greatest(floor(x0 * 1000), 0), 1000) AS BIGINT) AS x, CAST(least(greatest(ceil(y1 * 1400), 0), 1400) AS BIGINT) AS y FROM u",
     "trace_kind_counts": "SELECT event_type AS kind, count(*) AS n FROM events WHERE event_type IN ('view', 'click', 'purchase', 'signup', 'logout', 'error') GROUP BY 1",

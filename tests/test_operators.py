@@ -37,7 +37,7 @@ def test_chunks_overlap_and_cuts():
     assert chunker.chunks("short") == ["short"] and chunker.chunks("") == []
     same = chunker.chunks("字" * 1600)
     assert all(len(c) <= 800 for c in same) and same[0][-96:] == same[1][:96]
-    assert chunker.chunks("甲" * 520 + "\n\n" + "乙" * 420)[0] == "甲" * 520 + "\n\n"
+    assert chunker.chunks("甲" * 520 + "\n\n" + "乙" * 420)[0] == "甲" * 520
     assert chunker.chunks("甲" * 540 + "。" + "乙" * 360)[0] == "甲" * 540 + "。"
 
 

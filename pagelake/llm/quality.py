@@ -7,15 +7,18 @@ turns into the chance of label 1.
 
 Only documents are labelled. Lines begin with their document's label; then lines of bad documents that the field
 finds good in the greater part are taken as good, and it is fitted again. The fit is on at most TRAIN_DOCS labelled
-documents (drawn by hash), by gradient ascent of the conditional likelihood.
+documents (drawn by hash), by gradient ascent of the conditional likelihood. Of a document of more than TRAIN_LINES
+lines the fit sees a stretch of so many, drawn by hash; scores are always those of all lines.
 
-Null and empty texts are one empty line. Repeated rows score alike. Without labels of both kinds the score is 1, or 0
-if all labels are. Extra columns are not read.
+Null and empty texts are one empty line. Very long texts cost memory and steps in proportion to their lines. Repeated
+rows score alike; of several labels of a document the greatest holds. Without labels of both kinds the score is 1, or 0
+if all labels are. An empty table has no scores. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,8 @@ from .common import small_batches
 
 #: Labelled documents that the field is fitted on at most, about.
 TRAIN_DOCS = 6_000
+#: Lines of one of them at most, so that the driver holds about TRAIN_DOCS * TRAIN_LINES lines (110 MB of features).
+TRAIN_LINES = 40
 
 _KINDS = np.zeros((7, 256), dtype=np.float32)
 _KINDS[0, 65:91] = 1  # upper case
@@ -173,23 +178,26 @@ def held_out() -> F.Column:
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (doc_id, text, label): the lines' weights and features, a row for each document."""
+    """Of (doc_id, text, label): weights and features of all lines or of a stretch of TRAIN_LINES, a row for each document."""
     for batch in batches:
-        out = []
+        out, ids = [], batch.column("doc_id").to_pylist()
         for _, _, data, offsets in pieces(*texts_of(batch.column("text"))):
             text, weight, x = line_features(data, offsets)
             cuts = np.flatnonzero(np.diff(text)) + 1
-            out += [(w.astype(np.float32).tobytes(), f.astype(np.float32).tobytes()) for w, f in zip(np.split(weight, cuts), np.split(x, cuts))]
+            for w, f in zip(np.split(weight, cuts), np.split(x, cuts)):
+                first = crc32(b"%d" % (ids[len(out)] or 0)) % max(1, len(w) - TRAIN_LINES + 1)
+                part = slice(first, first + TRAIN_LINES)
+                out.append((w[part].astype(np.float32).tobytes(), f[part].astype(np.float32).tobytes()))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([w for w, _ in out], pa.binary()), pa.array([f for _, f in out], pa.binary())], ["doc_id", "label", "w", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, rounds: int = 3) -> Field:
     small_batches(docs.sparkSession)
-    known = labels.select(F.col("doc_id").alias("l"), F.col("quality").alias("label")).where("label IS NOT NULL").dropDuplicates(["l"])
+    known = labels.select(F.col("doc_id").alias("l"), F.col("quality").alias("label")).where("label IS NOT NULL").groupBy("l").agg(F.max("label").alias("label"))
     n = known.count()
     drawn = F.broadcast(known.where(F.shiftrightunsigned(F.xxhash64("l"), 1) < F.lit(min(2**63 - 1, int(2**63 * min(1.0, TRAIN_DOCS / max(n, 1)))))))
     rows = docs.select("doc_id", "text").where(~held_out()).join(drawn, F.col("doc_id") == F.col("l")).selectExpr("cast(doc_id AS long) AS doc_id", "text", "cast(label AS int) AS label")
-    rows = rows.mapInArrow(_featured, "doc_id long, label int, w binary, x binary").toPandas().sort_values("doc_id", kind="stable")  # about TRAIN_DOCS rows
+    rows = rows.mapInArrow(_featured, "doc_id long, label int, w binary, x binary").toPandas().sort_values(["doc_id", "x"], kind="stable")  # about TRAIN_DOCS rows of TRAIN_LINES lines
     weights = [np.frombuffer(w, np.float32) for w in rows["w"]]
     width = line_features(np.zeros(0, np.uint8), np.zeros(2, np.int64))[2].shape[1]
     field, label = Field(width), rows["label"].to_numpy()

@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +63,21 @@ def test_models_of_odd_rows(spark):
     assert quality.scored(docs.where("false"), trained).count() == 0
 
 
+def test_quality_trains_on_bounded_stretches(spark):
+    """A document of very many lines gives the fit no more than TRAIN_LINES; of two labels the greater holds, in any order."""
+    long = "\n".join(f"line {i} of a long table" for i in range(100_000))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([7, 8], pa.int64()), "text": [long, "one\ntwo"], "label": pa.array([1, 0], pa.int32())})
+    made = next(quality._featured(iter([batch]))).to_pydict()
+    assert [len(w) // 4 for w in made["w"]] == [quality.TRAIN_LINES, 2]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-7, long), (-8, None)], "doc_id long, text string"))
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality")
+    twice = labels.unionByName(labels.selectExpr("doc_id", "0 AS quality")).unionByName(spark.createDataFrame([(-7, 1)], "doc_id long, quality int"))
+    one, other = quality.train(docs, twice), quality.train(docs.repartition(3), twice.orderBy("quality"))
+    assert np.array_equal(one.weights, other.weights) and one.weights.any()
+    found = {r["doc_id"]: r["score"] for r in quality.scored(docs.where("doc_id < 0"), one).collect()}
+    assert set(found) == {-7, -8} and all(0 <= s <= 1 for s in found.values())
+
+
 def test_kernel_is_that_of_enumeration():
     """Normalised weights of common subsequences, place by place."""
     rng = np.random.default_rng(1)

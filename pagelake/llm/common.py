@@ -16,9 +16,12 @@ SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir). A temporary one only where it is unset and all
+    runs on one machine: on a cluster, parts in such a folder would be lost with their executor, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='pagelake-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -6,6 +6,7 @@ import pytest
 
 from pagelake.operators import outline
 from pagelake.plans import catalog
+from pagelake.sources import tables
 from tests.oracle import differences
 
 
@@ -38,3 +39,20 @@ def test_sections_join_no_pairs(spark):
     nodes = spark.range(60_000).selectExpr("'b' AS book_id", "id AS ord", "cast(1 + id AS int) % 3 AS depth", "id AS page")
     plan = outline.section_ranges(nodes, spark.createDataFrame([("b", 60_000)], "book_id string, total long"))._jdf.queryExecution().optimizedPlan().toString()
     assert "ord" in plan and not [line for line in plan.splitlines() if "Join" in line and (">" in line.replace("<=>", "") or " < " in line)]
+
+
+@pytest.mark.parametrize("block", [1, 7, 65_536])
+def test_pages_across_blocks(spark, monkeypatch, block):
+    """Pages as one window a source would number them: sparse, negative and null ids, a null source, an empty table."""
+    monkeypatch.setattr(tables, "PAGE_BLOCK", block, raising=True)
+    rng = random.Random(2)
+    ids = rng.sample(range(-300, 3000), 200)
+    rows = [(i, rng.choice(["a", "a", "b", None]), f"t{i}", "x") for i in ids] + [(None, "a", "none", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, before string")
+    got = {(r["book_id"], r["doc_id"]): (r["page"], r["text"]) for r in tables.book_pages(docs).collect()}
+    wanted = {}
+    for source in ("a", "b", None):
+        own = sorted((r for r in rows if r[1] == source), key=lambda r: (r[0] is not None, r[0] or 0))
+        wanted |= {(source, r[0]): (n, r[2]) for n, r in enumerate(own, 1)}
+    assert got == wanted
+    assert tables.book_pages(docs.limit(0)).columns == ["book_id", "page", "doc_id", "text"] and not tables.book_pages(docs.limit(0)).count()

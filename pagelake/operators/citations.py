@@ -2,60 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import ahocorasick
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .matching import occurrences
 
 #: How long quotes are, how much of one is shown, what a page claim and a quote look like.
 LEAST_QUOTE, MOST_QUOTE, EXCERPT = 6, 160, 60
 CLAIMED = r"第\s*(\d{1,4})\s*页"
 QUOTED = r"[「“]([^「」“”]{6,160})[」”]|\"([^\"\n]{6,160})\"|《([^《》]{6,160})》"
-#: Quotes looked for in one pass over the pages; more take more passes.
-QUOTES_A_PASS = 50_000
 
 
 def _excerpt(quote: str) -> F.Column:
     return F.when(F.length(quote) > EXCERPT, F.concat(F.left(quote, F.lit(EXCERPT)), F.lit("…"))).otherwise(F.col(quote))
 
 
-def _occurrences(corpus: DataFrame, forms: list[str]) -> DataFrame:
-    """(page_id, q) for each form within each page: all forms are looked for at once, in time linear in the text."""
-    kind = corpus.schema["page_id"].dataType.simpleString()
-
-    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        searched = ahocorasick.Automaton()
-        for form in forms:
-            searched.add_word(form, form)
-        searched.make_automaton()
-        for batch in batches:
-            rows = [(p, q) for p, m in zip(batch["page_id"], batch["m"]) if m for q in {q for _, q in searched.iter(m)}]
-            yield pd.DataFrame(rows, columns=["page_id", "q"])
-
-    return corpus.mapInPandas(found, f"page_id {kind}, q string")
-
-
 def grounded(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     """(quote_id, n_pages, first_page_id, excerpt): pages that contain each quote in match form. quotes: (quote_id, quote); pages: (page_id, text).
 
-    A quote without letters and digits is on no page. QUOTES_A_PASS quotes at a time go to the tasks.
+    A quote without letters and digits is on no page.
     """
     wanted = quotes.select("quote_id", T.match_form(F.col("quote")).alias("q")).where("q <> ''")
-    forms = wanted.select("q").distinct()
-    passes = max(1, -(-forms.count() // QUOTES_A_PASS))
     corpus = pages.select("page_id", T.match_form(F.col("text")).alias("m"))
-    found = None
-    for i in range(passes):
-        some = [r["q"] for r in forms.where(F.pmod(F.xxhash64("q"), F.lit(passes)) == i).collect()]  # about QUOTES_A_PASS
-        if some:
-            part = _occurrences(corpus, some).groupBy("q").agg(F.count("*").alias("n_pages"), F.min("page_id").alias("first_page_id"))
-            found = part if found is None else found.union(part)
-    if found is None:
-        found = corpus.where("false").select(F.col("m").alias("q"), F.lit(0).cast("long").alias("n_pages"), F.col("page_id").alias("first_page_id"))
+    found = occurrences(corpus, wanted).groupBy("q").agg(F.count("*").alias("n_pages"), F.min("page_id").alias("first_page_id"))
     by_quote = wanted.join(found, "q").drop("q")
     return quotes.join(by_quote, "quote_id", "left").select("quote_id", F.coalesce("n_pages", F.lit(0)).alias("n_pages"), "first_page_id", _excerpt("quote").alias("excerpt"))
 

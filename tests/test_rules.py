@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from pagelake.functions import text as T
-from pagelake.operators import chunker, citations, headings, outline, search
+from pagelake.operators import chunker, citations, headings, matching, outline, search
 
 
 def column(spark, fn, *values):
@@ -160,7 +160,7 @@ def test_grounded_quotes(spark, monkeypatch):
     pages = spark.createDataFrame([(1, "a brown, fox; brown fox"), (2, "brownfox"), (3, None), (4, "")], "page_id int, text string")
     expected = {1: (2, 1), 2: (0, None), 3: (0, None), 4: (2, 1), 5: (0, None), 6: (2, 1)}
     for most in (50_000, 1):
-        monkeypatch.setattr(citations, "QUOTES_A_PASS", most)
+        monkeypatch.setattr(matching, "FORMS_A_PASS", most)
         assert {r["quote_id"]: (r["n_pages"], r["first_page_id"]) for r in citations.grounded(quotes, pages).collect()} == expected
     assert citations.grounded(quotes.where("quote_id = 3"), pages).collect()[0]["n_pages"] == 0
 

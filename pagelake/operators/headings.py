@@ -186,3 +186,40 @@ def bookmark_tree(rows: DataFrame, most: int = 8) -> DataFrame:
         level = made(rows.join(up, (F.col("book_id") == F.col("_b")) & (F.col("parent") == F.col("_i"))), F.concat_ws("-", "_n", F.col("place").cast("string")), F.col("_d") + 1)
         found = found.union(level)
     return found.drop("id")
+
+
+def tiers(books: DataFrame) -> DataFrame:
+    """`books` with arm, strategy, status and calibrated: what a rebuild of each book's outline comes to.
+
+    books: (book_id, total, accepted, native_majority, blocks, processed, toc_rows, page_offset, body_roots): pages, whether
+    the file's bookmarks serve, whether most pages of the window have text of their own, pages that were recognised, pages
+    whose headings are known, rows of the contents, where its numbers lie (null if unknown), roots of the outline of
+    headings. Bookmarks that serve end it. Else contents are taken where their offset is known, headings only if the whole
+    book can be judged; what can't be decided yet is partial, with a null strategy. Null facts count as unknown or none.
+    """
+    none = lambda c: F.coalesce(c, F.lit(0))
+    own, total = F.coalesce("native_majority", F.lit(False)), none("total")
+    arm = F.when(own, "native-majority").when((total > 0) & (none("blocks") >= total), "all-blocks").when(none("toc_rows") > 0, "calibrated").otherwise("wait")
+    rows = books.withColumn("arm", F.when(~F.coalesce("accepted", F.lit(False)), arm))
+    whole = F.col("arm").isin("native-majority", "all-blocks")
+    contents = (none("toc_rows") > 0) & F.col("page_offset").isNotNull()
+    ready = (F.col("arm") != "wait") & (none("processed") >= total)
+    generated = F.when(contents, "ai_toc").when(whole, F.when(none("body_roots") > 0, "body_headings").otherwise("empty"))
+    rows = rows.withColumn("strategy", F.when(F.col("arm").isNull(), "embedded").when(ready, generated))
+    status = F.when(F.col("arm").isNull(), "embedded").when(F.col("strategy").isNull(), "partial").otherwise("generated")
+    return rows.select("*", status.alias("status"), F.when(F.col("strategy").isNotNull(), F.col("arm").isNull() | whole).alias("calibrated"))
+
+
+def rebuilt(decided: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The nodes that each book is left with. nodes: (book_id, strategy, …) of every tier; partial and empty ones have none."""
+    return nodes.join(decided.select("book_id", "strategy"), ["book_id", "strategy"], "left_semi")
+
+
+def read_tier(books: DataFrame) -> DataFrame:
+    """`books` (cached, cached_entries, adjudicated, candidate_pages, accepted) with `on_read`: what a reader is shown.
+
+    The stored outline; nothing where the rebuild is past bookmarks; else bookmarks if they serve, or nothing from then on.
+    """
+    past = F.coalesce("cached_entries", F.lit(False)) | F.coalesce("adjudicated", F.lit(False)) | (F.coalesce("candidate_pages", F.lit(0)) > 0)
+    shown = F.when(F.coalesce("cached", F.lit(False)), "stored").when(past, "none").when(F.coalesce("accepted", F.lit(False)), "embedded")
+    return books.withColumn("on_read", shown.otherwise("adjudicated"))

@@ -111,11 +111,34 @@ _COLLAPSED = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 _CLEAN = r"regexp_replace(regexp_replace({0}, '[ \t\r\f\v]+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
 _CASES = lambda i, q=False: "CASE k " + " ".join(f"WHEN {k} THEN {repr(x[i]) if isinstance(x[i], str) else 'NULL' if x[i] is None else str(x[i]).lower()}" for k, x in enumerate(LABELS)) + " END"
 
+def outline_tiers(spark, sf_dir):
+    """Books are the documents of a source that leave the same remainder, which decides the facts that texts don't tell."""
+    docs, v = table(spark, sf_dir, "documents"), F.col("v")
+    books = docs.groupBy("source", (F.col("doc_id") % 64).cast("int").alias("v")).agg(
+        F.count("*").alias("total"), F.count_if(F.length("text") >= 16).alias("long"), F.sum(F.length("text")).alias("chars"))
+    books = books.select(
+        F.concat("source", F.lit("-"), v.cast("string")).alias("book_id"), "v", "total", ((v % 9 == 0) & (F.col("long") > 0)).alias("accepted"),
+        F.when(v % 7 != 6, (v % 2 == 0) & (F.col("long") * 2 >= F.col("total"))).alias("native_majority"), F.when(v % 3 == 0, F.col("total")).otherwise(F.col("total") - 1).alias("blocks"),
+        (F.col("total") - F.when(v % 11 == 10, 1).otherwise(0)).alias("processed"), F.when(v % 5 > 2, F.col("chars") % 50).alias("toc_rows"),
+        F.when(v % 4 > 0, v % 3).alias("page_offset"), F.when(v % 8 > 3, F.col("long")).alias("body_roots"), (v % 6 == 5).alias("cached"), (v % 10 == 9).alias("cached_entries"),
+        F.when(v % 5 > 0, v % 13 == 12).alias("adjudicated"), F.when(v % 12 == 7, F.col("total")).alias("candidate_pages"))
+    return H.read_tier(H.tiers(books)).select("book_id", "arm", "strategy", "status", "calibrated", "on_read")
+
+
 QUERIES = {
     "blocks_assembled": blocks_assembled, "recognised_headings": recognised_headings, "page_text_sources": page_sources, "native_lines": native_lines, "bookmark_tree": bookmark_tree, "heading_marks": heading_marks,
     "headings_by_size": headings_by_size, "body_outline": body_outline, "toc_entries": toc_entries, "section_paths": section_paths, "active_nodes": active_nodes, "outline_text": outline_text,
+    "outline_tiers": outline_tiers,
 }
 ORACLE_SQL = {
+    "outline_tiers": """WITH g AS (SELECT source, doc_id % 64 AS v, count(*) AS total, count(*) FILTER (length(text) >= 16) AS long, sum(length(text)) AS chars FROM documents GROUP BY ALL),
+b AS (SELECT source || '-' || v AS book_id, total, v % 9 = 0 AND long > 0 AS accepted, v % 7 <> 6 AND v % 2 = 0 AND long * 2 >= total AS own, CASE WHEN v % 3 = 0 THEN total ELSE total - 1 END AS blocks,
+total - CASE WHEN v % 11 = 10 THEN 1 ELSE 0 END AS processed, CASE WHEN v % 5 > 2 THEN chars % 50 ELSE 0 END AS toc_rows, v % 4 > 0 AS placed, CASE WHEN v % 8 > 3 THEN long ELSE 0 END AS body_roots, v % 6 = 5 AS cached,
+v % 10 = 9 OR (v % 5 > 0 AND v % 13 = 12) OR v % 12 = 7 AS past FROM g),
+a AS (SELECT *, CASE WHEN accepted THEN NULL WHEN own THEN 'native-majority' WHEN blocks >= total THEN 'all-blocks' WHEN toc_rows > 0 THEN 'calibrated' ELSE 'wait' END AS arm FROM b),
+s AS (SELECT *, CASE WHEN accepted THEN 'embedded' WHEN arm = 'wait' OR processed < total THEN NULL WHEN toc_rows > 0 AND placed THEN 'ai_toc' WHEN arm = 'calibrated' THEN NULL WHEN body_roots > 0 THEN 'body_headings' ELSE 'empty' END AS strategy FROM a)
+SELECT book_id, arm, strategy, CASE WHEN accepted THEN 'embedded' WHEN strategy IS NULL THEN 'partial' ELSE 'generated' END AS status, CASE WHEN strategy IS NOT NULL THEN accepted OR arm <> 'calibrated' END AS calibrated,
+CASE WHEN cached THEN 'stored' WHEN past THEN 'none' WHEN accepted THEN 'embedded' ELSE 'adjudicated' END AS on_read FROM s""",
     "blocks_assembled": f"""WITH {_LINES}, b AS (SELECT doc_id, i, i % 5 = 2 AND i % 7 <> 3 AS fig, CASE WHEN i % 5 = 2 THEN '' WHEN i % 5 = 0 THEN ['Chapter 3 ', '附录 ', '第二节 ', ''][doc_id % 4 + 1] || substring(x, 1, 40) ELSE x END AS t FROM lines),
 f AS (SELECT *, sum(CASE WHEN fig THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM b),
 l AS (SELECT doc_id, i, fig, CASE WHEN fig THEN '[插图 ' || n || '·约占页面 ' || 5 * (i % 4 + 1) || '%：内容不可见，可用 view_page 查看第 ' || doc_id || ' 页插图 ' || n || ']' ELSE t END AS t FROM f),

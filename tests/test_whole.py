@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from pagelake.operators import outline
+from pagelake.operators import headings, outline
 from pagelake.plans import catalog
 from pagelake.sources import tables
 from tests.oracle import differences
@@ -56,3 +56,13 @@ def test_pages_across_blocks(spark, monkeypatch, block):
         wanted |= {(source, r[0]): (n, r[2]) for n, r in enumerate(own, 1)}
     assert got == wanted
     assert tables.book_pages(docs.limit(0)).columns == ["book_id", "page", "doc_id", "text"] and not tables.book_pages(docs.limit(0)).count()
+
+
+def test_outline_of_each_tier(spark):
+    schema = "book_id string, accepted boolean, native_majority boolean, total long, blocks long, processed long, toc_rows long, page_offset long, body_roots long"
+    books = [("marks", True, None, 9, None, None, None, None, None), ("own", False, True, 9, 0, 9, 4, 2, 5), ("scan", None, False, 9, 9, 9, 4, None, 5), ("none", None, None, None, None, None, None, None, None)]
+    decided = headings.tiers(spark.createDataFrame(books, schema))
+    assert {r["book_id"]: (r["strategy"], r["status"], r["calibrated"]) for r in decided.collect()} == {
+        "marks": ("embedded", "embedded", True), "own": ("ai_toc", "generated", True), "scan": ("body_headings", "generated", True), "none": (None, "partial", None)}
+    nodes = spark.createDataFrame([(b, s, f"{b} {s}") for b, *_ in books for s in ("embedded", "ai_toc", "body_headings")], "book_id string, strategy string, label string")
+    assert sorted(r["label"] for r in headings.rebuilt(decided, nodes).collect()) == ["marks embedded", "own ai_toc", "scan body_headings"]

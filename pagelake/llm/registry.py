@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 
-from . import decontaminate, hnsw, jaccard_join, licences, mixing, pii, quality, secrets, suffixes, toxicity
+from . import decontaminate, hnsw, jaccard_join, licences, mixing, packing, pii, quality, secrets, suffixes, toxicity
 
 QUERIES = {
     "op1_hnsw_neighbours": hnsw.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secret_scan": secrets.op8,
     "op9_toxicity_string_kernel": toxicity.op9,
     "op10_source_mixing": mixing.op10,
+    "op13_window_packing": packing.op13,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {

@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 
-from . import decontaminate, hnsw, jaccard_join, licences, mixing, packing, pii, quality, secrets, suffixes, toxicity
+from . import decontaminate, hard_negatives, hnsw, jaccard_join, licences, mixing, packing, pii, quality, secrets, suffixes, toxicity
 
 QUERIES = {
     "op1_hnsw_neighbours": hnsw.op1,
@@ -15,12 +15,14 @@ QUERIES = {
     "op8_secret_scan": secrets.op8,
     "op9_toxicity_string_kernel": toxicity.op9,
     "op10_source_mixing": mixing.op10,
+    "op11_hard_negatives": hard_negatives.op11,
     "op13_window_packing": packing.op13,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {
     "op2_benchmark_decontamination": decontaminate.OP2_SQL,
     "op8_secret_scan": secrets.OP8_SQL,
+    "op11_hard_negatives": hard_negatives.OP11_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 
-from . import decontaminate, hard_negatives, hnsw, jaccard_join, licences, mixing, packing, pii, quality, secrets, suffixes, toxicity
+from . import decontaminate, hard_negatives, hnsw, jaccard_join, lexical_rank, licences, mixing, packing, pii, quality, secrets, suffixes, toxicity
 
 QUERIES = {
     "op1_hnsw_neighbours": hnsw.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_toxicity_string_kernel": toxicity.op9,
     "op10_source_mixing": mixing.op10,
     "op11_hard_negatives": hard_negatives.op11,
+    "op12_bag_ranking": lexical_rank.op12,
     "op13_window_packing": packing.op13,
     "pipeline": corpus_pipeline.run,
 }
@@ -23,6 +24,7 @@ ORACLE_SQL = {
     "op2_benchmark_decontamination": decontaminate.OP2_SQL,
     "op8_secret_scan": secrets.OP8_SQL,
     "op11_hard_negatives": hard_negatives.OP11_SQL,
+    "op12_bag_ranking": lexical_rank.OP12_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

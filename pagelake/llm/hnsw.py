@@ -7,7 +7,7 @@ the graph of the rounds before, all at once, so that building and searching are
 blocks. A task takes a shard's graph once and the blocks of queries one after another, as they stream by; blocks go to
 every shard, a shard goes out once for each QUERIES_A_TASK queries. Each shard's best are merged by a window per query.
 
-The score is the cosine in double precision on the original vectors. Vectors that are null, empty, zero or hold a null
+The score is the cosine in double precision on the original vectors, however large or small their components. Vectors that are null, empty, zero or hold a null
 or non-finite component take no part; vectors of another length are never compared. Ties go to the smaller id. Equal
 ids are rows like any other, but none is a neighbour of its own id; fewer than k other vectors give what there is. A
 very long vector makes its shard larger in proportion. An empty table gives no rows. Extra columns are not read.
@@ -32,11 +32,18 @@ BLOCK, QUERIES_A_TASK = 512, 65_536
 LINKS, BUILD, SEARCH = 16, 64, 96
 
 
+#: Vectors whose greatest component lies beyond 2**200 or below 2**-200, moved near 1 by a power of two, in two steps as one
+#: may be too large: squares then neither overflow nor vanish, and the cosine stays what it is.
+NEAR_ONE = """transform(array(named_struct('v', v, 'e', cast(floor(log2(array_max(transform(v, x -> abs(x))))) AS int))),
+  s -> if(abs(s.e) <= 200, s.v, transform(s.v, x -> x * pow(2D, -(s.e div 2)) * pow(2D, (s.e div 2) - s.e))))[0]"""
+
+
 def _beam(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """For each query at once: the `width` best nodes met by best-first search from `entry`, and their cosines; -1 where fewer."""
     n, q = len(vectors), len(queries)
     rows = np.arange(q)
-    seen = np.zeros((q, n), dtype=bool)
+    seen = np.zeros((q, n + 1), dtype=bool)
+    seen[:, n] = True  # where no neighbour is, that is node n
     nodes = np.full((q, width), -1, dtype=np.int32)
     scores = np.full((q, width), -np.inf, dtype=np.float32)
     done = np.ones((q, width), dtype=bool)
@@ -47,8 +54,9 @@ def _beam(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np
         pick = open_scores.argmax(axis=1)
         done[active, pick] = True
         near = links[nodes[active, pick]]
-        fresh = (near >= 0) & ~seen[active[:, None], np.maximum(near, 0)]
-        seen[active[:, None], np.maximum(near, 0)] |= near >= 0
+        at = np.where(near < 0, n, near)
+        fresh = ~seen[active[:, None], at]
+        seen[active[:, None], at] = True
         found = np.where(fresh, np.einsum("qmd,qd->qm", vectors[np.maximum(near, 0)], queries[active]), -np.inf).astype(np.float32)
         all_scores = np.concatenate((scores[active], found), axis=1)
         best = np.argpartition(-all_scores, width - 1, axis=1)[:, :width]
@@ -98,15 +106,18 @@ class Graph:
         start, step = 1, 1
         while start < n:
             stop = min(n, start + step)
-            for level in range(levels[0], -1, -1):
-                new = np.flatnonzero(levels[start:stop] >= level) + start
-                if len(new):
-                    graph._link(level, new, start)
+            fresh = [(level, np.flatnonzero(levels[start:stop] >= level) + start) for level in range(levels[0], -1, -1)]
+            # All levels are searched before any is linked: a node already linked above would be its own way in below.
+            near = [(level, new, graph._near(level, new, start)) for level, new in fresh if len(new)]
+            for level, new, found in near:
+                graph._link(level, new, *found)
             start, step = stop, min(stop, 512)
         return graph
 
-    def _link(self, level: int, new: np.ndarray, before: int) -> None:
-        nodes, scores = _beam(self.vectors, self.links[level], self.vectors[new], self.enter(self.vectors[new], level), min(BUILD, before))
+    def _near(self, level: int, new: np.ndarray, before: int) -> tuple[np.ndarray, np.ndarray]:
+        return _beam(self.vectors, self.links[level], self.vectors[new], self.enter(self.vectors[new], level), min(BUILD, before))
+
+    def _link(self, level: int, new: np.ndarray, nodes: np.ndarray, scores: np.ndarray) -> None:
         # Nodes of the same round see each other too.
         mates = self.vectors[new] @ self.vectors[new].T
         np.fill_diagonal(mates, -np.inf)
@@ -177,6 +188,7 @@ def nearest(embeddings: DataFrame, every: int, k: int = 5, shard_rows: int = SHA
     v = F.transform("embedding", lambda x: x.cast("double"))
     whole = F.expr("size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')) AND exists(v, x -> x <> 0)")
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL").where(whole)
+    rows = rows.withColumn("v", F.expr(NEAR_ONE))
     rows = rows.withColumn("digest", F.unhex(F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), " "), 256)))
     classes = written(rows.groupBy("digest").agg(F.min("vec_id").alias("class_id"), F.first("v").alias("v")))
     members = written(rows.select("vec_id", "digest").join(classes.select("digest", "class_id"), "digest").select("vec_id", "class_id"))

@@ -288,3 +288,18 @@ def test_personal_data_of_odd_rows(spark, odd):
     out = pii.pseudonymised(again, "k")
     assert out.columns == odd.columns and sorted(pairs(out), key=str) == sorted(pairs(again), key=str)
     assert pii.pseudonymised(odd.where("false"), "k").count() == 0
+
+
+def test_neighbours_of_large_and_small_vectors(spark):
+    """Squares of components that doubles can't hold: the same neighbours as at a usual size."""
+    from pagelake.llm import hnsw
+
+    base = [(i, [1.0 + i % 7, 2.0 - i % 3, (i % 5) / 4]) for i in range(9)]
+    usual = [tuple(r) for r in hnsw.nearest(spark.createDataFrame(base, "vec_id long, embedding array<double>"), every=4).collect()]
+    for scale in (1e200, 1e-200, 1e300, 1e-300):
+        rows = [(i, [x * scale for x in v]) for i, v in base]
+        found = [tuple(r) for r in hnsw.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=4).collect()]
+        assert len(found) == 15 and sorted((*r[:3], round(r[3], 9)) for r in found) == sorted((*r[:3], round(r[3], 9)) for r in usual)
+    mixed = [(0, [1e200, 1e-200]), (1, [1e-200, 1e200]), (2, [1e-300, 2e-300]), (3, [5e-324, 0.0]), (4, [1e308, 1.7e308])]
+    found = hnsw.nearest(spark.createDataFrame(mixed, "vec_id long, embedding array<double>"), every=100).collect()
+    assert [(r["rank"], r["vec_id"]) for r in sorted(found, key=lambda r: r["rank"])] == [(1, 3), (2, 4), (3, 2), (4, 1)]

@@ -141,3 +141,31 @@ def test_licences_wrapped_and_odd(spark):
     assert licences.scan(docs.where("false")).count() == 0
     again = licences.scan(docs.unionByName(docs))
     assert again.count() == 18 and again.where("size(families) > 0").count() == 8
+
+
+@pytest.mark.parametrize("shard_rows", [500, 4_096])
+def test_recall_over_shards(spark, shard_rows):
+    """Neighbours found in four shards or one, against all of them; none twice."""
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = e.select("vec_id", "embedding").orderBy("vec_id").collect()
+    ids, v = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float64)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    found = {}
+    for r in hnsw.nearest(e, 50, shard_rows=shard_rows).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        score = unit @ unit[q]
+        score[q] = -2
+        hits += len(found[ids[q]] & set(ids[np.argsort(-score, kind="stable")[:5]].tolist()))
+    assert all(len(f) == 5 for f in found.values()) and hits >= 0.98 * 5 * len(found)
+
+
+def test_graph_reaches_every_node():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 3, 9, 600):
+        unit = hnsw._unit(rng.normal(size=(n, 8)))
+        graph = hnsw.Graph.built(unit)
+        assert all(not (x == np.arange(n)[:, None]).any() for x in graph.links)
+        nodes = graph.search(unit[:1], 2 * n)[0][0]
+        assert sorted(nodes[nodes >= 0].tolist()) == list(range(n))

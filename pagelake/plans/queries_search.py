@@ -6,15 +6,18 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunker, citations, search, state
+from ..operators import chunker, citations, search, state, vectors
+from ..operators.index import built, of_table
 from ..sources.tables import book_pages, few, table
 
 #: Characters of a part in offset reading.
 PART = 20_000
 
 PAGES = "pages_ AS (SELECT source AS book_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, doc_id, text FROM documents)"
-QUERIES_CTE = "queries_ AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:4], ' ') AS query FROM benchmark)"
+QUERIES_CTE = "queries_ AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 TERMS = r"list_filter(string_split_regex(query, '[\s,，、;；:：/|]+'), lambda t: t <> '')"
+REPLACED = "pages_ AS (SELECT book_id, page, doc_id, CASE WHEN doc_id % 7 = 0 THEN substring(text, 1, 200) || ' quillon ' || doc_id % 5 ELSE text END AS text FROM (SELECT source AS book_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, doc_id, text FROM documents) WHERE doc_id % 11 <> 0)"
+REPLACED_QUERIES = "queries_ AS (SELECT item_id AS query_id, 'quillon ' || substring(text, 1, 40) AS query FROM benchmark)"
 CJK = r"[\x{3000}-\x{9fff}\x{ff00}-\x{ffef}]"
 TOKENS = rf"regexp_extract_all(lower(trim(regexp_replace(regexp_replace({{0}}, '({CJK})', ' \1 ', 'g'), '\s+', ' ', 'g'))), '[\p{{L}}\p{{N}}]+')"
 
@@ -51,6 +54,7 @@ lexical_ AS (SELECT query_id, book_id, page, CASE WHEN hits > 0 THEN 0.5 + 0.5 *
 SEMANTIC = f"""
 semantic_ AS (SELECT b.item_id AS query_id, p.book_id, p.page, max(greatest(0, least(1, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]))) * {FACTOR.format('p.text')}) AS semantic
   FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id, embeddings e JOIN pages_ p ON p.doc_id = e.vec_id GROUP BY ALL)"""
+SEMANTIC_OF_MODEL = SEMANTIC.replace("GROUP BY ALL", "WHERE q.label % 2 = e.label % 2 AND e.vec_id % 10 <> 9 GROUP BY ALL")
 FUSED = """
 fused_ AS (SELECT query_id, book_id, page, coalesce(lexical, 0) AS lexical, coalesce(semantic, 0) AS semantic FROM lexical_ FULL OUTER JOIN semantic_ USING (query_id, book_id, page)),
 mode_ AS (SELECT *, max(semantic) OVER (PARTITION BY query_id, book_id) > 0 AS hybrid FROM fused_),
@@ -66,12 +70,33 @@ hits_ AS (SELECT * FROM (SELECT *, max(score) OVER (PARTITION BY query_id, book_
 
 
 def inputs(spark, sf_dir):
-    pages = book_pages(table(spark, sf_dir, "documents"))
-    benchmark, vectors = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "embeddings")
-    queries = benchmark.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("query"))
-    chunks = vectors.join(pages, vectors.vec_id == pages.doc_id).select("book_id", "page", "text", F.col("embedding").alias("vector"))
-    asked = vectors.join(few(queries), F.col("vec_id") == F.col("query_id")).select("query_id", F.col("embedding").alias("query_vector"))
-    return pages, chunks, queries, asked
+    """The index of all pages, their vectors, and whole benchmark texts as queries with their vectors."""
+    documents = table(spark, sf_dir, "documents")
+    index = of_table(documents, book_pages(documents))
+    benchmark, embeddings = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "embeddings")
+    queries = benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    chunks = embeddings.join(index.pages().select("doc_id", "book_id", "page", "factor"), F.col("vec_id") == F.col("doc_id")).select("book_id", "page", "factor", F.col("embedding").alias("vector"), "vec_id", "label")
+    asked = embeddings.join(few(queries.select("query_id")), F.col("vec_id") == F.col("query_id")).select("query_id", F.col("embedding").alias("query_vector"), "label")
+    return index, chunks, queries, asked
+
+
+def index_postings(spark, sf_dir):
+    """What the index holds of each book: pages, words, pages by word and pages by run, as its blocks count them."""
+    index = inputs(spark, sf_dir)[0]
+    pages = index.live().groupBy("book_id").agg(F.sum("pages").alias("pages"), F.sum("words").alias("words"))
+    by_word = index.table("words").groupBy("book_id").agg(F.sum("n").alias("word_pages"), F.sum(F.aggregate("at", F.lit(0), lambda a, p: a + p["tf"])).alias("places"))
+    by_run = index.table("runs").groupBy("book_id").agg(F.sum("n").alias("run_pages"))
+    return pages.join(by_word, "book_id").join(by_run, "book_id")
+
+
+def index_replaced(spark, sf_dir):
+    """The terms' hits once every seventh page has another text and every eleventh is gone."""
+    documents = table(spark, sf_dir, "documents")
+    pages = book_pages(documents)
+    changed = pages.where("doc_id % 7 = 0 OR doc_id % 11 = 0").withColumn("text", F.expr("if(doc_id % 11 = 0, NULL, concat(substring(text, 1, 200), ' quillon ', doc_id % 5))"))
+    index = built(pages).replace(changed)
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("quillon "), F.substring("text", 1, 40)).alias("query"))
+    return search.lexical_leg(index, queries).select("query_id", "book_id", "page", F.round("lexical", 6).alias("lexical"))
 
 
 def hybrid_search(spark, sf_dir):
@@ -79,20 +104,32 @@ def hybrid_search(spark, sf_dir):
 
 
 def lexical_search(spark, sf_dir):
-    pages, _, queries, _ = inputs(spark, sf_dir)
-    return search.lexical_leg(pages, queries).withColumn("lexical", F.round("lexical", 6))
+    index, _, queries, _ = inputs(spark, sf_dir)
+    return search.lexical_leg(index, queries).withColumn("lexical", F.round("lexical", 6))
+
+
+def _top(spark, sf_dir, chunks, asked):
+    return search.ranked(vectors.nearest_pages(chunks, asked, search.LIMIT).withColumnRenamed("semantic", "score")).select("query_id", "book_id", "page", "score", "rank")
 
 
 def semantic_topk(spark, sf_dir):
     _, chunks, _, asked = inputs(spark, sf_dir)
-    return search.ranked(search.semantic_leg(chunks, asked).withColumnRenamed("semantic", "score")).select("query_id", "book_id", "page", "score", "rank")
+    return _top(spark, sf_dir, chunks.drop("label"), asked.drop("label"))
+
+
+def semantic_of_model(spark, sf_dir):
+    """A vector's model is its label's parity; every tenth vector belongs to a conversation and is no page's."""
+    _, chunks, _, asked = inputs(spark, sf_dir)
+    model = F.concat(F.lit("m"), (F.col("label") % 2).cast("string"))
+    return _top(spark, sf_dir, chunks.where("vec_id % 10 <> 9").withColumn("model", model), asked.withColumn("model", model))
 
 
 def focus_boosted(spark, sf_dir):
-    pages, chunks, queries, asked = inputs(spark, sf_dir)
-    books = pages.select("book_id").distinct()
-    focus = queries.select("query_id", (F.col("query_id") % 7 + 1).cast("int").alias("current_page")).join(few(books)).select("query_id", "book_id", (F.col("current_page") + 3).alias("selected_page"), "current_page", F.lit(2).alias("chapter_from"), F.lit(12).alias("chapter_to"))
-    found = search.hybrid_search(pages, chunks, queries, asked, focus)
+    index, chunks, queries, asked = inputs(spark, sf_dir)
+    books = index.live().select("book_id").distinct()
+    current = (F.col("query_id") % 7 + 1).cast("int")
+    focus = queries.select("query_id", F.lit(1).alias("one")).join(books.withColumn("one", F.lit(1)), "one").select("query_id", "book_id", (current + 3).alias("selected_page"), current.alias("current_page"), F.lit(2).alias("chapter_from"), F.lit(12).alias("chapter_to"))
+    found = search.hybrid_search(index, chunks, queries, asked, focus)
     return found.select("query_id", "book_id", "rank", "page", "score")
 
 
@@ -204,7 +241,7 @@ MATCH = r"lower(regexp_replace({0}, '[\s\p{{P}}\p{{S}}]+', '', 'g'))"
 COLLAPSED = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 
 QUERIES = {
-    "hybrid_search": hybrid_search, "lexical_search_multi_term": lexical_search, "semantic_topk": semantic_topk, "focus_boosted_search": focus_boosted,
+    "index_postings": index_postings, "index_replaced": index_replaced, "hybrid_search": hybrid_search, "lexical_search_multi_term": lexical_search, "semantic_topk": semantic_topk, "semantic_topk_of_model": semantic_of_model, "focus_boosted_search": focus_boosted,
     "term_split": term_split, "index_tokens": index_tokens, "page_length_factor": page_factor, "index_coverage": index_coverage,
     "missing_embeddings_anti": missing_embeddings, "stale_embeddings_semi": stale_embeddings, "page_range_read": page_range, "paged_reading_offset": paged_reading_whole, "paged_reading_whole": paged_reading_whole,
     "content_hash": page_digest, "html_strip": html_text, "url_param_unwrap": url_param, "citation_quotes_grounding": quote_grounding,
@@ -213,7 +250,10 @@ QUERIES = {
 ORACLE_SQL = {
     "hybrid_search": f"WITH {LEXICAL}, {SEMANTIC}, {FUSED}, {_ranked()}, t_ AS (SELECT h.*, p.text, trim(q.query) AS q, instr(lower(p.text), lower(trim(q.query))) AS loc FROM hits_ h JOIN pages_ p USING (book_id, page) JOIN queries_ q USING (query_id)) SELECT query_id, book_id, rank, page, score, mode, {SNIPPET} AS snippet FROM t_",
     "lexical_search_multi_term": f"WITH {LEXICAL} SELECT query_id, book_id, page, round(lexical, 6) AS lexical FROM lexical_",
+    "index_postings": f"WITH {PAGES}, w_ AS (SELECT book_id, page, unnest(w) AS t, len(w) AS dl FROM (SELECT book_id, page, {_tokens('text')} AS w FROM pages_)), s_ AS (SELECT book_id, count(*) AS pages, CAST(sum(len({_tokens('text')})) AS BIGINT) AS words FROM pages_ GROUP BY book_id), r_ AS (SELECT book_id, count(*) AS run_pages FROM (SELECT DISTINCT book_id, page, unnest(regexp_split_to_array(lower(text), '\\s+')) AS r FROM pages_) WHERE r <> '' GROUP BY book_id) SELECT s_.book_id, pages, words, count(DISTINCT (page, t)) AS word_pages, count(*) AS places, any_value(run_pages) AS run_pages FROM s_ JOIN w_ ON s_.book_id = w_.book_id JOIN r_ ON s_.book_id = r_.book_id GROUP BY s_.book_id, pages, words",
+    "index_replaced": f"WITH {LEXICAL.replace(PAGES, REPLACED).replace(QUERIES_CTE, REPLACED_QUERIES)} SELECT query_id, book_id, page, round(lexical, 6) AS lexical FROM lexical_",
     "semantic_topk": f"WITH {PAGES}, {SEMANTIC}, base_ AS (SELECT *, semantic AS base, true AS hybrid FROM semantic_), {_ranked()} SELECT query_id, book_id, page, score, rank FROM hits_",
+    "semantic_topk_of_model": f"WITH {PAGES}, {SEMANTIC_OF_MODEL}, base_ AS (SELECT *, semantic AS base, true AS hybrid FROM semantic_), {_ranked()} SELECT query_id, book_id, page, score, rank FROM hits_",
     "focus_boosted_search": f"WITH {LEXICAL}, {SEMANTIC}, {FUSED}, {_ranked('(CASE WHEN page = query_id % 7 + 4 THEN 0.3 ELSE 0.0 END + CASE WHEN abs(page - (query_id % 7 + 1)) <= 1 THEN 0.2 ELSE 0.0 END + CASE WHEN page BETWEEN 2 AND 12 THEN 0.1 ELSE 0.0 END)')} SELECT query_id, book_id, rank, page, score FROM hits_",
     "term_split": f"WITH u AS (SELECT doc_id, unnest(x) AS t, unnest(range(len(x))) AS i FROM (SELECT doc_id, {TERMS.replace('query', 'text')} AS x FROM documents)), f AS (SELECT doc_id, t, min(i) AS i FROM u GROUP BY doc_id, t), g AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) <= 8) SELECT d.doc_id, coalesce(string_agg(t, chr(31) ORDER BY i), '') AS terms FROM documents d LEFT JOIN g USING (doc_id) GROUP BY d.doc_id",
     "index_tokens": f"SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, sha256(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, {_tokens('text')} AS w FROM documents)",

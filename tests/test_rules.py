@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from pagelake.functions import text as T
-from pagelake.operators import chunker, citations, headings, matching, outline, search
+from pagelake.operators import chunker, citations, headings, index, matching, outline, search
 
 
 def column(spark, fn, *values):
@@ -167,10 +167,11 @@ def test_grounded_quotes(spark, monkeypatch):
 
 def test_hybrid_and_focus(spark):
     texts = ["energy is conserved " * 8, "other matters " * 10, "energy is conserved " * 8]
-    pages = spark.createDataFrame([("b", i + 1, t) for i, t in enumerate(texts)], "book_id string, page int, text string")
-    chunks = pages.withColumn("vector", F.when(F.col("text").contains("energy"), F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))).cast("array<float>"))
+    pages = spark.createDataFrame([("b", i + 1, i, t) for i, t in enumerate(texts)], "book_id string, page int, doc_id long, text string")
+    chunks = pages.withColumn("factor", F.lit(1.0)).withColumn("vector", F.when(F.col("text").contains("energy"), F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))).cast("array<float>"))
     queries = spark.createDataFrame([(1, "energy")], "query_id int, query string")
     vectors = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, query_vector array<float>")
+    made = index.built(pages)
     focus = lambda a, b: spark.createDataFrame([(1, "b", None, 2, a, b)], "query_id int, book_id string, selected_page int, current_page int, chapter_from int, chapter_to int")
-    first = lambda f: [r["page"] for r in search.hybrid_search(pages, chunks, queries, vectors, f).where("rank = 1 AND mode = 'hybrid'").collect()]
+    first = lambda f: [r["page"] for r in search.hybrid_search(made, chunks, queries, vectors, f).where("rank = 1 AND mode = 'hybrid'").collect()]
     assert first(None) == [1] and first(focus(None, None)) == [1] and first(focus(3, 3)) == [3]

@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .matching import occurrences
+from .matching import containing
 
 #: How long quotes are, how much of one is shown, what a page claim and a quote look like.
 LEAST_QUOTE, MOST_QUOTE, EXCERPT = 6, 160, 60
 CLAIMED = r"第\s*(\d{1,4})\s*页"
 QUOTED = r"[「“]([^「」“”]{6,160})[」”]|\"([^\"\n]{6,160})\"|《([^《》]{6,160})》"
 
+#: Parts in which the answers that name a page are gathered.
+PARTS = 64
+
 
 def _excerpt(quote: str) -> F.Column:
     return F.when(F.length(quote) > EXCERPT, F.concat(F.left(quote, F.lit(EXCERPT)), F.lit("…"))).otherwise(F.col(quote))
@@ -25,7 +28,7 @@ def grounded(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     """
     wanted = quotes.select("quote_id", T.match_form(F.col("quote")).alias("q")).where("q <> ''")
     corpus = pages.select("page_id", T.match_form(F.col("text")).alias("m"))
-    found = occurrences(corpus, wanted).groupBy("q").agg(F.count("*").alias("n_pages"), F.min("page_id").alias("first_page_id"))
+    found = containing(corpus, wanted).groupBy("q").agg(F.count("*").alias("n_pages"), F.min("page_id").alias("first_page_id"))
     by_quote = wanted.join(found, "q").drop("q")
     return quotes.join(by_quote, "quote_id", "left").select("quote_id", F.coalesce("n_pages", F.lit(0)).alias("n_pages"), "first_page_id", _excerpt("quote").alias("excerpt"))
 
@@ -58,8 +61,11 @@ def checked(answers: DataFrame, evidence: DataFrame, pages: DataFrame) -> DataFr
     unindexed = open_claims.select("answer_id", F.lit("page_claim_unindexed").alias("kind"), "page", F.concat(F.lit("第 "), F.col("page").cast("string"), F.lit(" 页")).alias("excerpt"))
     named = claims.unionByName(shown.join(asked.select("answer_id", "book_id"), "answer_id")).distinct()
     texts = pages.select("book_id", "page", T.match_form(F.col("text")).alias("m")).where("m <> ''")
-    corpus = named.join(texts, ["book_id", "page"]).select("answer_id", "m")
     quotes = answer_quotes(asked).select("answer_id", "i", "quote", T.match_form(F.col("quote")).alias("q")).where("q <> ''")
-    judged = quotes.join(corpus, "answer_id").groupBy("answer_id", "i").agg(F.max(F.contains("m", "q")).alias("ok"), F.first("quote").alias("quote"))
+    # Quotes come to the page, some answers at a time, so that a text travels once and a page that all name is no one task.
+    part = F.pmod(F.xxhash64("answer_id"), F.lit(PARTS)).alias("part")
+    by_page = quotes.join(named.select("answer_id", "book_id", "page"), ["answer_id"]).groupBy("book_id", "page", part).agg(F.collect_list(F.struct("answer_id", "i", "quote", "q")).alias("asked"))
+    beside = by_page.join(texts, ["book_id", "page"]).select("m", F.explode("asked").alias("a"))
+    judged = beside.groupBy("a.answer_id", "a.i").agg(F.max(F.contains("m", "a.q")).alias("ok"), F.first("a.quote").alias("quote"))
     absent = judged.where("NOT ok").select("answer_id", F.lit("quote_not_found").alias("kind"), F.lit(None).cast("int").alias("page"), _excerpt("quote").alias("excerpt"))
     return unindexed.unionByName(absent)

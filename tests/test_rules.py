@@ -155,16 +155,26 @@ def test_quotes(spark):
     assert checked(spark, answer, [(3, 5), (4, 4)], pages) == [(1, "quote_not_found", None, "z" * 60 + "…"), (2, "page_claim_unindexed", 9, "第 9 页"), (4, "quote_not_found", None, "the lazy-dog")]
 
 
-def test_grounded_quotes(spark, monkeypatch):
+def test_grounded_quotes(spark):
     quotes = spark.createDataFrame([(1, "Brown fox"), (2, "no such"), (3, "...  "), (4, "BROWN-fox"), (5, None), (6, "own f")], "quote_id int, quote string")
     pages = spark.createDataFrame([(1, "a brown, fox; brown fox"), (2, "brownfox"), (3, None), (4, "")], "page_id int, text string")
     expected = {1: (2, 1), 2: (0, None), 3: (0, None), 4: (2, 1), 5: (0, None), 6: (2, 1)}
-    for most in (50_000, 1):
-        monkeypatch.setattr(matching, "FORMS_A_PASS", most)
-        assert {r["quote_id"]: (r["n_pages"], r["first_page_id"]) for r in citations.grounded(quotes, pages).collect()} == expected
+    assert {r["quote_id"]: (r["n_pages"], r["first_page_id"]) for r in citations.grounded(quotes, pages).collect()} == expected
     assert citations.grounded(quotes.where("quote_id = 3"), pages).collect()[0]["n_pages"] == 0
 
 
+def test_strings_in_texts(spark):
+    """Strings of every length about the bounds of fingerprints, at any place, with characters beyond 16 bits."""
+    rng = random.Random(6)
+    signs = "abcé日\U0001f600"
+    texts = ["".join(rng.choices(signs, k=rng.choice([0, 3, 14, 15, 16, 40, 200]))) for _ in range(60)] + ["ab" * 50, "ab" * 50, None]
+    forms = {t[i : i + n] for t in texts if t for n in (1, 2, 7, 8, 13, 14, 15, 16, 30) for i in [rng.randrange(max(1, len(t)))] if t[i : i + n]}
+    forms |= {"ab" * 7, "ab" * 8, "zz", "z" * 15, "".join(rng.choices(signs, k=20))}
+    rows = spark.createDataFrame([(i % 40, t, "x") for i, t in enumerate(texts)], "id int, m string, row string").repartition(3)
+    found = matching.containing(rows, spark.createDataFrame([(f,) for f in [*forms, *forms]] + [(None,), ("",)], "q string")).collect()
+    assert sorted((r["id"], r["q"]) for r in found) == sorted((i % 40, f) for i, t in enumerate(texts) if t for f in forms if f in t) and found[0]["row"] == "x"
+
+
 def test_hybrid_and_focus(spark):
     texts = ["energy is conserved " * 8, "other matters " * 10, "energy is conserved " * 8]
     pages = spark.createDataFrame([("b", i + 1, i, t) for i, t in enumerate(texts)], "book_id string, page int, doc_id long, text string")

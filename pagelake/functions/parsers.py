@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import collapsed
+from .text import collapsed, decoded_entities, stripped_html
 
 #: Fields of hidden reasoning, marks of errors, and of a page that asks for a human.
 REASONING_FIELDS = ("reasoning_content", "reasoning", "reasoning_text", "reasoning_details")
@@ -20,7 +23,9 @@ ERRORS = (
 )
 CHALLENGE = r"(?i)g-recaptcha|are you a human|id=\"challenge-form\"|name=\"challenge\""
 RESULT = r"(?i)class=\"[^\"]*\bresult__a\b[^\"]*\""
-CHUNK = "struct<id: string, choices: array<struct<index: int, delta: map<string, string>, finish_reason: string>>>"
+#: A result's link and its snippet.
+RESULT_LINK = r"(?is)<a\b(?=[^>]*\bclass=\"[^\"]*\bresult__a\b[^\"]*\")([^>]*)>(.*?)</a>"
+RESULT_SNIPPET = r"(?is)<a\b(?=[^>]*\bclass=\"[^\"]*\bresult__snippet\b[^\"]*\")[^>]*>(.*?)</a>"
 
 
 def model_error(stop_reason: Column, code: Column, message: Column) -> Column:
@@ -38,13 +43,48 @@ def reported_window(message: Column) -> Column:
     return F.when(message.rlike(WINDOW_ERROR), F.coalesce(*[F.when(n > 0, n) for n in numbers], F.lit(0)))
 
 
+class _Spelled(float):
+    """A number as it was written."""
+
+    def __new__(cls, text: str):
+        made = super().__new__(cls, text)
+        made.text = text
+        return made
+
+
+def _spelled(value) -> str:
+    """JSON without blanks, members in their order, numbers as they were written."""
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{_spelled(k)}:{_spelled(v)}" for k, v in value.items()) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_spelled, value)) + "]"
+    return value.text if isinstance(value, _Spelled) else json.dumps(value, ensure_ascii=False)
+
+
+def _reasoning_stripped(payload: str | None) -> str | None:
+    if payload is None or not any(field in payload for field in REASONING_FIELDS):
+        return None
+    try:
+        chunk = json.loads(payload, parse_float=_Spelled, parse_int=_Spelled)
+    except (ValueError, RecursionError):
+        return None
+    choices = chunk.get("choices") if isinstance(chunk, dict) else None
+    deltas = [c["delta"] for c in choices if isinstance(c, dict) and isinstance(c.get("delta"), dict)] if isinstance(choices, list) else []
+    hidden = [(delta, field) for delta in deltas for field in REASONING_FIELDS if field in delta]
+    for delta, field in hidden:
+        del delta[field]
+    return _spelled(chunk) if hidden else None
+
+
 def without_reasoning(payload: Column) -> Column:
-    """A stream chunk's JSON without the fields of hidden reasoning; null where there is nothing to take away."""
-    chunk = F.from_json(payload, CHUNK)
-    hidden = lambda k: k.isin(*REASONING_FIELDS)
-    has = F.exists(chunk["choices"], lambda c: F.size(F.map_filter(c["delta"], lambda k, v: hidden(k))) > 0)
-    choices = F.transform(chunk["choices"], lambda c: c.withField("delta", F.map_filter(c["delta"], lambda k, v: ~hidden(k))))
-    return F.when(has, F.to_json(chunk.withField("choices", choices)))
+    """A stream chunk's JSON without the fields of hidden reasoning in its choices' deltas, all else as it was; null where
+    there is nothing to take away. Spark's own JSON functions keep neither the order of unknown members nor their types."""
+
+    @F.pandas_udf("string")
+    def stripped(payloads: pd.Series) -> pd.Series:
+        return payloads.map(_reasoning_stripped, na_action=None)
+
+    return stripped(payload)
 
 
 def stream_line(line: Column) -> Column:
@@ -80,22 +120,20 @@ def is_challenge(html: Column) -> Column:
 
 def result_links(html: Column) -> Column:
     """array<struct<title, url, snippet>> of a page of results: each result's link, and the snippet before the next one."""
-    anchor = r"(?is)<a\b(?=[^>]*\bclass=\"[^\"]*\bresult__a\b[^\"]*\")([^>]*)>(.*?)</a>"
-    snippet = r"(?is)<a\b(?=[^>]*\bclass=\"[^\"]*\bresult__snippet\b[^\"]*\")[^>]*>(.*?)</a>"
-    attributes, titles = F.regexp_extract_all(html, F.lit(anchor), F.lit(1)), F.regexp_extract_all(html, F.lit(anchor), F.lit(2))
-    behind = F.slice(F.split(html, anchor, -1), 2, F.size(titles))
-    plain = lambda x: collapsed(F.regexp_replace(F.regexp_replace(x, r"(?i)</?b\b[^>]*>", ""), r"<[^>]+>", " "))
+    attributes, titles = F.regexp_extract_all(html, F.lit(RESULT_LINK), F.lit(1)), F.regexp_extract_all(html, F.lit(RESULT_LINK), F.lit(2))
+    behind = F.slice(F.split(html, RESULT_LINK, -1), 2, F.size(titles))
+    plain = lambda x: decoded_entities(stripped_html(x))
     made = F.transform(
         F.arrays_zip(attributes.alias("a"), titles.alias("t"), behind.alias("b")),
-        lambda r: F.struct(plain(r["t"]).alias("title"), unwrapped(F.regexp_extract(r["a"], r"(?i)\bhref=\"([^\"]*)\"", 1)).alias("url"), plain(F.regexp_extract(r["b"], snippet, 1)).alias("snippet")),
+        lambda r: F.struct(plain(r["t"]).alias("title"), unwrapped(decoded_entities(F.regexp_extract(r["a"], r"(?i)\bhref=\"([^\"]*)\"", 1))).alias("url"), plain(F.regexp_extract(r["b"], RESULT_SNIPPET, 1)).alias("snippet")),
     )
     return F.filter(made, lambda r: (r["title"] != "") & (r["url"] != ""))
 
 
 def unwrapped(url: Column) -> Column:
-    """The target that a redirecting address carries as `uddg`; other addresses stay as they are."""
-    target = F.regexp_extract(F.regexp_replace(url, "&amp;", "&"), r"[?&]uddg=([^&#]*)", 1)
-    return F.when(target != "", F.coalesce(F.try_url_decode(target), url)).otherwise(url)
+    """The target that a redirecting address, a whole one, carries as `uddg`; other addresses stay as they are."""
+    target = F.regexp_extract(url, r"^[^#]*?[?&]uddg=([^&#]*)", 1)
+    return F.when((target != "") & url.rlike(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//"), F.coalesce(F.try_url_decode(target), url)).otherwise(url)
 
 
 def args_preview(args: Column) -> Column:

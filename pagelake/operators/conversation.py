@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 EVIDENCE = 8
+#: Tokens of an image, characters of a result that is always kept, and what stands for one left out.
+IMAGE_TOKENS, SHORT_RESULT = 2000, 200
+PAGES_LEFT_OUT = ("第 ", "、", " 页原图已省略，如需查看可调用 view_page 重新获取。")
+TEXT_LEFT_OUT = ("此前 ", " 结果约 ", " 字符，已省略")
 
 
 def retained_runs(messages: DataFrame, budget: int) -> DataFrame:
@@ -17,13 +21,26 @@ def retained_runs(messages: DataFrame, budget: int) -> DataFrame:
     return tokens.withColumn("retained", F.coalesce(F.sum("tokens").over(newer), F.lit(0)) < budget)
 
 
-def elided(messages: DataFrame, retained: DataFrame, role: str, tail_most: int, old_most: int = 200) -> DataFrame:
-    """`messages` with `body` of rows of a role replaced where too long: beyond `tail_most`, or `old_most` outside the tail."""
-    met = messages.join(retained.select("session_id", "run_id", "retained"), ["session_id", "run_id"])
-    size = F.length("body")
-    cut = (F.col("role") == role) & ((size > tail_most) | (~F.col("retained") & (size > old_most)))
-    stub = F.concat(F.lit("[elided "), size.cast("string"), F.lit(" characters]"))
-    return met.withColumn("elided", cut).withColumn("saved", F.when(cut, T.token_estimate(F.col("body")) - T.token_estimate(stub)).otherwise(0)).withColumn("body", F.when(cut, stub).otherwise(F.col("body")))
+def tool_tokens(text: str = "body", pages: str = "media_pages") -> Column:
+    """What a tool's result costs: its text, and IMAGE_TOKENS for each of its images."""
+    return T.token_estimate(F.coalesce(F.col(text), F.lit(""))) + IMAGE_TOKENS * F.coalesce(F.greatest(F.size(pages), F.lit(0)), F.lit(0))
+
+
+def stub(title: str = "title", text: str = "body", pages: str = "media_pages") -> Column:
+    """What stands for a tool's result: its pages where it has images, else its title and length."""
+    shown = F.concat(F.lit(PAGES_LEFT_OUT[0]), F.array_join(F.col(pages).cast("array<string>"), PAGES_LEFT_OUT[1]), F.lit(PAGES_LEFT_OUT[2]))
+    said = F.concat(F.lit(TEXT_LEFT_OUT[0]), F.coalesce(title, F.lit("")), F.lit(TEXT_LEFT_OUT[1]), F.length(F.coalesce(text, F.lit(""))).cast("string"), F.lit(TEXT_LEFT_OUT[2]))
+    return F.when(F.size(pages) > 0, shown).otherwise(said)
+
+
+def elided(tools: DataFrame, retained: DataFrame, oversized: int) -> DataFrame:
+    """Tools' results (session_id, run_id, title, body, media_pages array<int>) with `elided` and `saved` tokens, and a stub as
+    `body` where they are left out: of more than `oversized` tokens, or outside the retained runs longer than SHORT_RESULT."""
+    kept = retained.where("retained").select("session_id", "run_id").withColumn("_kept", F.lit(True))
+    met = tools.join(kept, ["session_id", "run_id"], "left")
+    cut = (tool_tokens() > oversized) | (F.col("_kept").isNull() & (F.length("body") > SHORT_RESULT))
+    cut = F.coalesce(cut, F.lit(False))
+    return met.withColumns({"elided": cut, "saved": F.when(cut, tool_tokens() - T.token_estimate(stub())).otherwise(0), "body": F.when(cut, stub()).otherwise(F.col("body"))}).drop("_kept")
 
 
 def replay(messages: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ ENGLISH = r"(?i)^(part|chapter|appendix|unit|section)\s+(\d+|[ivxlcdm]+)\b"
 NUMBERED = r"^([1-9]\d?)\s*[.．]\s*([1-9]\d{0,2})(?![.\d])"
 KNOWN_PARTS = r"^(附录|参考文献|索引|习题)"
 PAGE_LINE, LEADERS = r"(?i)^(?:第?\s*\d+\s*页|page\s+\d+(?:\s+of\s+\d+)?)$", r"\.{3,}\s*\d+$"
-PHONETIC = r"[(（][a-zA-Zāáǎàēéěèīíǐìōóǒòūúǔùüǖǘǚǜńňǹḿ\s·]+[)）]"
+PHONETIC = r"\([a-zāáǎàēéěèīíǐìōóǒòūúǔùǖǘǚǜü]{1,8}\)"
 RATIOS = (1.7, 1.42, 1.32)
 LEAST_ROOTS, REPEATED_PAGES = 3, 3
 

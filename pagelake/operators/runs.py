@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Retired tool names and what they are called now.
-TOOL_NAMES = {"search": "search_book", "outline": "read_outline", "pages": "read_pages", "page_image": "view_page"}
-HIDDEN_FIELDS = ("reasoning", "reasoning_content", "reasoning_details", "reasoning_text")
+#: Retired tool names and what they are called now; what ends a run, by what set it off; a checkpoint's mark.
+TOOL_NAMES = {"book_search": "search_book", "read_page_image": "view_page", "web_search": "search_web"}
+EXIT_REASONS = {"max_iterations": "max_iterations_reached", "loop_detected": "loop_detected", "wall_clock_total": "wall_clock_timeout", "wall_clock_idle": "wall_clock_timeout"}
+CHECKPOINT = "ocr-linear:"
 
 
 def found_and_missing(requested: DataFrame, indexed: DataFrame) -> DataFrame:
@@ -21,9 +22,14 @@ def current_name(tool: Column) -> Column:
     return F.coalesce(names[tool], tool)
 
 
-def exit_reason(cancelled: Column, failed: Column, timed_out: Column, rounds: Column, budget: int) -> Column:
-    """The first that holds: cancelled, failed, timed out, out of budget; else complete."""
-    return F.when(cancelled, "cancelled").when(failed, "error").when(timed_out, "timeout").when(rounds >= budget, "budget").otherwise("complete")
+def exit_reason(exhausted: Column, failure: Column, trigger: Column, answered: Column) -> Column:
+    """The first that holds: the last attempts brought nothing, cancelled, failed, a guard went off, no answer; else completed.
+
+    failure: "cancelled", "error" or null; trigger: a key of EXIT_REASONS or null.
+    """
+    reasons = F.create_map(*[F.lit(x) for pair in EXIT_REASONS.items() for x in pair])
+    ended = F.when(exhausted, "all_retries_exhausted_no_response").when(failure == "cancelled", "interrupted_by_user").when(failure == "error", "error")
+    return ended.when(trigger.isNotNull(), reasons[trigger]).when(~F.coalesce(answered, F.lit(False)), "unknown").otherwise("completed")
 
 
 def without_late(results: DataFrame, cancelled: DataFrame) -> DataFrame:
@@ -56,13 +62,15 @@ def question_of(messages: DataFrame) -> DataFrame:
     return messages.withColumn("question_turn", asked).where("role = 'assistant'").select("session_id", "turn", "question_turn")
 
 
-def checkpoint(prefix: Column, total: Column) -> Column:
-    return F.concat(F.lit("ocr:"), prefix.cast("string"), F.lit("/"), total.cast("string"))
+def checkpoint(completed: Column) -> Column:
+    """How many leading pages are done, as text; null, negative and broken numbers are none."""
+    whole = F.when(F.isnan(completed.cast("double")), 0).otherwise(F.greatest(F.lit(0), F.floor(F.coalesce(completed, F.lit(0)))))
+    return F.concat(F.lit(CHECKPOINT), whole.cast("long").cast("string"))
 
 
 def checkpoint_prefix(text: Column) -> Column:
-    """The prefix of a checkpoint, null if it is none."""
-    return F.nullif(F.regexp_extract(text, "^ocr:([0-9]+)/[0-9]+$", 1), F.lit("")).cast("long")
+    """The number of a checkpoint; any other text, also of an older form, means none."""
+    return F.coalesce(F.nullif(F.regexp_extract(text, rf"^{CHECKPOINT}([0-9]+)\z", 1), F.lit("")).try_cast("long"), F.lit(0).cast("long"))
 
 
 def outline_entries(reply: Column) -> Column:

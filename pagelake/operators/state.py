@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: What may follow what.
-TRANSITIONS = {"pause": ("queued", "running"), "resume": ("paused", "failed"), "cancel": ("queued", "running", "paused")}
-URGENCY = ("running", "queued", "paused", "failed", "cancelled", "complete")
+#: From which states a job may be paused, resumed or cancelled, and what it is then; live states, most urgent first.
+TRANSITIONS = {"pause": ("queued", "running", "paused"), "resume": ("paused", "failed"), "cancel": ("queued", "running", "paused")}
+OUTCOMES = {"pause": "paused", "resume": "queued", "cancel": "cancelled"}
+URGENCY = ("running", "queued", "paused", "failed")
 
 
 def latest_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -49,6 +50,20 @@ def transition_valid(action: Column, status: Column) -> Column:
     return valid
 
 
+def transitioned(jobs: DataFrame) -> DataFrame:
+    """`jobs` (…, action, status, attempts, claim_id) after their action: what isn't allowed changes nothing and isn't `ok`.
+
+    A resumed job has no claim, and one that had failed starts counting its attempts anew. Null actions aren't allowed.
+    """
+    ok = F.coalesce(transition_valid(F.col("action"), F.col("status")), F.lit(False))
+    resumed = ok & (F.col("action") == "resume")
+    outcomes = F.create_map(*[F.lit(x) for pair in OUTCOMES.items() for x in pair])
+    return jobs.withColumns({
+        "ok": ok, "status": F.when(ok, outcomes[F.col("action")]).otherwise(F.col("status")),
+        "attempts": F.when(resumed & (F.col("status") == "failed"), 0).otherwise(F.col("attempts")), "claim_id": F.when(~resumed, F.col("claim_id")),
+    })
+
+
 def queue_order(jobs: DataFrame) -> DataFrame:
     """(…, position): queued jobs of each book by priority, then age, then id."""
     order = Window.partitionBy("book_id").orderBy(F.col("priority").desc(), "created_at", "job_id")
@@ -56,8 +71,8 @@ def queue_order(jobs: DataFrame) -> DataFrame:
 
 
 def latest_per_kind(jobs: DataFrame) -> DataFrame:
-    """The newest job of each book and kind, with its urgency (0 first)."""
-    newest = latest_wins(jobs, ["book_id", "kind"], [F.col("created_at"), F.col("job_id")])
+    """The newest live job of each book and kind, with its urgency (0 first); completed and cancelled ones hide none."""
+    newest = latest_wins(jobs.where(F.col("status").isin(*URGENCY)), ["book_id", "kind"], [F.col("updated_at"), F.col("job_id")])
     return newest.withColumn("urgency", F.array_position(F.array(*map(F.lit, URGENCY)), F.col("status")) - 1)
 
 

@@ -228,14 +228,14 @@ def chat_endpoints(spark, sf_dir):
 
 
 def stream_lines(spark, sf_dir):
-    line = F.expr("""CASE p_partkey % 4 WHEN 0 THEN concat('data: {"id":"', p_partkey, '","choices":[{"index":0,"delta":{"content":"c","reasoning_content":"r","reasoning":"q"}}]}')
+    line = F.expr("""CASE p_partkey % 4 WHEN 0 THEN concat('data: {"id":"', p_partkey, '", "object":"chunk","created":17.50,"model":"m","choices":[{"index":0,"delta":{"role":null,"content":"c","reasoning_content":"r","tool_calls":[{"index":0,"id":"t","function":{"name":"', p_size, '","arguments":"{\\\\"a\\\\": 1}"}}],"reasoning":{"deep":[1,2]}},"finish_reason":null}],"usage":{"total":', p_size, '}}')
       WHEN 1 THEN concat('data: {"id":"', p_partkey, '","choices":[{"index":0,"delta":{"content":"c"}}]}') WHEN 2 THEN 'data: [DONE]' ELSE concat('event: ', p_name) END""")
     return table(spark, sf_dir, "part").select("p_partkey", P.stream_line(line).alias("line"))
 
 
 def search_results(spark, sf_dir):
     """Two results a page; the first has a snippet, the second's address is wrapped."""
-    page = F.expr("""if(p_partkey % 10 = 9, '<form id="challenge-form">', concat('<p><a class="x result__a" href="https://a.example/', p_partkey, '">The <b class="k">', p_brand, '</b> one</a><a class="result__snippet">said <i>so</i></a></p>',
+    page = F.expr("""if(p_partkey % 10 = 9, '<form id="challenge-form">', concat('<p><a class="x result__a" href="https://a.example/', p_partkey, '?q=1&amp;r=2">The <b class="k">', p_brand, '</b> Q&amp;A</a><a class="result__snippet">1 &lt; 2 <i>so</i></a></p>',
       '<a rel="n" class="result__a" href="//d.example/l/?uddg=https%3A%2F%2Fb.example%2F', p_partkey, '&amp;rut=1">Second</a>'))""")
     rows = table(spark, sf_dir, "part").select("p_partkey", page.alias("html"))
     return rows.select("p_partkey", P.is_challenge(F.col("html")).alias("challenge"), F.posexplode_outer(P.result_links(F.col("html"))).alias("at", "r")).select("p_partkey", "challenge", F.col("at").cast("long").alias("at"), "r.title", "r.url", "r.snippet")
@@ -314,8 +314,8 @@ k AS (SELECT book_id, page, unnest(string_split(lower(trim(regexp_replace(regexp
     "model_errors": "SELECT p_partkey, CASE WHEN p_size > 5 THEN CASE WHEN p_partkey % 9 = 0 THEN 'AUTHENTICATION_ERROR' WHEN p_size > 45 OR p_partkey % 9 = 1 THEN 'RATE_LIMITED' WHEN p_partkey % 9 = 2 THEN 'TIMEOUT' WHEN p_partkey % 9 = 3 THEN 'NETWORK_ERROR' ELSE 'INVALID_RESPONSE' END END AS kind, CAST(CASE p_partkey % 9 WHEN 6 THEN 8192 WHEN 7 THEN 180 WHEN 8 THEN 0 END AS BIGINT) AS window FROM part",
     "chat_endpoints": """SELECT p_partkey, h || CASE WHEN p_size % 2 = 0 THEN ['/v1', '/v1', '/v1', '/v1', '/v1/messages/v1', '/api/v2', '/v1/embeddings/v1'][k] || '/chat/completions' ELSE ['', '', '', '/v1/chat/completions', '', '/api/v2', '/v1/embeddings'][k] || '/v1/messages' END AS chat,
   h || ['/v1', '/v1', '/v1', '/v1/chat/completions/v1', '/v1/messages/v1', '/api/v2/v1', '/v1'][k] || '/embeddings' AS embeddings FROM (SELECT p_partkey, p_size, 'https://h' || p_size || '.example' AS h, p_partkey % 7 + 1 AS k FROM part)""",
-    "stream_lines": """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'data: {"id":"' || p_partkey || '","choices":[{"index":0,"delta":{"content":"c"}}]}' WHEN 1 THEN 'data: {"id":"' || p_partkey || '","choices":[{"index":0,"delta":{"content":"c"}}]}' WHEN 2 THEN 'data: [DONE]' ELSE 'event: ' || p_name END AS line FROM part""",
-    "search_results": """SELECT p_partkey, false AS challenge, CAST(0 AS BIGINT) AS at, 'The ' || p_brand || ' one' AS title, 'https://a.example/' || p_partkey AS url, 'said so' AS snippet FROM part WHERE p_partkey % 10 <> 9
+    "stream_lines": """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'data: {"id":"' || p_partkey || '","object":"chunk","created":17.50,"model":"m","choices":[{"index":0,"delta":{"role":null,"content":"c","tool_calls":[{"index":0,"id":"t","function":{"name":"' || p_size || '","arguments":"{\\"a\\": 1}"}}]},"finish_reason":null}],"usage":{"total":' || p_size || '}}' WHEN 1 THEN 'data: {"id":"' || p_partkey || '","choices":[{"index":0,"delta":{"content":"c"}}]}' WHEN 2 THEN 'data: [DONE]' ELSE 'event: ' || p_name END AS line FROM part""",
+    "search_results": """SELECT p_partkey, false AS challenge, CAST(0 AS BIGINT) AS at, 'The ' || p_brand || ' Q&A' AS title, 'https://a.example/' || p_partkey || '?q=1&r=2' AS url, '1 < 2 so' AS snippet FROM part WHERE p_partkey % 10 <> 9
 UNION ALL SELECT p_partkey, false, 1, 'Second', 'https://b.example/' || p_partkey, '' FROM part WHERE p_partkey % 10 <> 9 UNION ALL SELECT p_partkey, true, NULL, NULL, NULL, NULL FROM part WHERE p_partkey % 10 = 9""",
     "payload_keys": r"""SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_id, sha256(substring(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 120)) AS preview, length(text) + floor(length(substring(text, 1, 7)) * 3 / 4.0)::BIGINT AS chars, (doc_id % 3 + 1) || '|' || lower(substring(text, 1, 12)) AS entry, sha256(text) || CASE WHEN doc_id % 2 = 0 THEN '.jpg' ELSE '.png' END AS image FROM documents WHERE text IS NOT NULL""",
     "loop_verdicts": """WITH e AS (SELECT user_id AS run_id, event_id AS seq, event_id % 5 > 0 AS tool, event_id % 2 AS a, event_id % 3 AS r, event_type <> 'click' AS long FROM events),

@@ -167,7 +167,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, of ORDER BY size, ord) A
 b AS (SELECT doc_id, median(size) AS body FROM r WHERE of AND r <= greatest(1, floor(n * 0.75)) GROUP BY doc_id),
 c AS (SELECT *, size / body AS ratio FROM r JOIN b USING (doc_id))
 SELECT doc_id, ord, label, CASE WHEN ratio >= 1.7 THEN 1 WHEN ratio >= 1.42 THEN 2 ELSE 3 END AS level FROM c WHERE length(label) BETWEEN 2 AND 100 AND ratio >= 1.32 AND NOT regexp_matches(label, '^\d+$') AND NOT regexp_matches(label, '[。！？!?；;:]$')
-  AND (cjk >= 4 OR length(regexp_replace(label, '[^A-Za-z]', '', 'g')) >= 6 OR regexp_matches(label, '[(（][a-zA-Zāáǎàēéěèīíǐìōóǒòūúǔùüǖǘǚǜńňǹḿ\s·]+[)）]'))""",
+  AND (cjk >= 4 OR length(regexp_replace(label, '[^A-Za-z]', '', 'g')) >= 6 OR regexp_matches(label, '\([a-zāáǎàēéěèīíǐìōóǒòūúǔùǖǘǚǜü]{1,8}\)'))""",
     "body_outline": f"""WITH {PAGES} SELECT book_id, page AS ord, CASE WHEN page % 5 = 0 THEN 'Chapter ' || (1 + page // 5) || ' t' ELSE 'Section 1 t' END AS label, page, CASE WHEN page % 5 = 0 THEN 1 ELSE 2 END AS level
 FROM pages_ p WHERE length(book_id) = 4 AND page % 5 < 2 AND (SELECT count(*) FROM pages_ q WHERE q.book_id = p.book_id) >= 10""",
     "toc_entries": f"""WITH {PAGES}, r AS (SELECT book_id, page, CASE WHEN page % 3 = 0 THEN 'Chapter ' || page || ' a' ELSE 'entry ' || page % 7 END AS label, 1 + page % 2 AS level, max(page) OVER (PARTITION BY book_id) AS total FROM pages_),

@@ -47,13 +47,17 @@ def cosine_to_first(spark, sf_dir):
 
 
 def checkpoints(spark, sf_dir):
-    c = table(spark, sf_dir, "part").select("p_partkey", runs.checkpoint(F.col("p_size"), F.col("p_partkey")).alias("checkpoint"))
-    return c.select("p_partkey", "checkpoint", runs.checkpoint_prefix(F.col("checkpoint")).alias("prefix"), runs.checkpoint_prefix(F.concat(F.col("checkpoint"), F.lit("x"))).alias("broken"))
+    """Part prices less a thousand as pages done, so some are negative and most broken numbers; and what others left."""
+    c = table(spark, sf_dir, "part").select("p_partkey", "p_size", runs.checkpoint(F.col("p_retailprice") - 1000).alias("checkpoint"))
+    other = F.when(F.col("p_size") % 3 == 0, F.concat(F.col("checkpoint"), F.lit("x"))).when(F.col("p_size") % 3 == 1, F.concat(F.lit("ocr:"), "p_size", F.lit("/9")))
+    return c.select("p_partkey", "checkpoint", runs.checkpoint_prefix(F.col("checkpoint")).alias("prefix"), runs.checkpoint_prefix(other).alias("broken"))
 
 
 def exit_reasons(spark, sf_dir):
     e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("rounds"), F.count_if(F.col("event_type") == "logout").alias("l"), F.count_if(F.col("event_type") == "error").alias("x"), F.max("value").alias("v"))
-    return e.select("user_id", runs.exit_reason(F.col("l") > 20, F.col("x") > 20, F.col("v") > 400, F.col("rounds"), 65).alias("reason"))
+    failure = F.when(F.col("l") % 5 == 0, "cancelled").when(F.col("x") % 5 == 0, "error")
+    trigger = F.when(F.col("rounds") % 7 == 0, "max_iterations").when(F.col("rounds") % 7 == 1, "loop_detected").when(F.col("rounds") % 7 == 2, "wall_clock_total").when(F.col("rounds") % 7 == 3, "wall_clock_idle")
+    return e.select("user_id", runs.exit_reason(F.col("rounds") % 11 == 0, failure, trigger, F.col("v") > 300).alias("reason"))
 
 
 def late_results(spark, sf_dir):
@@ -77,7 +81,7 @@ def questions(spark, sf_dir):
 
 
 def tool_names(spark, sf_dir):
-    name = F.element_at(F.array(*map(F.lit, ("search", "outline", "pages", "search_web"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    name = F.element_at(F.array(*map(F.lit, ("book_search", "read_page_image", "web_search", "read_outline"))), (F.col("p_partkey") % 4 + 1).cast("int"))
     return table(spark, sf_dir, "part").select("p_partkey", runs.current_name(name).alias("tool"))
 
 
@@ -146,13 +150,13 @@ ORACLE_SQL = {
     "label_pages": "SELECT source AS book_id, lower(trim(string_split(text, chr(10))[1])) AS label, count(*) AS n FROM documents GROUP BY ALL HAVING count(*) >= 2",
     "strong_hit_cutoff": "SELECT query_id, vec_id, score FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM (SELECT label AS query_id, vec_id, round(CAST(embedding[2] AS DOUBLE), 6) AS score FROM embeddings)) WHERE top <= 0 OR score >= top * 0.6",
     "cosine_similarity": "WITH f AS (SELECT label, arg_min(embedding, vec_id) AS first FROM embeddings GROUP BY label) SELECT vec_id, round(greatest(0, least(1, list_cosine_similarity(first::DOUBLE[], embedding::DOUBLE[]))), 6) AS cosine, sha256(array_to_string(list_transform(embedding, lambda x: CAST(CAST(round(CAST(x AS DOUBLE) * 1000) AS BIGINT) AS VARCHAR)), ',')) AS digest FROM embeddings JOIN f USING (label)",
-    "ocr_checkpoint_codec": "SELECT p_partkey, 'ocr:' || p_size || '/' || p_partkey AS checkpoint, CAST(p_size AS BIGINT) AS prefix, CAST(NULL AS BIGINT) AS broken FROM part",
-    "exit_reason": "SELECT user_id, CASE WHEN count(*) FILTER (event_type = 'logout') > 20 THEN 'cancelled' WHEN count(*) FILTER (event_type = 'error') > 20 THEN 'error' WHEN max(value) > 400 THEN 'timeout' WHEN count(*) >= 65 THEN 'budget' ELSE 'complete' END AS reason FROM events GROUP BY user_id",
+    "ocr_checkpoint_codec": "SELECT p_partkey, 'ocr-linear:' || greatest(0, CAST(floor(p_retailprice - 1000) AS BIGINT)) AS checkpoint, greatest(0, CAST(floor(p_retailprice - 1000) AS BIGINT)) AS prefix, CAST(0 AS BIGINT) AS broken FROM part",
+    "exit_reason": "SELECT user_id, CASE WHEN count(*) % 11 = 0 THEN 'all_retries_exhausted_no_response' WHEN count(*) FILTER (event_type = 'logout') % 5 = 0 THEN 'interrupted_by_user' WHEN count(*) FILTER (event_type = 'error') % 5 = 0 THEN 'error' WHEN count(*) % 7 < 4 THEN ['max_iterations_reached', 'loop_detected', 'wall_clock_timeout', 'wall_clock_timeout'][count(*) % 7 + 1] WHEN coalesce(max(value) <= 300, true) THEN 'unknown' ELSE 'completed' END AS reason FROM events GROUP BY user_id",
     "late_results_dropped": "WITH c AS (SELECT user_id, min(ts) AS c FROM events WHERE event_type = 'purchase' AND value > 20 GROUP BY 1) SELECT user_id AS key, count(*) AS n, max(event_id) AS last_id FROM events LEFT JOIN c USING (user_id) WHERE c IS NULL OR ts <= c GROUP BY user_id",
     "image_quota": "WITH r AS (SELECT CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS i, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) <= 3 AS allowed FROM events) SELECT allowed, count(*) AS n, sum(i) AS images FROM r GROUP BY allowed",
     "diagnostics_last_runs": "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5",
     "retry_question": f"WITH {MSG} SELECT session_id, turn, question_turn FROM (SELECT *, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS question_turn FROM m) WHERE role = 'assistant'",
-    "tool_alias_map": "SELECT p_partkey, ['search_book', 'read_outline', 'read_pages', 'search_web'][p_partkey % 4 + 1] AS tool FROM part",
+    "tool_alias_map": "SELECT p_partkey, ['search_book', 'view_page', 'search_web', 'read_outline'][p_partkey % 4 + 1] AS tool FROM part",
     "reference_pages": "SELECT user_id, string_agg(DISTINCT p, ',' ORDER BY p) AS pages, 23 - count(DISTINCT p) AS missing FROM (SELECT user_id, event_id % 23 AS p FROM events) GROUP BY user_id",
     "outline_reply_parse": "SELECT doc_id, CASE WHEN ok THEN 1 ELSE 0 END AS n, CASE WHEN ok THEN doc_id % 5 END AS level FROM (SELECT doc_id, length(trim(substring(text, 1, 30))) BETWEEN 2 AND 80 AND doc_id % 5 BETWEEN 1 AND 3 AND doc_id * 37 % 12000 <= 9999 AS ok FROM documents)",
     "toc_anchor_lookup": f"WITH {PAGES} SELECT a.book_id, a.page AS ord, coalesce((SELECT min(page) FROM pages_ b WHERE b.book_id = a.book_id AND b.doc_id % 30 = a.page), (SELECT min(page) FROM pages_ b WHERE b.book_id = a.book_id AND b.doc_id % 17 = a.page % 20)) AS page FROM pages_ a",

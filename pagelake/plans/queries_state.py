@@ -32,9 +32,11 @@ def retained_runs(spark, sf_dir):
 
 
 def elision(spark, sf_dir):
+    """Answers as tools' results, every fifth with two images."""
     m = _messages(spark, sf_dir)
-    done = C.elided(m, C.retained_runs(m, 200), "assistant", 600)
-    return done.groupBy("session_id").agg(F.count_if("elided").alias("n_elided"), F.sum("saved").cast("long").alias("saved"))
+    tools = m.where("role <> 'user'").select("session_id", "run_id", "turn", F.concat(F.lit("tool "), F.col("turn").cast("string")).alias("title"), "body", F.expr("if(turn % 5 = 0, array(turn + 1, turn + 2), cast(array() AS array<int>))").alias("media_pages"))
+    done = C.elided(tools, C.retained_runs(m, 200), 150)
+    return done.select("session_id", "turn", "elided", F.col("saved").cast("long").alias("saved"), F.sha2("body", 256).alias("body"))
 
 
 def replay(spark, sf_dir):
@@ -78,12 +80,21 @@ def _jobs(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("book_id"), F.col("o_orderpriority").alias("kind"), (F.round("o_totalprice").cast("long") % 201 - 100).alias("priority"), status.alias("status"), F.col("o_orderdate").alias("created_at"))
 
 
+ANY_JOBS = "any_ AS (SELECT o_orderkey AS job_id, o_custkey AS book_id, o_orderpriority AS kind, ['running', 'queued', 'paused', 'failed', 'completed', 'cancelled'][CAST(floor(o_totalprice) AS BIGINT) % 6 + 1] AS status, o_orderdate AS updated_at FROM orders)"
+
+
+def _any_jobs(spark, sf_dir):
+    """Orders as jobs in any of the six states."""
+    status = F.element_at(F.array(*map(F.lit, (*state.URGENCY, "completed", "cancelled"))), (F.floor("o_totalprice") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("book_id"), F.col("o_orderpriority").alias("kind"), status.alias("status"), F.col("o_orderdate").alias("updated_at"))
+
+
 def job_queue(spark, sf_dir):
     return state.queue_order(_jobs(spark, sf_dir)).select("job_id", "book_id", F.col("position").cast("long").alias("position"))
 
 
 def latest_jobs(spark, sf_dir):
-    return state.latest_per_kind(_jobs(spark, sf_dir)).select("book_id", "kind", "job_id", "status", "urgency")
+    return state.latest_per_kind(_any_jobs(spark, sf_dir)).select("book_id", "kind", "job_id", "status", "urgency")
 
 
 def transitions(spark, sf_dir):
@@ -91,6 +102,12 @@ def transitions(spark, sf_dir):
     return _jobs(spark, sf_dir).select("job_id", action.alias("action"), state.transition_valid(action, F.col("status")).alias("valid"))
 
 
+def job_changes(spark, sf_dir):
+    action = F.element_at(F.array(F.lit("pause"), F.lit("resume"), F.lit("cancel")), (F.col("job_id") % 3 + 1).cast("int"))
+    jobs = _any_jobs(spark, sf_dir).select("job_id", action.alias("action"), "status", (F.col("job_id") % 4).alias("attempts"), F.col("book_id").alias("claim_id"))
+    return state.transitioned(jobs).select("job_id", "ok", "status", F.col("attempts").cast("long").alias("attempts"), "claim_id")
+
+
 def reading_state(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     return c.select("c_custkey", state.clamped(F.floor("c_acctbal"), 1, 300).cast("long").alias("page"), F.round(state.clamped(F.col("c_acctbal") / 10, 25.0, 500.0), 6).alias("zoom"), F.round(F.greatest(F.lit(0.0), F.col("c_acctbal")), 6).alias("scroll_top"))
@@ -264,7 +281,7 @@ def roman(spark, sf_dir):
 QUERIES = {
     "retained_runs_by_budget": retained_runs, "elision_savings": elision, "conversation_replay": replay, "conversation_export": export, "evidence_top8": evidence,
     "inherited_evidence": inherited_evidence, "interrupted_messages": interrupted, "quota_reject": tool_quota, "job_queue_order": job_queue, "latest_job_per_kind": latest_jobs,
-    "job_transition_validity": transitions, "reading_state_clamp": reading_state, "latest_wins_upsert": upsert, "cascade_delete": cascade, "covered_prefix": covered,
+    "job_transition_validity": transitions, "job_transitions": job_changes, "reading_state_clamp": reading_state, "latest_wins_upsert": upsert, "cascade_delete": cascade, "covered_prefix": covered,
     "running_header_suppression": running_headers, "offset_vote": offset_vote, "chapter_range_asof": chapter_asof, "chapter_ranges": chapter_ranges, "section_range": section_range, "section_range_whole": section_range,
     "monotone_page_repair": monotone, "embedded_gate": embedded_gate, "toc_window_candidates": toc_candidates, "inherited_pages": inherited_pages, "body_font_median": body_size,
     "level_tree": level_tree, "heading_candidates": title_keys, "rect_overlap_join": rect_overlap, "union_bbox": union_bbox, "trace_kind_counts": trace_kinds,
@@ -272,7 +289,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "retained_runs_by_budget": f"WITH {MSG}, {RET} SELECT session_id, run_id, tokens, retained FROM ret",
-    "elision_savings": f"WITH {MSG}, {RET}, e AS (SELECT m.*, role = 'assistant' AND (length(body) > 600 OR (NOT retained AND length(body) > 200)) AS cut, '[elided ' || length(body) || ' characters]' AS stub FROM m JOIN ret USING (session_id, run_id)) SELECT session_id, count(*) FILTER (cut) AS n_elided, sum(CASE WHEN cut THEN {EST.format('body')} - {EST.format('stub')} ELSE 0 END) AS saved FROM e GROUP BY session_id",
+    "elision_savings": f"WITH {MSG}, {RET}, t AS (SELECT m.*, turn % 5 = 0 AS shown, {EST.format('body')} + CASE WHEN turn % 5 = 0 THEN 4000 ELSE 0 END AS cost, CASE WHEN turn % 5 = 0 THEN '第 ' || (turn + 1) || '、' || (turn + 2) || ' 页原图已省略，如需查看可调用 view_page 重新获取。' ELSE '此前 tool ' || turn || ' 结果约 ' || length(body) || ' 字符，已省略' END AS stub FROM m WHERE role <> 'user'), e AS (SELECT t.*, cost > 150 OR (NOT coalesce(retained, false) AND length(body) > 200) AS cut FROM t LEFT JOIN ret USING (session_id, run_id)) SELECT session_id, turn, cut AS elided, CASE WHEN cut THEN cost - {EST.format('stub')} ELSE 0 END AS saved, sha256(CASE WHEN cut THEN stub ELSE body END) AS body FROM e",
     "conversation_replay": f"WITH {MSG} SELECT session_id, turn, run_id, role, row_number() OVER (PARTITION BY session_id ORDER BY run_id, CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 2 ELSE 1 END, turn) AS position FROM m WHERE run_id > 0 AND (role = 'user' OR trim(body) <> '')",
     "conversation_export": f"WITH {MSG} SELECT session_id, count(*) AS n_messages, sha256(string_agg('## ' || CASE role WHEN 'user' THEN 'Reader' ELSE 'Assistant' END || chr(10) || chr(10) || trim(body), chr(10) || chr(10) ORDER BY turn)) AS digest FROM m WHERE role IN ('user', 'assistant') GROUP BY session_id",
     "evidence_top8": "WITH p AS (SELECT label AS answer_id, vec_id % 40 + 1 AS page, max(round(CAST(embedding[1] AS DOUBLE), 6)) AS score FROM embeddings GROUP BY ALL), t AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY answer_id ORDER BY score DESC, page) <= 8) SELECT *, row_number() OVER (PARTITION BY answer_id ORDER BY page) AS place FROM t",
@@ -280,8 +297,9 @@ ORACLE_SQL = {
     "interrupted_messages": f"WITH {MSG} SELECT session_id, turn, CASE role WHEN 'user' THEN 'cancelled' ELSE 'complete' END AS status FROM m QUALIFY turn = max(turn) OVER (PARTITION BY session_id)",
     "quota_reject": "SELECT event_type, CASE WHEN r <= 5 THEN 'executed' ELSE 'rejected' END AS outcome, count(*) AS n FROM (SELECT event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events) GROUP BY ALL",
     "job_queue_order": f"WITH {JOBS} SELECT job_id, book_id, row_number() OVER (PARTITION BY book_id ORDER BY priority DESC, created_at, job_id) AS position FROM jobs WHERE status = 'queued'",
-    "latest_job_per_kind": f"WITH {JOBS} SELECT book_id, kind, job_id, status, CAST(list_position(['running', 'queued', 'paused', 'failed', 'cancelled', 'complete'], status) - 1 AS BIGINT) AS urgency FROM jobs QUALIFY row_number() OVER (PARTITION BY book_id, kind ORDER BY created_at DESC, job_id DESC) = 1",
-    "job_transition_validity": f"WITH {JOBS} SELECT job_id, action, (action = 'pause' AND status IN ('queued', 'running')) OR (action = 'resume' AND status IN ('paused', 'failed')) OR (action = 'cancel' AND status IN ('queued', 'running', 'paused')) AS valid FROM (SELECT *, ['pause', 'resume', 'cancel'][job_id % 3 + 1] AS action FROM jobs)",
+    "latest_job_per_kind": f"WITH {ANY_JOBS} SELECT book_id, kind, job_id, status, CAST(list_position(['running', 'queued', 'paused', 'failed'], status) - 1 AS BIGINT) AS urgency FROM any_ WHERE status NOT IN ('completed', 'cancelled') QUALIFY row_number() OVER (PARTITION BY book_id, kind ORDER BY updated_at DESC, job_id DESC) = 1",
+    "job_transitions": f"WITH {ANY_JOBS}, a AS (SELECT *, ['pause', 'resume', 'cancel'][job_id % 3 + 1] AS action FROM any_), o AS (SELECT *, (action <> 'resume' AND status IN ('queued', 'running', 'paused')) OR (action = 'resume' AND status IN ('paused', 'failed')) AS ok FROM a) SELECT job_id, ok, CASE WHEN NOT ok THEN status WHEN action = 'pause' THEN 'paused' WHEN action = 'resume' THEN 'queued' ELSE 'cancelled' END AS status, CASE WHEN ok AND action = 'resume' AND status = 'failed' THEN 0 ELSE job_id % 4 END AS attempts, CASE WHEN NOT (ok AND action = 'resume') THEN book_id END AS claim_id FROM o",
+    "job_transition_validity": f"WITH {JOBS} SELECT job_id, action, (action = 'pause' AND status IN ('queued', 'running', 'paused')) OR (action = 'resume' AND status IN ('paused', 'failed')) OR (action = 'cancel' AND status IN ('queued', 'running', 'paused')) AS valid FROM (SELECT *, ['pause', 'resume', 'cancel'][job_id % 3 + 1] AS action FROM jobs)",
     "reading_state_clamp": "SELECT c_custkey, CAST(least(greatest(floor(c_acctbal), 1), 300) AS BIGINT) AS page, round(least(greatest(c_acctbal / 10, 25.0), 500.0), 6) AS zoom, round(greatest(0.0, c_acctbal), 6) AS scroll_top FROM customer",
     "latest_wins_upsert": "SELECT user_id, event_type, event_id, round(value, 6) AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1",
     "cascade_delete": "SELECT source AS book_id, doc_id FROM documents WHERE source NOT IN (SELECT source FROM documents GROUP BY source HAVING sum(doc_id) % 3 = 0)",

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import CJK, chinese_numeral, collapsed, roman_numeral
+from ..sources.shared import written
+from .trees import last_before, lineages
 
 #: The words of chapters and sections, and of parts of a book that carry no number.
 CHINESE_DIGITS = "一二三四五六七八九十百零〇两"
@@ -130,20 +132,15 @@ def toc_entries(rows: DataFrame, anchors: DataFrame, offsets: DataFrame) -> Data
     return met.select("book_id", "ord", "label", "level", page.alias("page"), "total").where("page IS NULL OR page BETWEEN 1 AND total").drop("total")
 
 
-def paths(nodes: DataFrame, most: int = 3) -> DataFrame:
-    """`nodes` (book_id, ord, depth, label, page) with `path`: the labels from the root down to the node."""
-    upto = Window.partitionBy("book_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = {d: F.last(F.when(F.col("depth") == d, F.struct("ord", "label")), ignorenulls=True).over(upto) for d in range(1, most + 1)}
-    rows = nodes.select("*", *[c.alias(f"_{d}") for d, c in last.items()])
-    # An earlier node is above this one if no shallower one came after it.
-    above = []
-    for d in range(1, most + 1):
-        nearest = [F.coalesce(F.col(f"_{e}.ord"), F.lit(-1)) < F.col(f"_{d}.ord") for e in range(1, d)]
-        alive = F.col(f"_{d}").isNotNull() & (F.col("depth") >= d)
-        for n in nearest:
-            alive = alive & n
-        above.append(F.when(alive, F.col(f"_{d}.label")))
-    return rows.withColumn("path", F.array_compact(F.array(*above))).select(*nodes.columns, "path")
+def paths(nodes: DataFrame) -> DataFrame:
+    """`nodes` (book_id, ord, depth, label, page) with `path`: the labels from the root down to the node, however deep.
+
+    A node lies under the last earlier one that is less deep; one that gives its ord at each depth below its own is found so.
+    """
+    depths = nodes.groupBy(F.col("book_id").alias("_b")).agg(F.collect_set("depth").alias("_depths"))
+    rows = nodes.join(depths, F.col("book_id").eqNullSafe(F.col("_b"))).drop("_b").withColumn("ord", F.col("ord").cast("long"))
+    under = written(last_before(rows, "_d", F.filter("_depths", lambda d: d > F.col("depth")), F.col("depth"), "_parent").drop("_depths"))
+    return lineages(under, "ord", "_parent", F.col("label")).withColumn("path", F.array_compact("lineage")).select(*nodes.columns, "path")
 
 
 def section_paths(pages: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -171,21 +168,15 @@ def rendered(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("book_id").agg(F.count("*").alias("n_nodes"), F.array_join(lines, "\n").alias("text"))
 
 
-def bookmark_tree(rows: DataFrame, most: int = 8) -> DataFrame:
+def bookmark_tree(rows: DataFrame) -> DataFrame:
     """(book_id, node_id, depth, label, page, top) of bookmarks (book_id, id, parent, place, title, dest, kind, top).
 
     A node's id is the path of places from the root; a blank title is numbered; a page counts from 1; only exact
-    destinations keep their top. Levels are found one join each, `most` at most.
+    destinations keep their top. Bookmarks of any depth are there, but for those under none that is.
     """
     label = F.when(F.trim(F.coalesce("title", F.lit(""))) != "", collapsed(F.col("title"))).otherwise(F.concat(F.lit("未命名目录 "), F.col("place").cast("string")))
-    made = lambda df, node, depth: df.select("book_id", "id", node.alias("node_id"), depth.alias("depth"), label.alias("label"), (F.col("dest") + 1).alias("page"), F.when(F.col("kind") == "XYZ", F.col("top")).alias("top"))
-    level = made(rows.where("parent IS NULL"), F.col("place").cast("string"), F.lit(1))
-    found = level
-    for _ in range(most - 1):
-        up = level.select(F.col("book_id").alias("_b"), F.col("id").alias("_i"), F.col("node_id").alias("_n"), F.col("depth").alias("_d"))
-        level = made(rows.join(up, (F.col("book_id") == F.col("_b")) & (F.col("parent") == F.col("_i"))), F.concat_ws("-", "_n", F.col("place").cast("string")), F.col("_d") + 1)
-        found = found.union(level)
-    return found.drop("id")
+    found = lineages(rows, "id", "parent", F.col("place").cast("string"))
+    return found.select("book_id", F.array_join("lineage", "-").alias("node_id"), F.size("lineage").alias("depth"), label.alias("label"), (F.col("dest") + 1).alias("page"), F.when(F.col("kind") == "XYZ", F.col("top")).alias("top"))
 
 
 def tiers(books: DataFrame) -> DataFrame:

@@ -5,12 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
+
+def placed(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """`rows` with `name`: their place in the whole order, from 1. Rows are dealt out by ranges of the order and counted within
+    each; a range begins where the counts of those before end, so no task sorts all."""
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The id's upper bits are the range, its lower ones the row's number there; written, so that both stay as they are.
+    numbered = written(dealt.withColumn("_id", F.monotonically_increasing_id()))
+    part, number = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = numbered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row a range
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return numbered.join(F.broadcast(bases), part == F.col("_part")).withColumn(name, F.col("_base") + number + 1).drop("_id", "_part", "_base")
+
 
 def shelf(books: DataFrame, most: int | None = None) -> DataFrame:
     """Books (book_id, in_library, updated_at) that are in the library, latest first, then by id; with `place` from 1, `most` at most."""
-    # The list of a reader's books is what one window sorts.
-    placed = books.where("in_library").withColumn("place", F.row_number().over(Window.orderBy(F.col("updated_at").desc(), "book_id")))
-    return placed.where(F.col("place") <= most) if most else placed
+    order = [F.col("updated_at").desc(), F.col("book_id").asc()]
+    shown = books.where("in_library")
+    return placed(shown.orderBy(*order).limit(most) if most else shown, order, "place")
 
 
 def removed(books: DataFrame, asked: DataFrame) -> DataFrame:

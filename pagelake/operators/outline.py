@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .headings import CHINESE_DIGITS, PHONETIC
+from .trees import last_before, running
 
 LEAST_ENTRIES, LEAST_RESOLVED, LEAST_RATIO, LEAST_VOTES = 3, 2, 0.5, 2
 #: Ords of a book in one window.
@@ -131,20 +132,14 @@ def inherited_pages(rows: DataFrame) -> DataFrame:
     return rows.withColumn("page", F.when(F.col("level") == 1, F.coalesce("page", ahead, back)).otherwise(F.coalesce("page", back, ahead)))
 
 
-def _tree(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("ord", kind="stable")
-    stack: list[int] = []
-    parents, depths, first = [], [], None
-    for o, level in zip(rows["ord"].tolist(), rows["level"].tolist()):
-        del stack[max(0, level - 1) :]
-        parent = stack[-1] if stack else (first if level > 1 else None)
-        first = o if first is None else first
-        parents.append(parent)
-        depths.append(len(stack) + 1)
-        stack.append(o)
-    return rows.assign(parent=pd.array(parents, dtype="Int64"), depth=depths)[["book_id", "ord", "label", "level", "parent", "depth"]]
-
-
 def level_tree(rows: DataFrame) -> DataFrame:
-    """(book_id, ord, label, level, parent, depth): a book's rows by level on a stack. One book's contents are one group, of some hundred rows."""
-    return rows.select("book_id", F.col("ord").cast("long").alias("ord"), "label", F.col("level").cast("int").alias("level")).groupBy("book_id").applyInPandas(_tree, "book_id string, ord long, label string, level int, parent long, depth int")
+    """(book_id, ord, label, level, parent, depth) of rows (book_id, ord, label, level), as a stack in order of ord nests them.
+
+    A row is one deeper than the row before it, or at its own level where that is less; so its depth is a running minimum,
+    and its parent the last row one less deep.
+    """
+    rows = rows.select("book_id", F.col("ord").cast("long").alias("ord"), "label", F.col("level").cast("int").alias("level"))
+    numbered = running(rows, "_n", F.lit(1))
+    reached = running(numbered, "_m", F.greatest(F.lit(1), F.coalesce("level", F.lit(1))) - F.col("_n"), F.min)
+    placed = written(reached.withColumn("depth", (F.col("_n") + F.least(F.lit(0), F.col("_m"))).cast("int")).drop("_n", "_m"))
+    return last_before(placed, "_d", F.array("depth"), F.col("depth") - 1, "parent").select("book_id", "ord", "label", "level", "parent", "depth")

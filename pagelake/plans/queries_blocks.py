@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import blocks as B
 from ..operators import headings as H
 from ..sources.tables import book_pages, table
-from .queries_state import NODES, PAGES, _nodes
+from .queries_state import DEEP, NODES, PAGES, _nodes
 
 TYPES = ("title", "text", "image", "page_number", "index")
 MARKS = ("Chapter 3 ", "附录 ", "第二节 ", "")
@@ -58,7 +58,14 @@ def native_lines(spark, sf_dir):
 def bookmark_tree(spark, sf_dir):
     k = "p_partkey % 13"
     rows = table(spark, sf_dir, "part").selectExpr("p_partkey div 13 AS book_id", f"{k} AS id", f"if({k} = 0, null, ({k} - 1) div 3) AS parent", f"if({k} = 0, 1, ({k} - 1) % 3 + 1) AS place", "if(p_size % 5 = 0, ' ', p_name) AS title", "p_size AS dest", "if(p_size % 2 = 0, 'XYZ', 'Fit') AS kind", "cast(p_retailprice AS double) AS top")
-    return H.bookmark_tree(rows, most=3).select("book_id", "node_id", F.col("depth").cast("long").alias("depth"), "label", F.col("page").cast("long").alias("page"), "top")
+    return H.bookmark_tree(rows).select("book_id", "node_id", F.col("depth").cast("long").alias("depth"), "label", F.col("page").cast("long").alias("page"), "top")
+
+
+def bookmark_tree_deep(spark, sf_dir):
+    """Forty bookmarks a book: most lie under the one before, so they are dozens deep; those under a missing one go."""
+    k = "p_partkey % 40"
+    rows = table(spark, sf_dir, "part").where("p_size <> 13").selectExpr("p_partkey div 40 AS book_id", f"{k} AS id", f"if({k} = 0, null, if({k} % 7 = 0, ({k}) div 2, {k} - 1)) AS parent", f"{k} AS place", "p_name AS title", "p_size AS dest", "'Fit' AS kind", "cast(null AS double) AS top")
+    return H.bookmark_tree(rows).select("book_id", "node_id", F.col("depth").cast("long").alias("depth"), "label", F.col("page").cast("long").alias("page"))
 
 
 def heading_marks(spark, sf_dir):
@@ -91,6 +98,13 @@ def toc_entries(spark, sf_dir):
     return H.toc_entries(rows, anchors, offsets).select("book_id", "ord", "label", F.col("level").cast("long").alias("level"), F.col("page").cast("long").alias("page"))
 
 
+def section_paths_deep(spark, sf_dir):
+    """Depths from 1 to 12."""
+    nodes, _ = _nodes(spark, sf_dir)
+    pages = nodes.select("book_id", (F.col("ord") * 2 + 1).alias("page"))
+    return H.section_paths(pages, nodes.withColumn("depth", F.expr("cast(1 + (ord * ord + ord div 3) % 12 AS int)")))
+
+
 def section_paths(spark, sf_dir):
     nodes, _ = _nodes(spark, sf_dir)
     pages = nodes.select("book_id", (F.col("ord") * 2 + 1).alias("page"))
@@ -126,7 +140,7 @@ def outline_tiers(spark, sf_dir):
 
 
 QUERIES = {
-    "blocks_assembled": blocks_assembled, "recognised_headings": recognised_headings, "page_text_sources": page_sources, "native_lines": native_lines, "bookmark_tree": bookmark_tree, "heading_marks": heading_marks,
+    "blocks_assembled": blocks_assembled, "recognised_headings": recognised_headings, "page_text_sources": page_sources, "native_lines": native_lines, "bookmark_tree": bookmark_tree, "bookmark_tree_deep": bookmark_tree_deep, "section_paths_deep": section_paths_deep, "heading_marks": heading_marks,
     "headings_by_size": headings_by_size, "body_outline": body_outline, "toc_entries": toc_entries, "section_paths": section_paths, "active_nodes": active_nodes, "outline_text": outline_text,
     "outline_tiers": outline_tiers,
 }
@@ -151,6 +165,14 @@ SELECT doc_id, CASE WHEN own THEN 'native' ELSE 'ocr' END AS source, CASE WHEN o
     "native_lines": """WITH f AS (SELECT p_partkey // 10 AS page, p_size * 10 + p_partkey % 10 AS x, p_partkey % 3 AS y, 10.0 + p_size % 3 AS size, 'w' || p_partkey AS t FROM part),
 g AS (SELECT *, x - lag(x + 5) OVER (PARTITION BY page, y ORDER BY x) > size * 0.45 AS gap FROM f)
 SELECT page, dense_rank() OVER (PARTITION BY page ORDER BY y DESC) - 1 AS line, string_agg(CASE WHEN gap THEN ' ' || t ELSE t END, '' ORDER BY x) AS text, CAST(max(size) AS DOUBLE) AS size FROM g GROUP BY page, y""",
+    "bookmark_tree_deep": """WITH RECURSIVE r AS (SELECT p_partkey // 40 AS b, p_partkey % 40 AS k, CASE WHEN p_partkey % 40 = 0 THEN NULL WHEN p_partkey % 40 % 7 = 0 THEN p_partkey % 40 // 2 ELSE p_partkey % 40 - 1 END AS up, p_name, p_size FROM part WHERE p_size <> 13),
+t AS (SELECT b, k, CAST(k AS VARCHAR) AS node_id, 1 AS depth, p_name, p_size FROM r WHERE up IS NULL UNION ALL SELECT r.b, r.k, t.node_id || '-' || r.k, t.depth + 1, r.p_name, r.p_size FROM t JOIN r ON r.b = t.b AND r.up = t.k)
+SELECT b AS book_id, node_id, CAST(depth AS BIGINT) AS depth, p_name AS label, CAST(p_size + 1 AS BIGINT) AS page FROM t""",
+    "section_paths_deep": f"""WITH RECURSIVE {PAGES}, {NODES}, n AS (SELECT book_id, ord, label, page, {DEEP} AS depth FROM nodes),
+u AS (SELECT a.*, (SELECT max(b.ord) FROM n b WHERE b.book_id = a.book_id AND b.ord < a.ord AND b.depth < a.depth) AS up FROM n a),
+t AS (SELECT book_id, ord, page, [label] AS path FROM u WHERE up IS NULL UNION ALL SELECT u.book_id, u.ord, u.page, list_append(t.path, u.label) FROM t JOIN u ON u.book_id = t.book_id AND u.up = t.ord),
+q AS (SELECT book_id, ord * 2 + 1 AS page FROM nodes)
+SELECT q.book_id, q.page, (SELECT array_to_string(path, ' › ') FROM t WHERE t.book_id = q.book_id AND t.page <= q.page ORDER BY t.page DESC, len(path) DESC, ord LIMIT 1) AS path FROM q""",
     "bookmark_tree": """WITH r AS (SELECT p_partkey // 13 AS b, p_partkey % 13 AS k, (p_partkey % 13 - 1) % 3 + 1 AS place, * FROM part),
 n AS (SELECT *, CASE WHEN k = 0 THEN '1' WHEN k <= 3 THEN '1-' || place ELSE '1-' || (((k - 1) // 3 - 1) % 3 + 1) || '-' || place END AS node_id, CASE WHEN k = 0 THEN 1 WHEN k <= 3 THEN 2 ELSE 3 END AS depth FROM r)
 SELECT b AS book_id, node_id, depth, CASE WHEN p_size % 5 = 0 THEN '未命名目录 ' || CASE WHEN k = 0 THEN 1 ELSE place END ELSE p_name END AS label, CAST(p_size + 1 AS BIGINT) AS page, CASE WHEN p_size % 2 = 0 THEN CAST(p_retailprice AS DOUBLE) END AS top FROM n

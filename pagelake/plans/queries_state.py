@@ -226,6 +226,22 @@ def level_tree(spark, sf_dir):
     return O.level_tree(nodes.select("book_id", "ord", "label", F.col("depth").alias("level")))
 
 
+DEEP = "CAST(1 + (ord * ord + ord // 3) % 12 AS INTEGER)"
+
+
+def level_tree_deep(spark, sf_dir):
+    """Levels from 1 to 12."""
+    nodes, _ = _nodes(spark, sf_dir)
+    return O.level_tree(nodes.select("book_id", "ord", "label", F.expr("cast(1 + (ord * ord + ord div 3) % 12 AS int)").alias("level")))
+
+
+def _stacked(level: str) -> str:
+    return f"""WITH RECURSIVE {PAGES}, {NODES}, l AS (SELECT book_id, CAST(ord AS BIGINT) AS ord, label, {level} AS level, row_number() OVER (PARTITION BY book_id ORDER BY ord) AS i FROM nodes),
+s AS (SELECT book_id, i, ord, label, level, CAST(NULL AS BIGINT) AS parent, CAST(1 AS BIGINT) AS depth, [ord] AS stack FROM l WHERE i = 1
+  UNION ALL SELECT l.book_id, l.i, l.ord, l.label, l.level, s.stack[1:greatest(l.level - 1, 0)][-1], len(s.stack[1:greatest(l.level - 1, 0)]) + 1, list_append(s.stack[1:greatest(l.level - 1, 0)], l.ord) FROM s JOIN l ON l.book_id = s.book_id AND l.i = s.i + 1)
+SELECT book_id, ord, label, level, parent, CAST(depth AS INTEGER) AS depth FROM s"""
+
+
 def title_keys(spark, sf_dir):
     h = _headings(spark, sf_dir)
     return h.select("doc_id", O.title_key(F.col("label")).alias("title_key"), H.explicit_level(F.col("label")).alias("level"), T.looks_like_heading(F.col("label")).alias("heading"))
@@ -284,7 +300,7 @@ QUERIES = {
     "job_transition_validity": transitions, "job_transitions": job_changes, "reading_state_clamp": reading_state, "latest_wins_upsert": upsert, "cascade_delete": cascade, "covered_prefix": covered,
     "running_header_suppression": running_headers, "offset_vote": offset_vote, "chapter_range_asof": chapter_asof, "chapter_ranges": chapter_ranges, "section_range": section_range, "section_range_whole": section_range,
     "monotone_page_repair": monotone, "embedded_gate": embedded_gate, "toc_window_candidates": toc_candidates, "inherited_pages": inherited_pages, "body_font_median": body_size,
-    "level_tree": level_tree, "heading_candidates": title_keys, "rect_overlap_join": rect_overlap, "union_bbox": union_bbox, "trace_kind_counts": trace_kinds,
+    "level_tree": level_tree, "level_tree_deep": level_tree_deep, "heading_candidates": title_keys, "rect_overlap_join": rect_overlap, "union_bbox": union_bbox, "trace_kind_counts": trace_kinds,
     "last_value_throttle": last_values, "idle_sessions": idle_sessions, "roman_numerals": roman,
 }
 ORACLE_SQL = {
@@ -297,6 +313,8 @@ ORACLE_SQL = {
     "interrupted_messages": f"WITH {MSG} SELECT session_id, turn, CASE role WHEN 'user' THEN 'cancelled' ELSE 'complete' END AS status FROM m QUALIFY turn = max(turn) OVER (PARTITION BY session_id)",
     "quota_reject": "SELECT event_type, CASE WHEN r <= 5 THEN 'executed' ELSE 'rejected' END AS outcome, count(*) AS n FROM (SELECT event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events) GROUP BY ALL",
     "job_queue_order": f"WITH {JOBS} SELECT job_id, book_id, row_number() OVER (PARTITION BY book_id ORDER BY priority DESC, created_at, job_id) AS position FROM jobs WHERE status = 'queued'",
+    "level_tree": _stacked("CAST(depth AS INTEGER)"),
+    "level_tree_deep": _stacked(DEEP),
     "latest_job_per_kind": f"WITH {ANY_JOBS} SELECT book_id, kind, job_id, status, CAST(list_position(['running', 'queued', 'paused', 'failed'], status) - 1 AS BIGINT) AS urgency FROM any_ WHERE status NOT IN ('completed', 'cancelled') QUALIFY row_number() OVER (PARTITION BY book_id, kind ORDER BY updated_at DESC, job_id DESC) = 1",
     "job_transitions": f"WITH {ANY_JOBS}, a AS (SELECT *, ['pause', 'resume', 'cancel'][job_id % 3 + 1] AS action FROM any_), o AS (SELECT *, (action <> 'resume' AND status IN ('queued', 'running', 'paused')) OR (action = 'resume' AND status IN ('paused', 'failed')) AS ok FROM a) SELECT job_id, ok, CASE WHEN NOT ok THEN status WHEN action = 'pause' THEN 'paused' WHEN action = 'resume' THEN 'queued' ELSE 'cancelled' END AS status, CASE WHEN ok AND action = 'resume' AND status = 'failed' THEN 0 ELSE job_id % 4 END AS attempts, CASE WHEN NOT (ok AND action = 'resume') THEN book_id END AS claim_id FROM o",
     "job_transition_validity": f"WITH {JOBS} SELECT job_id, action, (action = 'pause' AND status IN ('queued', 'running', 'paused')) OR (action = 'resume' AND status IN ('paused', 'failed')) OR (action = 'cancel' AND status IN ('queued', 'running', 'paused')) AS valid FROM (SELECT *, ['pause', 'resume', 'cancel'][job_id % 3 + 1] AS action FROM jobs)",

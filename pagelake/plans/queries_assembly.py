@@ -6,6 +6,8 @@ parts carry the lines, addresses and pages of results that parsers read, a case
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import parsers as P
@@ -13,8 +15,11 @@ from ..functions import text as T
 from ..operators import assembly as A
 from ..operators import jobs as J
 from ..operators import library as L
+from ..sources.shared import shared_folder, written
 from ..sources.tables import book_pages, messages, table
+from ..streaming import changes
 from ..streaming import events as E
+from .queries_search import _tokens
 from .queries_state import MSG, PAGES
 
 KINDS = ("outline", "ocr", "index", "embedding")
@@ -207,6 +212,22 @@ def snapshot_texts(spark, sf_dir):
     return d.select("doc_id", F.sha2(A.truncated(F.col("text"), 2_000), 256).alias("text"), A.redacted(F.expr(block))[1].alias("note"))
 
 
+def library_changes(spark, sf_dir):
+    """Four changes to five tables: all pages, vectors and messages; every fifth page recognised anew; one book deleted with
+    all that is its own; one conversation in seven cleared. The rows of each book that each table then has."""
+    tables = changes.Tables(spark, f"{shared_folder(spark)}/pagelake/{uuid.uuid4().hex}", changes.LIBRARY)
+    pages = written(book_pages(table(spark, sf_dir, "documents")))
+    vectors = table(spark, sf_dir, "embeddings").join(pages, F.col("vec_id") == F.col("doc_id")).select("book_id", "page", F.lit("c0").alias("chunk"), F.col("embedding").cast("array<double>").alias("embedding"))
+    said = table(spark, sf_dir, "conversations").select(F.concat(F.lit("src"), (F.col("conv_id") % 3).cast("string")).alias("book_id"), F.col("conv_id").cast("string").alias("session_id"), "turn", F.col("text").alias("body"))
+    plain = pages.select("book_id", F.col("page").cast("long").alias("page"), "text")
+    tables.apply({"books": pages.select("book_id", F.lit(False).alias("dirty")).distinct(), "pages": plain, "postings": changes.postings_of(plain), "vectors": vectors, "messages": said})
+    changes.recognised(tables, pages.where("doc_id % 5 = 0").select("book_id", "page", F.concat(F.substring("text", 1, 60), F.lit(" recognised")).alias("text")))
+    changes.books_deleted(tables, pages.where("book_id = 'src1'").select("book_id"))
+    changes.conversations_cleared(tables, said.where("cast(session_id AS long) % 7 = 0"))
+    counts = [tables.current(name).groupBy("book_id").agg(F.count("*").alias("n"), detail.alias("detail")).select(F.lit(name).alias("name"), "book_id", "n", "detail") for name, detail in (("books", F.count_if(F.col("dirty"))), ("pages", F.sum(F.length("text"))), ("postings", F.sum(F.size("positions"))), ("vectors", F.sum("page")), ("messages", F.sum("turn")))]
+    return counts[0].union(counts[1]).union(counts[2]).union(counts[3]).union(counts[4])
+
+
 def events_of_started_runs(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), "event_id", "event_type")
     return A.of_run(e, e.where("event_type = 'signup'")).groupBy("run_id").agg(F.count("*").alias("n"))
@@ -270,7 +291,7 @@ r AS (SELECT session_id, turn, step, role, content FROM t UNION ALL SELECT sessi
 
 QUERIES = {
     "jobs_scheduled": jobs_scheduled, "jobs_paused": jobs_paused, "jobs_recovered": jobs_recovered, "opening_jobs": opening_jobs, "failed_books": failed_books, "embedding_plan": embedding_plan, "embeddings_built": embeddings_built, "books_to_embed": books_to_embed,
-    "index_work": index_work, "postings_replaced": postings_replaced, "pages_to_recognise": pages_to_recognise, "pages_invalidated": pages_invalidated, "library_shelf": library_shelf, "books_opened": books_opened, "index_signatures": index_signatures,
+    "index_work": index_work, "postings_replaced": postings_replaced, "pages_to_recognise": pages_to_recognise, "pages_invalidated": pages_invalidated, "library_shelf": library_shelf, "library_changes": library_changes, "books_opened": books_opened, "index_signatures": index_signatures,
     "candidates_merged": candidates_merged, "messages_as_read": messages_as_read, "replay_with_tools": replay_with_tools, "model_context": model_context, "session_entries": session_entries, "runs_finalised": runs_finalised, "conversation_cleared": conversation_cleared,
     "conversation_vectors_dropped": conversation_vectors, "attachments_valid": attachments, "effective_settings": effective_settings, "snapshot_texts": snapshot_texts, "events_of_started_runs": events_of_started_runs, "model_errors": model_errors,
     "chat_endpoints": chat_endpoints, "stream_lines": stream_lines, "search_results": search_results, "payload_keys": payload_keys, "loop_verdicts": loop_verdicts, "offset_distribution": offset_distribution,
@@ -296,6 +317,7 @@ SELECT book_id, page, sha256(CASE WHEN length(trim(n)) >= 16 THEN n WHEN length(
 k AS (SELECT book_id, page, unnest(string_split(lower(trim(regexp_replace(regexp_replace(t, '[^A-Za-z]+', ' ', 'g'), '\s+', ' ', 'g'))), ' ')) AS token FROM n) SELECT book_id, page, count(DISTINCT token) AS n_tokens, count(*) AS n FROM k GROUP BY ALL""",
     "pages_to_recognise": f"WITH {_D} SELECT source AS book_id, doc_id AS page FROM d WHERE hash NOT IN (SELECT hash FROM d WHERE doc_id % 2 = 0 AND doc_id % 10 > 0 AND doc_id % 6 > 0)",
     "pages_invalidated": "SELECT source AS book_id, doc_id AS page FROM documents WHERE doc_id % 5 > 0 AND NOT source LIKE '%7'",
+    "library_changes": f"WITH {PAGES}, p AS (SELECT book_id, page, doc_id, CASE WHEN doc_id % 5 = 0 THEN substring(text, 1, 60) || ' recognised' ELSE text END AS t FROM pages_ WHERE book_id <> 'src1'), w AS (SELECT book_id, page, unnest({_tokens('t')}) AS token FROM p) SELECT 'books' AS name, book_id, CAST(1 AS BIGINT) AS n, CAST(bool_or(doc_id % 5 = 0) AS BIGINT) AS detail FROM p GROUP BY book_id UNION ALL SELECT 'pages', book_id, count(*), CAST(sum(length(t)) AS BIGINT) FROM p GROUP BY book_id UNION ALL SELECT 'postings', book_id, count(DISTINCT (page, token)), count(*) FROM w GROUP BY book_id UNION ALL SELECT 'vectors', book_id, count(*), CAST(sum(page) AS BIGINT) FROM p JOIN embeddings ON vec_id = doc_id WHERE doc_id % 5 <> 0 GROUP BY book_id UNION ALL SELECT 'messages', 'src' || conv_id % 3, count(*), CAST(sum(turn) AS BIGINT) FROM conversations WHERE conv_id % 3 <> 1 AND conv_id % 7 <> 0 GROUP BY conv_id % 3",
     "library_shelf": "SELECT c_custkey AS book_id, c_nationkey AS updated_at, row_number() OVER (ORDER BY c_nationkey DESC, c_custkey) AS place FROM customer WHERE c_acctbal > 0 AND c_custkey % 7 > 0",
     "books_opened": "SELECT c_custkey AS book_id, '/books/' || c_name AS path, length(c_name) AS page_count FROM customer WHERE c_acctbal > 0 AND c_custkey IN (SELECT o_custkey FROM orders)",
     "index_signatures": "SELECT user_id AS book_id, count(*) AS n, coalesce(max(CASE WHEN event_type = 'purchase' THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END), '') AS latest FROM events WHERE event_id % 2 = 1 GROUP BY 1",

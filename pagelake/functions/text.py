@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,9 +30,27 @@ def index_tokens(text: Column) -> Column:
     return collapsed(F.regexp_replace(text, f"({CJK})", " $1 "))
 
 
+def _bare_letters() -> tuple[str, str]:
+    """Letters with marks of the Latin, Greek and Cyrillic scripts, and the letters without; marks by themselves come last, without any."""
+    bases = {}
+    for code in (*range(0xC0, 0x530), *range(0x1E00, 0x2000)):
+        parts = unicodedata.normalize("NFD", chr(code))
+        if len(parts) > 1 and parts[0].isalpha() and all(unicodedata.combining(c) for c in parts[1:]):
+            bases[chr(code)] = parts[0]
+    return "".join(bases) + "".join(map(chr, range(0x300, 0x370))), "".join(bases.values())
+
+
+MARKED, BARE = _bare_letters()
+
+
+def without_marks(text: Column) -> Column:
+    """Accents and other marks go from letters."""
+    return F.translate(text, MARKED, BARE)
+
+
 def word_tokens(text: Column) -> Column:
-    """Runs of letters and digits, lower-cased; a CJK character is a word."""
-    return F.regexp_extract_all(F.lower(index_tokens(text)), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    """Runs of letters and digits, lower-cased and without marks; a CJK character is a word."""
+    return F.regexp_extract_all(without_marks(F.lower(index_tokens(text))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
 def search_terms(query: Column, most: int = MAX_TERMS) -> Column:

@@ -11,6 +11,9 @@ EVIDENCE = 8
 #: Tokens of an image, characters of a result that is always kept, and what stands for one left out.
 IMAGE_TOKENS, SHORT_RESULT = 2000, 200
 PAGES_LEFT_OUT = ("第 ", "、", " 页原图已省略，如需查看可调用 view_page 重新获取。")
+#: The words of an exported conversation.
+HEADER, UNTITLED, EXPORTED, SPAN = ("# 《", "》阅读对话"), "未命名书籍", ("> 导出自 ", " · "), "\n> 对话时间："
+ASKED, ANSWERED, PASSAGE, REFERENCES = "## 🧑 我", "## 🤖 AI", ("> 📖 引用原文 · 第 ", " 页"), ("> 📚 参考：第 ", "、", " 页")
 TEXT_LEFT_OUT = ("此前 ", " 结果约 ", " 字符，已省略")
 
 
@@ -65,9 +68,28 @@ def inherited(answers: DataFrame, column: str) -> DataFrame:
     return answers.withColumn(column, F.last(column, ignorenulls=True).over(before))
 
 
-def exported(messages: DataFrame) -> DataFrame:
-    """(session_id, n_messages, markdown): user and assistant turns in order under headings."""
-    said = messages.where(F.col("role").isin("user", "assistant"))
-    line = F.concat(F.lit("## "), F.when(F.col("role") == "user", "Reader").otherwise("Assistant"), F.lit("\n\n"), F.trim("body"))
-    turns = F.sort_array(F.collect_list(F.struct("turn", line.alias("line"))))
-    return said.groupBy("session_id").agg(F.count("*").alias("n_messages"), F.array_join(F.transform(turns, lambda t: t["line"]), "\n\n").alias("markdown"))
+def exported(messages: DataFrame, titles: DataFrame, day: Column, exporter: str = "pagelake") -> DataFrame:
+    """(session_id, n_messages, markdown): a conversation as a text with a header, the days it spans and its turns.
+
+    messages: (session_id, turn, role, status, body, passage_page, evidence_pages, created_at); titles: (session_id, title).
+    All questions are there, answers only if they are complete. A question names the page it quotes, an answer its pages of
+    evidence, each once and in order. `created_at` is a timestamp, null where none is known. A session without a message
+    to show is its header.
+    """
+    said = messages.where((F.col("role") == "user") | ((F.col("role") == "assistant") & (F.col("status") == "complete")))
+    asked = F.col("role") == "user"
+    pages = F.array_sort(F.array_distinct("evidence_pages"))
+    quoted = F.when(asked & F.col("passage_page").isNotNull(), F.concat(F.lit(PASSAGE[0]), F.col("passage_page").cast("string"), F.lit(PASSAGE[1])))
+    named = F.when(~asked & (F.size(pages) > 0), F.concat(F.lit(REFERENCES[0]), F.array_join(pages.cast("array<string>"), REFERENCES[1]), F.lit(REFERENCES[2])))
+    body = F.regexp_replace(F.coalesce("body", F.lit("")), r"^\s+|\s+$", "")
+    line = F.concat_ws("\n\n", F.when(asked, ASKED).otherwise(ANSWERED), body, quoted, named)
+    turns = F.array_sort(F.collect_list(F.struct("turn", line.alias("line"))))
+    per = said.groupBy("session_id").agg(F.count("*").alias("n"), F.transform(turns, lambda t: t["line"]).alias("lines"), F.min("created_at").alias("first"), F.max("created_at").alias("last"))
+    met = titles.select("session_id", "title").join(per.withColumnRenamed("session_id", "_s"), F.col("session_id") == F.col("_s"), "left")
+    date = lambda c: F.date_format(c, "yyyy-MM-dd")
+    title = F.nullif(F.regexp_replace(F.regexp_replace(F.coalesce("title", F.lit("")), r"[\r\n\t]+", " "), r"^\s+|\s+$", ""), F.lit(""))
+    head = F.concat(F.lit(HEADER[0]), F.coalesce(title, F.lit(UNTITLED)), F.lit(HEADER[1]), F.lit(f"\n\n{EXPORTED[0]}{exporter}{EXPORTED[1]}"), date(day))
+    span = F.when(date("first") == date("last"), date("first")).otherwise(F.concat(date("first"), F.lit(" ~ "), date("last")))
+    span = F.coalesce(F.concat(F.lit(SPAN), span), F.lit(""))
+    text = F.concat(head, span, F.lit("\n\n"), F.array_join(F.coalesce("lines", F.array().cast("array<string>")), "\n\n"), F.lit("\n"))
+    return met.select("session_id", F.coalesce("n", F.lit(0)).alias("n_messages"), text.alias("markdown"))

@@ -88,13 +88,19 @@ def anchored(rows: DataFrame, headings: DataFrame) -> DataFrame:
     return two.select("book_id", "ord", F.coalesce("at_ordinal.page", "at_title_key.page").alias("page"))
 
 
-def yields(probe: DataFrame, gap: int = 2, window: int = 30) -> DataFrame:
-    """(book_id, yields) of (book_id, page, scanned, has_index): whether the contents pages are known to be over."""
-    last = Window.partitionBy("book_id")
-    seen = probe.withColumn("last_index", F.max(F.when(F.col("has_index"), F.col("page"))).over(last))
-    after = F.col("page").between(F.col("last_index") + 1, F.col("last_index") + gap)
-    per = seen.groupBy("book_id").agg(F.max(F.when(F.col("scanned"), F.col("page"))).alias("scanned_to"), F.max("last_index").alias("last_index"), F.count_if(after & F.col("scanned") & ~F.col("has_index")).alias("clear"))
-    return per.select("book_id", ((F.coalesce("scanned_to", F.lit(0)) >= window) | (F.col("last_index").isNotNull() & (F.col("clear") == gap))).alias("yields"))
+def yields(probe: DataFrame, books: DataFrame, gap: int = 2, window: int = 30) -> DataFrame:
+    """(book_id, yields): whether the contents pages of books (book_id, total, scanned) are known to be over.
+
+    probe: (book_id, page, has_index); scanned: how many leading pages were looked at. They are once the window is scanned,
+    `window` pages or the whole of a shorter book, or once `gap` scanned pages of the window behind the last with an index have none.
+    """
+    end = F.least(F.col("total"), F.lit(window))
+    met = probe.join(books, "book_id").where(F.col("page").between(F.lit(1), end))
+    last = met.where("has_index").groupBy("book_id").agg(F.max("page").alias("last_index"))
+    behind = F.col("page").between(F.col("last_index") + 1, F.col("last_index") + gap) & (F.col("page") <= F.col("scanned")) & ~F.col("has_index")
+    clear = met.join(last, "book_id").groupBy("book_id").agg(F.count_if(behind).alias("clear"))
+    per = books.join(clear, "book_id", "left")
+    return per.select("book_id", ((end > 0) & ((F.col("scanned") >= end) | (F.coalesce("clear", F.lit(0)) == gap))).alias("yields"))
 
 
 def increasing(nodes: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import headings, runs, search
+from ..operators import headings, runs, search, state
 from ..sources.tables import book_pages, few, messages, table
 from .queries_state import MSG, NODES, PAGES, _nodes
 
@@ -21,8 +21,10 @@ def spine(spark, sf_dir):
 
 
 def yield_probe(spark, sf_dir):
-    pages = book_pages(table(spark, sf_dir, "documents")).where("page <= 30")
-    return runs.yields(pages.select("book_id", "page", (F.length("text") >= 120).alias("scanned"), F.col("text").contains(" | ").alias("has_index")))
+    """A page is scanned if it has some text; a book's pages up to the first without are its scanned ones."""
+    pages = book_pages(table(spark, sf_dir, "documents")).where("text IS NOT NULL")
+    books = state.covered_prefix(pages.select("book_id", "page", (F.length("text") >= 120).alias("covered"))).select("book_id", F.col("pages").alias("total"), F.col("prefix").alias("scanned"))
+    return runs.yields(pages.select("book_id", "page", F.col("text").contains(" | ").alias("has_index")), books)
 
 
 def native_majority(spark, sf_dir):
@@ -145,7 +147,7 @@ QUERIES = {
 ORACLE_SQL = {
     "pages_found_missing": f"WITH {PAGES} SELECT a.book_id, a.page * 2 AS page, b.page IS NOT NULL AS found FROM pages_ a LEFT JOIN pages_ b ON b.book_id = a.book_id AND b.page = a.page * 2",
     "spine_increasing": f"WITH {PAGES}, {NODES}, s AS (SELECT book_id, page - lag(page) OVER (PARTITION BY book_id ORDER BY ord) AS step FROM nodes WHERE depth = 1 AND page IS NOT NULL) SELECT book_id, coalesce(bool_and(step > 0), true) AS increasing FROM s GROUP BY book_id",
-    "outline_yield_probe": f"WITH {PAGES}, p AS (SELECT book_id, page, length(text) >= 120 AS scanned, contains(text, ' | ') AS has_index FROM pages_ WHERE page <= 30), l AS (SELECT *, max(CASE WHEN has_index THEN page END) OVER (PARTITION BY book_id) AS li FROM p) SELECT book_id, coalesce(max(page) FILTER (scanned), 0) >= 30 OR (max(li) IS NOT NULL AND count(*) FILTER (page BETWEEN li + 1 AND li + 2 AND scanned AND NOT has_index) = 2) AS yields FROM l GROUP BY book_id",
+    "outline_yield_probe": f"WITH {PAGES}, b AS (SELECT book_id, count(*) AS total, coalesce(min(page) FILTER (length(text) < 120) - 1, max(page)) AS scanned FROM pages_ GROUP BY book_id), p AS (SELECT pages_.book_id, page, contains(text, ' | ') AS has_index, scanned FROM pages_ JOIN b USING (book_id) WHERE page <= least(total, 30)), l AS (SELECT *, max(CASE WHEN has_index THEN page END) OVER (PARTITION BY book_id) AS li FROM p), c AS (SELECT book_id, count(*) FILTER (page BETWEEN li + 1 AND li + 2 AND page <= scanned AND NOT has_index) AS clear FROM l GROUP BY book_id) SELECT book_id, scanned >= least(total, 30) OR clear = 2 AS yields FROM b JOIN c USING (book_id)",
     "native_majority": "SELECT source AS book_id, count(*) FILTER (length(text) >= 16) >= ceil(count(*) / 2) AS native, bool_and(trim(text) <> '') AS all_have_text FROM documents GROUP BY 1",
     "label_pages": "SELECT source AS book_id, lower(trim(string_split(text, chr(10))[1])) AS label, count(*) AS n FROM documents GROUP BY ALL HAVING count(*) >= 2",
     "strong_hit_cutoff": "SELECT query_id, vec_id, score FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM (SELECT label AS query_id, vec_id, round(CAST(embedding[2] AS DOUBLE), 6) AS score FROM embeddings)) WHERE top <= 0 OR score >= top * 0.6",

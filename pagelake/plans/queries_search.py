@@ -19,7 +19,7 @@ TERMS = r"list_filter(string_split_regex(query, '[\s,，、;；:：/|]+'), lambd
 REPLACED = "pages_ AS (SELECT book_id, page, doc_id, CASE WHEN doc_id % 7 = 0 THEN substring(text, 1, 200) || ' quillon ' || doc_id % 5 ELSE text END AS text FROM (SELECT source AS book_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, doc_id, text FROM documents) WHERE doc_id % 11 <> 0)"
 REPLACED_QUERIES = "queries_ AS (SELECT item_id AS query_id, 'quillon ' || substring(text, 1, 40) AS query FROM benchmark)"
 CJK = r"[\x{3000}-\x{9fff}\x{ff00}-\x{ffef}]"
-TOKENS = rf"regexp_extract_all(lower(trim(regexp_replace(regexp_replace({{0}}, '({CJK})', ' \1 ', 'g'), '\s+', ' ', 'g'))), '[\p{{L}}\p{{N}}]+')"
+TOKENS = rf"regexp_extract_all(strip_accents(lower(trim(regexp_replace(regexp_replace({{0}}, '({CJK})', ' \1 ', 'g'), '\s+', ' ', 'g')))), '[\p{{L}}\p{{N}}]+')"
 
 
 def _tokens(x: str) -> str:

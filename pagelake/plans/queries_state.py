@@ -44,7 +44,13 @@ def replay(spark, sf_dir):
 
 
 def export(spark, sf_dir):
-    return C.exported(_messages(spark, sf_dir)).select("session_id", "n_messages", F.sha2("markdown", 256).alias("digest"))
+    """Every seventh answer isn't complete, some turns quote a page or have evidence, every fifth conversation has no title."""
+    m = _messages(spark, sf_dir).withColumns({
+        "status": F.when(F.col("turn") % 7 == 3, "interrupted").otherwise("complete"), "passage_page": F.expr("if(turn % 4 = 0, turn + 1, null)"),
+        "evidence_pages": F.expr("if(turn % 3 = 1, array(turn + 15, turn + 2, turn + 15), cast(null AS array<int>))"), "created_at": F.expr("if(session_id % 4 = 3, null, timestamp'2024-01-30 20:00:00' + make_dt_interval(0, turn * 2))"),
+    })
+    titles = m.select("session_id").distinct().withColumn("title", F.expr("if(session_id % 5 = 0, '\\n', concat('Book\\r\\nof ', session_id, '\\t'))"))
+    return C.exported(m, titles, F.lit("2024-02-03").cast("date")).select("session_id", "n_messages", F.sha2("markdown", 256).alias("digest"))
 
 
 def evidence(spark, sf_dir):
@@ -307,7 +313,10 @@ ORACLE_SQL = {
     "retained_runs_by_budget": f"WITH {MSG}, {RET} SELECT session_id, run_id, tokens, retained FROM ret",
     "elision_savings": f"WITH {MSG}, {RET}, t AS (SELECT m.*, turn % 5 = 0 AS shown, {EST.format('body')} + CASE WHEN turn % 5 = 0 THEN 4000 ELSE 0 END AS cost, CASE WHEN turn % 5 = 0 THEN '第 ' || (turn + 1) || '、' || (turn + 2) || ' 页原图已省略，如需查看可调用 view_page 重新获取。' ELSE '此前 tool ' || turn || ' 结果约 ' || length(body) || ' 字符，已省略' END AS stub FROM m WHERE role <> 'user'), e AS (SELECT t.*, cost > 150 OR (NOT coalesce(retained, false) AND length(body) > 200) AS cut FROM t LEFT JOIN ret USING (session_id, run_id)) SELECT session_id, turn, cut AS elided, CASE WHEN cut THEN cost - {EST.format('stub')} ELSE 0 END AS saved, sha256(CASE WHEN cut THEN stub ELSE body END) AS body FROM e",
     "conversation_replay": f"WITH {MSG} SELECT session_id, turn, run_id, role, row_number() OVER (PARTITION BY session_id ORDER BY run_id, CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 2 ELSE 1 END, turn) AS position FROM m WHERE run_id > 0 AND (role = 'user' OR trim(body) <> '')",
-    "conversation_export": f"WITH {MSG} SELECT session_id, count(*) AS n_messages, sha256(string_agg('## ' || CASE role WHEN 'user' THEN 'Reader' ELSE 'Assistant' END || chr(10) || chr(10) || trim(body), chr(10) || chr(10) ORDER BY turn)) AS digest FROM m WHERE role IN ('user', 'assistant') GROUP BY session_id",
+    "conversation_export": rf"""WITH {MSG}, x AS (SELECT *, CASE WHEN session_id % 4 <> 3 THEN TIMESTAMP '2024-01-30 20:00:00' + to_hours(CAST(turn * 2 AS INTEGER)) END AS told FROM m), s AS (SELECT DISTINCT session_id FROM m),
+l AS (SELECT session_id, turn, told, (CASE role WHEN 'user' THEN '## 🧑 我' ELSE '## 🤖 AI' END) || chr(10) || chr(10) || regexp_replace(body, '^\s+|\s+$', '', 'g') || CASE WHEN role = 'user' AND turn % 4 = 0 THEN chr(10) || chr(10) || '> 📖 引用原文 · 第 ' || (turn + 1) || ' 页' WHEN role = 'assistant' AND turn % 3 = 1 THEN chr(10) || chr(10) || '> 📚 参考：第 ' || (turn + 2) || '、' || (turn + 15) || ' 页' ELSE '' END AS line FROM x WHERE role = 'user' OR (role = 'assistant' AND turn % 7 <> 3)),
+g AS (SELECT session_id, count(*) AS n, string_agg(line, chr(10) || chr(10) ORDER BY turn) AS body, strftime(min(told), '%Y-%m-%d') AS a, strftime(max(told), '%Y-%m-%d') AS b FROM l GROUP BY session_id)
+SELECT session_id, coalesce(n, 0) AS n_messages, sha256('# 《' || CASE WHEN session_id % 5 = 0 THEN '未命名书籍' ELSE 'Book of ' || session_id END || '》阅读对话' || chr(10) || chr(10) || '> 导出自 pagelake · 2024-02-03' || coalesce(chr(10) || '> 对话时间：' || CASE WHEN a = b THEN a ELSE a || ' ~ ' || b END, '') || chr(10) || chr(10) || coalesce(body, '') || chr(10)) AS digest FROM s LEFT JOIN g USING (session_id)""",
     "evidence_top8": "WITH p AS (SELECT label AS answer_id, vec_id % 40 + 1 AS page, max(round(CAST(embedding[1] AS DOUBLE), 6)) AS score FROM embeddings GROUP BY ALL), t AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY answer_id ORDER BY score DESC, page) <= 8) SELECT *, row_number() OVER (PARTITION BY answer_id ORDER BY page) AS place FROM t",
     "inherited_evidence": f"WITH {MSG} SELECT session_id, turn, last_value(CASE WHEN length(body) % 3 = 0 THEN length(body) END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS evidence FROM m",
     "interrupted_messages": f"WITH {MSG} SELECT session_id, turn, CASE role WHEN 'user' THEN 'cancelled' ELSE 'complete' END AS status FROM m QUALIFY turn = max(turn) OVER (PARTITION BY session_id)",

@@ -87,3 +87,28 @@ def test_results_are_decoded(spark):
 @pytest.mark.parametrize(("label", "key"), [("窃(qiè)读记", "窃读记"), ("Calculus (Second Edition)", "calculussecondedition"), ("窃（qiè）读记", "窃qi读记"), ("Notes (abcdefghi)", "notesabcdefghi")])
 def test_only_short_lower_case_notes_go(spark, label, key):
     assert column(spark, outline.title_key, "string", label) == [key]
+
+
+def test_words_without_marks(spark):
+    from pagelake.functions import text as T
+
+    found = column(spark, T.word_tokens, "string", "Café CAFÉ cafe", "ÑANDÚ ñandu", "İstanbul Ünïcödé", "Ελλάδα йод łódź", "日本 が")
+    assert found == [["cafe", "cafe", "cafe"], ["nandu", "nandu"], ["istanbul", "unicode"], ["ελλαδα", "иод", "łodz"], ["日", "本", "が"]]
+
+
+def test_exported_conversation(spark):
+    rows = [(1, 2, "assistant", "complete", "  Because.\n", None, [7, 3, 7], "2024-05-02 09:00:00"), (1, 1, "user", None, "Why?", 4, None, "2024-05-01 23:00:00"), (1, 3, "assistant", "failed", "x", None, [1], "2024-06-01 00:00:00"), (1, 4, "user", None, "And?", None, None, None), (2, 1, "assistant", "cancelled", "y", None, None, "2024-05-01 00:00:00")]
+    said = spark.createDataFrame(rows, "session_id int, turn int, role string, status string, body string, passage_page int, evidence_pages array<int>, created_at string").withColumn("created_at", F.to_timestamp("created_at"))
+    titles = spark.createDataFrame([(1, " A\r\nBook\t"), (2, " \n"), (3, None)], "session_id int, title string")
+    found = {r["session_id"]: (r["n_messages"], r["markdown"]) for r in conversation.exported(said, titles, F.lit("2024-06-07").cast("date"), "me").collect()}
+    assert found == {
+        1: (3, "# 《A Book》阅读对话\n\n> 导出自 me · 2024-06-07\n> 对话时间：2024-05-01 ~ 2024-05-02\n\n## 🧑 我\n\nWhy?\n\n> 📖 引用原文 · 第 4 页\n\n## 🤖 AI\n\nBecause.\n\n> 📚 参考：第 3、7 页\n\n## 🧑 我\n\nAnd?\n"),
+        2: (0, "# 《未命名书籍》阅读对话\n\n> 导出自 me · 2024-06-07\n\n\n"), 3: (0, "# 《未命名书籍》阅读对话\n\n> 导出自 me · 2024-06-07\n\n\n")}
+
+
+def test_contents_are_over(spark):
+    books = [("none", 0, 0), ("short", 3, 3), ("half", 9, 2), ("behind", 90, 7), ("unseen", 90, 6), ("index", 90, 29), ("edge", 90, 29), ("whole", 90, 30)]
+    index = {"half": [1], "behind": [2, 5], "unseen": [5], "index": [27, 29], "edge": [29]}
+    probe = [(b, p, p in index.get(b, [])) for b, total, _ in books for p in range(1, min(total, 40) + 1)]
+    found = runs.yields(spark.createDataFrame(probe, "book_id string, page int, has_index boolean"), spark.createDataFrame(books, "book_id string, total int, scanned int"))
+    assert {r["book_id"]: r["yields"] for r in found.collect()} == {"none": False, "short": True, "half": False, "behind": True, "unseen": False, "index": False, "edge": False, "whole": True}

@@ -103,6 +103,37 @@ def export_name(title: Column, day: Column, label: str = "conversation", fallbac
     return F.concat(F.coalesce(F.nullif(cut, F.lit("")), F.lit(fallback)), F.lit(f"-{label}-"), F.date_format(day, "yyyyMMdd"), F.lit(".md"))
 
 
+#: What begins and ends a block of code in Markdown, and a formula of its own.
+FENCE, DISPLAY = r"^ {0,3}(`{3,}|~{3,})(.*)$", "$$"
+
+
+def settled_length(text: Column) -> Column:
+    """How many characters of a text that is still being written are settled Markdown: up to behind the last blank line that
+    is in no block of code and behind no open formula. 0 where there is none; null for null.
+
+    One pass over the lines: whether a block is open, by what sign and how long, formulas' marks so far, characters so far.
+    A line counts with its line feed; a blank line is where two line feeds follow one another.
+    """
+    lines = F.split(text, "\n", -1)
+    mark = lambda line: F.regexp_extract(line, FENCE, 1)
+    rest = lambda line: F.regexp_extract(line, FENCE, 2)
+
+    def step(a: Column, line: Column) -> Column:
+        fence = mark(line)
+        opens = (a["mark"] == "") & (fence != "") & ~((F.left(fence, F.lit(1)) == "`") & F.contains(rest(line), F.lit("`")))
+        closes = (a["mark"] != "") & (F.left(fence, F.lit(1)) == F.left(a["mark"], F.lit(1))) & (F.length(fence) >= F.length(a["mark"])) & F.trim(rest(line)).isin("", "\r")
+        held = F.when(opens, fence).when(closes, "").otherwise(a["mark"])
+        marks = a["marks"] + F.size(F.split(line, r"\$\$", -1)) - 1
+        at = a["at"] + F.length(line) + 1
+        # This line is empty and follows another: its line feed is the second of two.
+        settled = F.when((line == "") & (a["at"] > 0) & (a["mark"] == "") & (marks % 2 == 0), at).otherwise(a["settled"])
+        return F.struct(held.alias("mark"), marks.alias("marks"), at.alias("at"), settled.alias("settled"))
+
+    start = F.struct(F.lit("").alias("mark"), F.lit(0).alias("marks"), F.lit(0).alias("at"), F.lit(0).alias("settled"))
+    # The last line has no line feed behind it, so it settles nothing.
+    return F.when(text.isNotNull(), F.aggregate(F.slice(lines, 1, F.greatest(F.lit(0), F.size(lines) - 1)), start, step, lambda a: a["settled"]))
+
+
 def stripped_html(html: Column) -> Column:
     """Bold marks vanish, other tags are a space, white space is collapsed."""
     return collapsed(F.regexp_replace(F.regexp_replace(html, r"(?i)</?b\b[^>]*>", ""), r"<[^>]+>", " "))

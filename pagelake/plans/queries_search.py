@@ -230,6 +230,11 @@ def single_chunk_pages(spark, sf_dir):
     return per.select("book_id", F.col("page").cast("long").alias("page"), "content_hash")
 
 
+def settled_markdown(spark, sf_dir):
+    """How much of each text, read as an answer still being written, is settled Markdown."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.settled_length(F.col("text")).cast("long").alias("settled"))
+
+
 def export_names(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.export_name(F.col("text"), F.lit("2024-01-31").cast("date")).alias("name"), T.bounded_fact(F.col("text"), 100).alias("fact"))
 
@@ -245,7 +250,7 @@ QUERIES = {
     "term_split": term_split, "index_tokens": index_tokens, "page_length_factor": page_factor, "index_coverage": index_coverage,
     "missing_embeddings_anti": missing_embeddings, "stale_embeddings_semi": stale_embeddings, "page_range_read": page_range, "paged_reading_offset": paged_reading_whole, "paged_reading_whole": paged_reading_whole,
     "content_hash": page_digest, "html_strip": html_text, "url_param_unwrap": url_param, "citation_quotes_grounding": quote_grounding,
-    "citations_checked": citations_checked, "page_chunks": page_chunks, "single_chunk_pages": single_chunk_pages, "export_names": export_names,
+    "citations_checked": citations_checked, "page_chunks": page_chunks, "single_chunk_pages": single_chunk_pages, "export_names": export_names, "settled_markdown": settled_markdown,
 }
 ORACLE_SQL = {
     "hybrid_search": f"WITH {LEXICAL}, {SEMANTIC}, {FUSED}, {_ranked()}, t_ AS (SELECT h.*, p.text, trim(q.query) AS q, instr(lower(p.text), lower(trim(q.query))) AS loc FROM hits_ h JOIN pages_ p USING (book_id, page) JOIN queries_ q USING (query_id)) SELECT query_id, book_id, rank, page, score, mode, {SNIPPET} AS snippet FROM t_",

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LATE = "10 minutes"
-PREFIX_STATE = "frontier long, ahead array<long>"
+PREFIX_STATE = "frontier long, starts array<long>, ends array<long>"
 
 
 def kind_counts(events: DataFrame) -> DataFrame:
@@ -30,21 +31,32 @@ def idle_sessions(events: DataFrame, gap: str = "5 minutes", late: str = LATE) -
     return seen.select("key", F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "n")
 
 
+def merged_runs(starts: np.ndarray, ends: np.ndarray, pages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs (first, last) of numbers, apart and ascending, with more numbers put in."""
+    first, last = np.concatenate((starts, pages)), np.concatenate((ends, pages))
+    order = np.argsort(first, kind="stable")
+    first, reach = first[order], np.maximum.accumulate(last[order]) if len(last) else last
+    new = np.ones(len(first), dtype=bool)
+    new[1:] = first[1:] > reach[:-1] + 1
+    at = np.flatnonzero(new)
+    return first[at], reach[np.append(at[1:] - 1, len(first) - 1)] if len(first) else reach
+
+
 def frontiers(completions: DataFrame, base: int = 1) -> DataFrame:
     """(book_id, frontier) after each trigger: the longest completed prefix from `base`, of pages that finish in any order.
 
-    completions: streaming (book_id, page). State is the frontier and the pages that finished ahead of it.
+    completions: streaming (book_id, page). State is the frontier and the runs of pages that finished ahead of it, so it is
+    as large as there are gaps, whatever finished. Null pages and those below `base` count for nothing.
     """
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        frontier, ahead = state.get if state.exists else (base - 1, [])
-        waiting = set(ahead)
+        frontier, starts, ends = state.get if state.exists else (base - 1, [], [])
         for batch in batches:
-            waiting |= {int(p) for p in batch["page"] if p > frontier}
-        while frontier + 1 in waiting:
-            frontier += 1
-            waiting.discard(frontier)
-        state.update((frontier, sorted(waiting)))
+            pages = np.unique(batch["page"].dropna().to_numpy(np.int64))
+            starts, ends = merged_runs(np.array(starts, np.int64), np.array(ends, np.int64), pages[pages > frontier])
+            if len(starts) and starts[0] <= frontier + 1:
+                frontier, starts, ends = int(ends[0]), starts[1:], ends[1:]
+        state.update((int(frontier), [int(x) for x in starts], [int(x) for x in ends]))
         yield pd.DataFrame({"book_id": [key[0]], "frontier": [frontier]})
 
     return completions.groupBy("book_id").applyInPandasWithState(advance, "book_id string, frontier long", PREFIX_STATE, "update", GroupStateTimeout.NoTimeout)

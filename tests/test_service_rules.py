@@ -1,12 +1,16 @@
 """Rules of names, checkpoints, run ends, job states, stubs and stream lines, by rows with stated results."""
 
 import json
+import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pagelake.functions import parsers as P
 from pagelake.operators import conversation, outline, runs, state
+from pagelake.streaming import events
 
 
 def column(spark, fn, kind, *values):
@@ -112,3 +116,43 @@ def test_contents_are_over(spark):
     probe = [(b, p, p in index.get(b, [])) for b, total, _ in books for p in range(1, min(total, 40) + 1)]
     found = runs.yields(spark.createDataFrame(probe, "book_id string, page int, has_index boolean"), spark.createDataFrame(books, "book_id string, total int, scanned int"))
     assert {r["book_id"]: r["yields"] for r in found.collect()} == {"none": False, "short": True, "half": False, "behind": True, "unseen": False, "index": False, "edge": False, "whole": True}
+
+
+def plain_settled(text):
+    spans, opened, at = [], None, 0
+    for line in text.split("\n"):
+        m = re.match(r"^ {0,3}(`{3,}|~{3,})(.*)$", line)
+        if m and opened is None and not (m[1][0] == "`" and "`" in m[2]):
+            opened = (at, m[1])
+        elif m and opened and m[1][0] == opened[1][0] and len(m[1]) >= len(opened[1]) and not m[2].strip():
+            spans.append((opened[0], at + len(line)))
+            opened = None
+        at += len(line) + 1
+    if opened:
+        spans.append((opened[0], len(text)))
+    index = text.rfind("\n\n")
+    while index >= 0:
+        if not any(a < index + 1 < b for a, b in spans) and text[: index + 2].count("$$") % 2 == 0:
+            return index + 2
+        index = text.rfind("\n\n", 0, index + 1)
+    return 0
+
+
+def test_settled_markdown(spark):
+    """Of texts cut anywhere, as by a plain reading of the whole."""
+    from pagelake.functions import text as T
+
+    whole = "One *two*\n\nthree\n\n\n```py\na\n\n``\n~~~\n\n```\n\n$$x\n\ny$$\n\n- a\n\n- b\n~~~~ a`b\n\n~~~\n\n~~~~  \n\nend $$$$ $$\n\nopen\n\n$$ done\n\n````\n\n"
+    texts = [whole[:n] for n in range(len(whole) + 1)] + ["\n\n", "\n\n\n", "a\n", "``` `x\n\n", None]
+    found = column(spark, T.settled_length, "string", *texts)
+    assert found == [plain_settled(t) for t in texts[:-1]] + [None] and len(set(found)) > 8
+
+
+def test_runs_of_numbers():
+    rng = random.Random(1)
+    for _ in range(300):
+        have, more = set(rng.sample(range(30), rng.randint(0, 20))), sorted(rng.sample(range(30), rng.randint(0, 10)))
+        runs_of = lambda s: [(a, max(b for b in range(a, 31) if set(range(a, b + 1)) <= s)) for a in sorted(s) if a - 1 not in s]
+        before = runs_of(have)
+        a, b = events.merged_runs(np.array([x for x, _ in before], np.int64), np.array([x for _, x in before], np.int64), np.array(more, np.int64))
+        assert list(zip(a.tolist(), b.tolist())) == runs_of(have | set(more))

@@ -215,6 +215,10 @@ def _parts(v: str) -> str:
     return f"if({_is_a(v, 'card')} AND NOT {_is_a(v, 'date')} AND NOT {_is_a(v, 'ssn')} AND NOT {_is_a(v, 'phone')}, {run}, array(named_struct('k', {_kind(v)}, 'v', {v})))"
 
 
+#: Parts of a text whose spans are listed at a time.
+RUN = 256
+
+
 def pseudonymised(docs: DataFrame, key: str, found: bool = False) -> DataFrame:
     """`docs` with pseudonyms under `key` in `text`. found: also `_found`, array<struct<k, start, end>> of what was replaced (code points of the old text)."""
     hits = F.regexp_extract_all(F.col("text"), F.lit(ANY), F.lit(0))
@@ -223,9 +227,16 @@ def pseudonymised(docs: DataFrame, key: str, found: bool = False) -> DataFrame:
     parts = f"flatten(transform(_gaps, (g, i) -> if(i < size(_hits), concat(array(named_struct('k', cast(null AS int), 'v', g)), flatten(transform(slice(_hits, i + 1, 1), v -> {_parts('v')}))), array(named_struct('k', cast(null AS int), 'v', g)))))"
     split = gaps.withColumn("_parts", F.when(F.col("_gaps").isNotNull(), F.expr(parts)))
     split = split.withColumn("_parts", F.expr("if(exists(_parts, h -> h.k IS NOT NULL), _parts, null)"))
-    spans = """aggregate(_parts, named_struct('at', 0, 'found', cast(array() AS array<struct<k: int, start: int, end: int>>)), (a, h) -> named_struct(
-        'at', a.at + length(h.v),
-        'found', if(h.k IS NULL, a.found, concat(a.found, array(named_struct('k', h.k, 'start', a.at, 'end', a.at + length(h.v)))))), a -> a.found)"""
+    # Offsets are running sums of the parts' lengths: within runs of parts, then of the runs, as a list that grows is copied
+    # for each part put to it.
+    none = "cast(array() AS array<struct<k: int, start: int, end: int>>)"
+    step = """(a, h) -> named_struct('at', a.at + length(h.v), 'found',
+        if(h.k IS NULL, a.found, concat(a.found, array(named_struct('k', h.k, 'start', a.at, 'end', a.at + length(h.v))))))"""
+    runs = f"transform(sequence(0, (size(_parts) - 1) div {RUN}), c -> aggregate(slice(_parts, c * {RUN} + 1, {RUN}), named_struct('at', 0, 'found', {none}), {step}))"
+    starts = "aggregate(y, named_struct('at', 0, 's', cast(array() AS array<int>)), (a, r) -> named_struct('at', a.at + r.at, 's', concat(a.s, array(a.at))), a -> a.s)"
+    moved = "transform(r.found, x -> named_struct('k', x.k, 'start', x.start + s, 'end', x.end + s))"
+    # The runs are bound by a transform over an array of one.
+    spans = f"flatten(flatten(transform(array({runs}), y -> zip_with(y, {starts}, (r, s) -> {moved}))))"
     out = split.withColumn("_found", F.expr(f"if(_parts IS NULL, cast(array() AS array<struct<k: int, start: int, end: int>>), {spans})"))
     out = out.withColumn("text", F.expr(f"if(_parts IS NULL, text, array_join(transform(_parts, h -> {_pseudonym(key)}), ''))"))
     if not found:

@@ -37,3 +37,13 @@ def test_month_first_dates_stay_apart(spark):
     days = spark.sql("SELECT id AS doc_id, date_format(date_add(date'1900-01-01', cast(id AS int)), 'MM/dd/yyyy') AS text FROM range(73049)").where("substring(text, 4, 2) > '12'")
     out = pii.pseudonymised(days, "k").cache()
     assert out.select("text").distinct().count() == days.count() and out.where("try_to_date(text, 'MM/dd/yyyy') IS NULL OR substring(text, 4, 2) <= '12'").count() == 0
+
+
+def test_spans_of_many_hits(spark):
+    """Places of thousands of hits in one text, past several runs of parts, as a plain scan finds them."""
+    words = [f"user{i}@mail.example.org" if i % 3 else f"née {i} \U0001f600" for i in range(3_000)]
+    text = " ".join(words)
+    docs = spark.createDataFrame([(1, text), (2, words[1]), (3, "no hit, 4 @")], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in pii.pseudonymised(docs, "k", found=True).collect()}
+    assert [(s["start"], s["end"]) for s in rows[1]["_found"]] == [m.span() for m in re.finditer(r"user\d+@mail\.example\.org", text)]
+    assert [(s["start"], s["end"]) for s in rows[2]["_found"]] == [(0, len(words[1]))] and rows[3]["_found"] == []

@@ -18,6 +18,7 @@ QUERIES_CTE = "queries_ AS (SELECT item_id AS query_id, text AS query FROM bench
 TERMS = r"list_filter(string_split_regex(query, '[\s,，、;；:：/|]+'), lambda t: t <> '')"
 REPLACED = "pages_ AS (SELECT book_id, page, doc_id, CASE WHEN doc_id % 7 = 0 THEN substring(text, 1, 200) || ' quillon ' || doc_id % 5 ELSE text END AS text FROM (SELECT source AS book_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, doc_id, text FROM documents) WHERE doc_id % 11 <> 0)"
 REPLACED_QUERIES = "queries_ AS (SELECT item_id AS query_id, 'quillon ' || substring(text, 1, 40) AS query FROM benchmark)"
+BLANK_QUERIES = "queries_ AS (SELECT item_id AS query_id, CASE WHEN item_id % 11 = 0 THEN ' ' || chr(10) ELSE text END AS query FROM benchmark)"
 CJK = r"[\x{3000}-\x{9fff}\x{ff00}-\x{ffef}]"
 TOKENS = rf"regexp_extract_all(strip_accents(lower(trim(regexp_replace(regexp_replace({{0}}, '({CJK})', ' \1 ', 'g'), '\s+', ' ', 'g')))), '[\p{{L}}\p{{N}}]+')"
 
@@ -103,6 +104,15 @@ def hybrid_search(spark, sf_dir):
     return search.hybrid_search(*inputs(spark, sf_dir))
 
 
+def search_outcomes(spark, sf_dir):
+    """Each query asks one book, some of which aren't there; some queries are blank; one book has pages that aren't indexed."""
+    index, chunks, queries, vectors_asked = inputs(spark, sf_dir)
+    queries = queries.withColumn("query", F.expr("if(query_id % 11 = 0, ' \n', query)"))
+    asked = queries.select("query_id", F.concat(F.lit("src"), (F.col("query_id") % 7).cast("string")).alias("book_id"))
+    books = index.live().groupBy("book_id").agg(F.sum("pages").alias("n")).select("book_id", F.expr("n + if(book_id = 'src2', 5, 0)").alias("total_pages"))
+    return search.outcomes(index, asked, queries, books, search.hybrid_search(index, chunks, queries, vectors_asked)).drop("mode")
+
+
 def lexical_search(spark, sf_dir):
     index, _, queries, _ = inputs(spark, sf_dir)
     return search.lexical_leg(index, queries).withColumn("lexical", F.round("lexical", 6))
@@ -246,7 +256,7 @@ MATCH = r"lower(regexp_replace({0}, '[\s\p{{P}}\p{{S}}]+', '', 'g'))"
 COLLAPSED = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 
 QUERIES = {
-    "index_postings": index_postings, "index_replaced": index_replaced, "hybrid_search": hybrid_search, "lexical_search_multi_term": lexical_search, "semantic_topk": semantic_topk, "semantic_topk_of_model": semantic_of_model, "focus_boosted_search": focus_boosted,
+    "index_postings": index_postings, "index_replaced": index_replaced, "hybrid_search": hybrid_search, "search_outcomes": search_outcomes, "lexical_search_multi_term": lexical_search, "semantic_topk": semantic_topk, "semantic_topk_of_model": semantic_of_model, "focus_boosted_search": focus_boosted,
     "term_split": term_split, "index_tokens": index_tokens, "page_length_factor": page_factor, "index_coverage": index_coverage,
     "missing_embeddings_anti": missing_embeddings, "stale_embeddings_semi": stale_embeddings, "page_range_read": page_range, "paged_reading_offset": paged_reading_whole, "paged_reading_whole": paged_reading_whole,
     "content_hash": page_digest, "html_strip": html_text, "url_param_unwrap": url_param, "citation_quotes_grounding": quote_grounding,
@@ -257,6 +267,7 @@ ORACLE_SQL = {
     "lexical_search_multi_term": f"WITH {LEXICAL} SELECT query_id, book_id, page, round(lexical, 6) AS lexical FROM lexical_",
     "index_postings": f"WITH {PAGES}, w_ AS (SELECT book_id, page, unnest(w) AS t, len(w) AS dl FROM (SELECT book_id, page, {_tokens('text')} AS w FROM pages_)), s_ AS (SELECT book_id, count(*) AS pages, CAST(sum(len({_tokens('text')})) AS BIGINT) AS words FROM pages_ GROUP BY book_id), r_ AS (SELECT book_id, count(*) AS run_pages FROM (SELECT DISTINCT book_id, page, unnest(regexp_split_to_array(lower(text), '\\s+')) AS r FROM pages_) WHERE r <> '' GROUP BY book_id) SELECT s_.book_id, pages, words, count(DISTINCT (page, t)) AS word_pages, count(*) AS places, any_value(run_pages) AS run_pages FROM s_ JOIN w_ ON s_.book_id = w_.book_id JOIN r_ ON s_.book_id = r_.book_id GROUP BY s_.book_id, pages, words",
     "index_replaced": f"WITH {LEXICAL.replace(PAGES, REPLACED).replace(QUERIES_CTE, REPLACED_QUERIES)} SELECT query_id, book_id, page, round(lexical, 6) AS lexical FROM lexical_",
+    "search_outcomes": f"WITH {LEXICAL.replace(QUERIES_CTE, BLANK_QUERIES)}, {SEMANTIC}, {FUSED}, {_ranked()}, a_ AS (SELECT query_id, query, 'src' || query_id % 7 AS book_id FROM queries_), b_ AS (SELECT book_id, count(*) AS n, count(*) + CASE WHEN book_id = 'src2' THEN 5 ELSE 0 END AS total FROM pages_ GROUP BY book_id), o_ AS (SELECT a_.*, n, total, query_id % 11 = 0 AS blank, (SELECT count(*) FROM hits_ h WHERE h.query_id = a_.query_id AND h.book_id = a_.book_id) AS hits FROM a_ LEFT JOIN b_ USING (book_id)) SELECT query_id, book_id, CASE WHEN blank OR n IS NULL THEN 'unavailable' WHEN n < total THEN 'partial' ELSE 'ok' END AS status, CASE WHEN blank THEN '检索词为空。' WHEN n IS NULL THEN '书库中没有这本书。' WHEN n < total THEN '索引尚未完成（' || n || '/' || total || ' 页），结果只覆盖已索引页面。' END AS note, CASE WHEN NOT blank THEN n END AS indexed_pages, CASE WHEN NOT blank THEN total END AS total_pages, CASE WHEN blank OR n IS NULL THEN 0 ELSE hits END AS n_hits FROM o_",
     "semantic_topk": f"WITH {PAGES}, {SEMANTIC}, base_ AS (SELECT *, semantic AS base, true AS hybrid FROM semantic_), {_ranked()} SELECT query_id, book_id, page, score, rank FROM hits_",
     "semantic_topk_of_model": f"WITH {PAGES}, {SEMANTIC_OF_MODEL}, base_ AS (SELECT *, semantic AS base, true AS hybrid FROM semantic_), {_ranked()} SELECT query_id, book_id, page, score, rank FROM hits_",
     "focus_boosted_search": f"WITH {LEXICAL}, {SEMANTIC}, {FUSED}, {_ranked('(CASE WHEN page = query_id % 7 + 4 THEN 0.3 ELSE 0.0 END + CASE WHEN abs(page - (query_id % 7 + 1)) <= 1 THEN 0.2 ELSE 0.0 END + CASE WHEN page BETWEEN 2 AND 12 THEN 0.1 ELSE 0.0 END)')} SELECT query_id, book_id, rank, page, score FROM hits_",

@@ -89,7 +89,7 @@ class Tables:
         last = rows.groupBy(*key).agg(F.max(F.struct("change", *rest)).alias("_last")).select(*key, "_last.*")
         removals = self._read("removals", _REMOVALS).where(F.col("name") == name).join(done, "change", "left_semi")
         latest = removals.groupBy("depth", "scope").agg(F.max("change").alias("_gone"))
-        for depth in range(1, len(key) + 1):
+        for depth in sorted(r[0] for r in removals.select("depth").distinct().collect()):  # lengths of keys
             own = latest.where(F.col("depth") == depth).select(F.col("scope").alias("_scope"), "_gone")
             last = last.join(own, _scope(key[:depth]) == F.col("_scope"), "left").where("_gone IS NULL OR change >= _gone").drop("_scope", "_gone")
         return last.select(*self.columns(name))

@@ -159,14 +159,14 @@ def test_runs_of_numbers():
 
 
 def test_files_of_books(spark, tmp_path):
-    """PDF files anywhere below a path, by the digest of their bytes; other files are none."""
+    """PDF files anywhere below a path, by the digest of their bytes; other files and empty ones are none."""
     import hashlib
 
     from pagelake.sources import tables
 
     (tmp_path / "deep" / "er").mkdir(parents=True)
-    kept = {"a.pdf": b"%PDF one", "deep/B.PDF": b"%PDF two", "deep/er/copy.pdf": b"%PDF one", "deep/empty.Pdf": b""}
-    for name, data in {**kept, "notes.txt": b"%PDF", "deep/pdf": b"x"}.items():
+    kept = {"a.pdf": b"%PDF one", "deep/B.PDF": b"%PDF two", "deep/er/copy.pdf": b"%PDF one"}
+    for name, data in {**kept, "deep/empty.Pdf": b"", "notes.txt": b"%PDF", "deep/pdf": b"x"}.items():
         (tmp_path / name).write_bytes(data)
     rows = tables.book_files(spark, str(tmp_path)).collect()
     assert sorted((r["path"].split(str(tmp_path) + "/")[1], r["book_id"], r["bytes"]) for r in rows) == sorted((n, hashlib.sha256(d).hexdigest(), len(d)) for n, d in kept.items())

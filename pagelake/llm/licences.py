@@ -3,36 +3,42 @@
 A paragraph ends at a blank line, or where a line that ends a sentence does; a sentence wrapped over lines is one
 paragraph. Features are single words and pairs of neighbours of a paragraph (`ALNUM_WORD`, A-Z lower-cased) that hold at
 least one licence word: a word of the templates that is not on a fixed list of everyday words (`EVERYDAY`), whatever the
-corpus holds. A multinomial logistic regression (an ML estimator of Spark's) is fitted to variants of each family's
-templates, each with some of its words left out, and, as the class `unknown`, to the background: a bounded sample of the
-corpus's own paragraphs drawn by hash, without those that resemble a template (half or more of the licence words of one,
-two at least), and some without a feature. The least probability that names a family is calibrated on a second part of
-the background and on variants kept back. What is named is compared with the family's templates: it is confirmed if it
-holds half or more of the words of one of them, or a template holds most of its words. "All rights reserved." alone
-reserves all rights, so it is `proprietary`.
+corpus holds. A feature of the templates' variants is a column of its own; the others, whose number grows with the corpus,
+share `HASHED` columns. A multinomial logistic regression (an ML estimator of Spark's) is fitted to variants of each
+family's templates, each with some of its words left out, and, as the class `unknown`, to the background: every different
+paragraph of the corpus that holds a licence word and doesn't resemble a template (half or more of the licence words of
+one, two at least), and the paragraph without a feature. The least probability that names a family is calibrated on all of
+them, each scored by a model fitted to the half that it isn't in. What is named is compared with the family's templates:
+it is confirmed if it holds half or more of the words of one of them, or a template holds most of its words. "All rights
+reserved." alone reserves all rights, so it is `proprietary`.
 
 A paragraph without a licence word has no feature, so its class is that of the intercepts, `unknown`; this is tested
-first, and only the others are split up and scored. Null and empty texts have no paragraph; a very long text is one array
-of its paragraphs. Repeated rows and repeated paragraphs are counted as they stand; rows of a repeated doc_id have the
-findings of all; ties between families go to the first by name. An empty table gives no rows. Extra columns are not read,
-whatever their names.
+first, and only the others are split up and scored. All such paragraphs are one row to the model, so they are neither
+drawn nor counted; the row's weight is fixed. Null and empty texts have no paragraph; a very long text is one array of its
+paragraphs. Repeated rows and repeated paragraphs teach the model once, and are counted as they stand in what is found;
+rows of a repeated doc_id have the findings of all; ties between families go to the first by name. An empty table gives no
+rows. Extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, StringIndexer
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import CountVectorizer, HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ALNUM_WORD, ascii_lower, words_of, written
 
-#: Background paragraphs that the classifier is fitted on at most, about; as many again calibrate it.
+#: What the background weighs in all, at most (a variant of a template weighs 1): none of it is left out, but each of many weighs less.
 BACKGROUND = 3_000
-#: Paragraphs without a feature that are `unknown` as well, so that this class is there in a corpus of notices alone.
-FEATURELESS = 200
+#: What the paragraph without a feature weighs, so that the class `unknown` is there in a corpus of notices alone.
+FEATURELESS = 3_000
+#: Columns that the features share by hash which the templates don't have.
+HASHED = 4_096
+#: Rows in a part of the table that the classifier is fitted to, about; every part sends its gradient in every step.
+PART_ROWS = 10_000
 #: Words of templates that say nothing of a licence. `mit` is one for itself (German), but counts in what resembles a template.
 EVERYDAY = frozenset("""all an and any are as at be by can charge code conditions deal either except file files following for form forms found
 free general governed http in international into is it later library may met mit no not of or org part person program prior
@@ -88,33 +94,44 @@ def _variants(templates: DataFrame) -> DataFrame:
 
 
 class Scanner:
-    """A fitted pipeline, the licence words, the least probability of a family, and the templates' words."""
+    """A fitted model, the licence words, the least probability of a family, and the templates' words."""
 
     def __init__(self, docs: DataFrame):
         spark = docs.sparkSession
         rows = [(family, text) for family, texts in TEMPLATES.items() for text in texts]
         templates = spark.createDataFrame(rows, "family string, text string").select("family", _words(F.col("text")).alias("w"))
-        n = max(1, docs.count())
-        # One paragraph, drawn by hash, of each of about twice BACKGROUND documents: bounded whatever their lengths.
-        some = docs.select(F.xxhash64("text").alias("t"), "text").where(F.shiftrightunsigned("t", 1) < F.lit(min(2**63 - 1, int(2**63 * min(1.0, 2 * BACKGROUND / n)))))
-        one = F.expr(f"array_min(transform(filter(split(text, {_quoted(BREAK)}), x -> length(x) > 0), x -> struct(xxhash64(x) AS h, x AS line)))")
-        drawn = some.select(one.alias("o")).where("o IS NOT NULL").select("o.*").dropDuplicates(["h"])
         held = [(r["family"], set(r["w"])) for r in templates.collect()]
         self.vocabulary = sorted({x for _, w in held for x in w if len(x) > 1} - EVERYDAY)
         self.templates = [(f, sorted(w)) for f, w in held]
-        background = written(drawn.select("h", _words(F.col("line")).alias("w")).where("size(w) > 0")).where(~self._resembles())
-        words = F.array(*map(F.lit, self.vocabulary))
-        known = _variants(templates).withColumn("kept_back", F.col("variant") % 5 == 4).select("family", "kept_back", "w")
-        other = background.select(F.lit("unknown").alias("family"), (F.pmod("h", F.lit(2)) == 1).alias("kept_back"), "w")
-        every = known.union(other).select("family", "kept_back", _grams(F.col("w"), words).alias("grams"))
-        none = spark.range(FEATURELESS).select(F.lit("unknown").alias("family"), F.lit(False).alias("kept_back"), F.expr("cast(array() AS array<string>)").alias("grams"))
-        every = written(every.union(none))
-        stages = [StringIndexer(inputCol="family", outputCol="label", stringOrderType="alphabetAsc"), CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=1), LogisticRegression(regParam=0.002, maxIter=60)]
-        self.model = Pipeline(stages=stages).fit(every.where("NOT kept_back"))
-        self.families = self.model.stages[0].labels
-        best = self._classed(every.where("kept_back")).agg(F.max(F.when(F.col("family") == "unknown", F.when(F.col("named") != "unknown", F.col("p")))).alias("wrong"), F.percentile_approx(F.when((F.col("family") != "unknown") & (F.col("named") == F.col("family")), F.col("p")), 0.02).alias("right")).first()
+        self.families = sorted([*TEMPLATES, "unknown"])
+        self._own = self._split(docs)
+        # A paragraph of the background is told by a hash of its text, which also says in which half it is.
+        background = written(self._own.where(~self._resembles()).select(F.xxhash64("line").alias("h"), "grams").distinct())
+        n = background.count()
+        unknown = F.lit("unknown").alias("family")
+        other = background.select(unknown, F.pmod("h", F.lit(2)).cast("int").alias("half"), F.lit(min(1.0, BACKGROUND / max(1, n))).alias("weight"), "grams")
+        none = spark.range(2).select(unknown, F.col("id").cast("int").alias("half"), F.lit(FEATURELESS / 2).alias("weight"), F.expr("cast(array() AS array<string>)").alias("grams"))
+        known = written(_variants(templates).select("family", (F.col("variant") % 2).alias("half"), F.lit(1.0).alias("weight"), _grams(F.col("w"), F.lit(self.vocabulary)).alias("grams")))
+        every = written(known.union(other).union(none).repartition(1 + n // PART_ROWS))
+        self._features = self._columns(known)
+        halves = [self._classed(every.where(F.col("half") == k), self._fitted(every.where(F.col("half") != k))) for k in (0, 1)]
+        best = halves[0].union(halves[1]).agg(F.max(F.when(F.col("family") == "unknown", F.when(F.col("named") != "unknown", F.col("p")))).alias("wrong"), F.percentile_approx(F.when((F.col("family") != "unknown") & (F.col("named") == F.col("family")), F.col("p")), 0.02).alias("right")).first()
         # Above what the background reaches, but not above nearly all that is right.
         self.least = min(max(best["wrong"] or 0.0, 0.3), max(best["right"] or 0.5, 0.3))
+        self.model = self._fitted(every)
+
+    def _columns(self, known: DataFrame) -> PipelineModel:
+        """From `grams` and `rest` to `features`: a column for each feature of `known`, and those that the rest shares."""
+        counts = CountVectorizer(inputCol="grams", outputCol="_own", binary=True, minDF=1).fit(known)
+        self._named = counts.vocabulary
+        return PipelineModel([counts, HashingTF(inputCol="rest", outputCol="_rest", binary=True, numFeatures=HASHED), VectorAssembler(inputCols=["_own", "_rest"], outputCol="features")])
+
+    def _vectors(self, paragraphs: DataFrame) -> DataFrame:
+        return self._features.transform(paragraphs.withColumn("rest", F.array_except("grams", F.lit(self._named)))).drop("rest", "_own", "_rest")
+
+    def _fitted(self, rows: DataFrame) -> LogisticRegressionModel:
+        label = (F.array_position(F.lit(self.families), F.col("family")) - 1).cast("double")
+        return LogisticRegression(weightCol="weight", regParam=0.002, maxIter=60).fit(self._vectors(rows).withColumn("label", label))
 
     def _resembles(self) -> Column:
         """Whether the words `w` hold half or more of the licence words of a template, two at least."""
@@ -122,15 +139,14 @@ class Scanner:
         shared = lambda m: F.size(F.array_intersect("w", F.array(*map(F.lit, m))))
         return F.greatest(*[shared(m) >= max(2, len(m) / 2) for m in sorted(marks)])
 
-    def _classed(self, paragraphs: DataFrame) -> DataFrame:
+    def _classed(self, paragraphs: DataFrame, model: LogisticRegressionModel) -> DataFrame:
         """`paragraphs` with the likeliest class, `named`, and its probability, `p`."""
-        scored = self.model.transform(paragraphs.withColumn("family", F.col("family") if "family" in paragraphs.columns else F.lit("unknown")))
+        scored = model.transform(self._vectors(paragraphs))
         p = vector_to_array("probability")
-        return scored.withColumn("_p", p).withColumn("p", F.array_max("_p")).withColumn("named", F.element_at(F.array(*map(F.lit, self.families)), F.expr("cast(array_position(_p, array_max(_p)) AS int)")))
+        return scored.withColumn("_p", p).withColumn("p", F.array_max("_p")).withColumn("named", F.element_at(F.lit(self.families), F.expr("cast(array_position(_p, array_max(_p)) AS int)")))
 
-    def paragraphs(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, at, line, named, p, likeness): the paragraphs of `docs` that are named a family, `at` counted from 0."""
-        words = F.array(*map(F.lit, self.vocabulary))
+    def _split(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, at, line, w, grams): the paragraphs of `docs` that hold a licence word, `at` counted from 0."""
         # The words are ASCII; lower() folds more than that, so it finds all that the features can hold.
         has = lambda text: F.lower(text).rlike(f"(?<![a-z0-9]){_any_of(self.vocabulary)}(?![a-z0-9])")
         lines = docs.select("doc_id", F.when(has(F.col("text")), F.split("text", BREAK)).alias("lines"))
@@ -138,8 +154,13 @@ class Scanner:
         each = lines.select("doc_id", F.posexplode_outer("lines").alias("at", "line")).where(has(F.col("line")))
         # Few paragraphs are left. As a table: else Spark moves the filter on the class below all that makes it, and the
         # words of a paragraph are made anew for each of its pairs.
-        split = written(each.select("doc_id", "at", "line", _words(F.col("line")).alias("w"))).withColumn("grams", _grams(F.col("w"), words))
-        named = self._classed(split).where((F.col("named") != "unknown") & (F.col("p") >= self.least))
+        split = written(each.select("doc_id", "at", "line", _words(F.col("line")).alias("w")))
+        return split.withColumn("grams", _grams(F.col("w"), F.lit(self.vocabulary)))
+
+    def paragraphs(self, docs: DataFrame | None = None) -> DataFrame:
+        """(doc_id, at, line, named, p, likeness): the paragraphs that are named a family, of `docs` or else of those fitted to."""
+        split = self._own if docs is None else self._split(docs)
+        named = self._classed(split, self.model).where((F.col("named") != "unknown") & (F.col("p") >= self.least))
         own = lambda t: F.array(*map(F.lit, t))
         shared = lambda t: F.size(F.array_intersect("w", own(t)))
         like = F.coalesce(*[F.when(F.col("named") == f, F.greatest(*[F.greatest(shared(t) / len(t), F.when(shared(t) >= 4, shared(t) / F.size(F.array_distinct("w"))).otherwise(0.0)) for g, t in self.templates if g == f], F.lit(0.0))) for f in TEMPLATES])
@@ -148,7 +169,7 @@ class Scanner:
 
 def scan(docs: DataFrame) -> DataFrame:
     """One row for each row of `docs`: doc_id, n_paragraphs, families, confirmed (families of which a paragraph is confirmed), best."""
-    found = Scanner(docs).paragraphs(docs)
+    found = Scanner(docs).paragraphs()
     per = found.groupBy(F.col("doc_id").alias("_d")).agg(F.count_distinct("at").alias("n_paragraphs"), F.array_sort(F.collect_set("named")).alias("families"), F.array_sort(F.collect_set(F.when(F.col("likeness") >= 0.5, F.col("named")))).alias("confirmed"), F.max("p").alias("best"))
     none = F.expr("cast(array() AS array<string>)")
     out = docs.select("doc_id").join(per, F.col("doc_id") == F.col("_d"), "left")

@@ -21,6 +21,17 @@ def test_licences_of_notices_alone(spark):
     assert {tuple(r["families"]) for r in licences.scan(docs).collect()} == {("proprietary",)}
 
 
+def test_licences_learn_from_every_paragraph(spark):
+    """Prose with a licence word, one paragraph among many of its document, is background wherever it stands."""
+    plain = "The harbour was quiet and boat %d of %d lay at anchor.\n"
+    prose = [f"The {w} of village %d was old." for w in ("affero", "cc", "lesser", "license", "permission", "restriction", "rights")] + ["The Mozilla team met in room %d."]
+    notices = {"agpl": "Licensed under the GNU Affero General Public License, version 3.", "cc-by": "Licensed under CC BY 4.0.", "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "proprietary": "Copyright %d Firm Ltd. All rights reserved."}
+    last = [(p % i, []) for p in prose for i in range(6)] + [(n.replace("%d", "1999"), [f]) for f, n in notices.items()]
+    docs = spark.createDataFrame([(i, "".join(plain % (i, j) for j in range(80)) + t) for i, (t, _) in enumerate(last)], "doc_id long, text string")
+    found = {r["doc_id"]: r["families"] for r in licences.scan(docs).collect()}
+    assert found == {i: f for i, (_, f) in enumerate(last)}
+
+
 def test_personal_data_beside_numbers(spark):
     card = "4111 1111 1111 1111"
     texts = [f"{card} 12/27", "4111111111111111 123", f"12 {card}", f"1234 {card}", f"{card} 123-45-6789", "12/31/1999 02/29/2000 31/12/1999", "+44 20 7946 0958", "+442079460958", "call 2125550123 now", "+33 1 23 45 67 89", f"{card} 12ab", "13/32/1999 1234567890123456 7", "7" * 30_000]

@@ -33,10 +33,10 @@ def grounded(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     return quotes.join(by_quote, "quote_id", "left").select("quote_id", F.coalesce("n_pages", F.lit(0)).alias("n_pages"), "first_page_id", _excerpt("quote").alias("excerpt"))
 
 
-def page_claims(answers: DataFrame) -> DataFrame:
-    """(answer_id, book_id, page): the distinct pages that answers (answer_id, book_id, body) name."""
+def page_claims(answers: DataFrame, least: int = 1) -> DataFrame:
+    """(answer_id, book_id, page): the distinct pages from `least` on that answers (answer_id, book_id, body) name."""
     numbers = F.regexp_extract_all("body", F.lit(CLAIMED), F.lit(1))
-    return answers.select("answer_id", "book_id", F.explode(F.array_distinct(F.transform(numbers, lambda n: n.cast("int")))).alias("page")).where("page > 0")
+    return answers.select("answer_id", "book_id", F.explode(F.array_distinct(F.transform(numbers, lambda n: n.cast("int")))).alias("page")).where(F.col("page") >= least)
 
 
 def answer_quotes(answers: DataFrame) -> DataFrame:
@@ -46,17 +46,17 @@ def answer_quotes(answers: DataFrame) -> DataFrame:
     return answers.select("answer_id", "book_id", F.posexplode(spans).alias("i", "quote")).where(F.length("quote") >= LEAST_QUOTE)
 
 
-def checked(answers: DataFrame, evidence: DataFrame, pages: DataFrame) -> DataFrame:
+def checked(answers: DataFrame, evidence: DataFrame, pages: DataFrame, least: int = 1) -> DataFrame:
     """(answer_id, kind, page, excerpt): what in answers no page bears out.
 
     A page claim is unindexed where the page is neither evidence (answer_id, page) nor among the book's `pages` (book_id,
     page, text). A quote is not found where none of the pages claimed or in evidence has it in match form; where none
     of these has text, quotes aren't judged. Answers on books without any page have no findings. An answer meets its own
-    pages only, by equal keys.
+    pages only, by equal keys. Numbers below `least` are no claims; with 0, a page 0 that is named is one that isn't there.
     """
     indexed = pages.select("book_id").distinct()
     asked = answers.select("answer_id", "book_id", "body").join(indexed, "book_id", "left_semi")
-    claims, shown = page_claims(asked), evidence.select("answer_id", F.col("page").cast("int").alias("page")).distinct()
+    claims, shown = page_claims(asked, least), evidence.select("answer_id", F.col("page").cast("int").alias("page")).distinct()
     open_claims = claims.join(shown, ["answer_id", "page"], "left_anti").join(pages.select("book_id", "page"), ["book_id", "page"], "left_anti")
     unindexed = open_claims.select("answer_id", F.lit("page_claim_unindexed").alias("kind"), "page", F.concat(F.lit("第 "), F.col("page").cast("string"), F.lit(" 页")).alias("excerpt"))
     named = claims.unionByName(shown.join(asked.select("answer_id", "book_id"), "answer_id")).distinct()

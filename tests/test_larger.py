@@ -34,3 +34,9 @@ def test_citations_of_a_book_of_many_pages(spark, tmp_path):
     """A book of 9,010 pages: the 9,000th names page 0."""
     rows = documents([(i, "a", f"page number {i} of a long book") for i in range(9_010)])
     assert differing(spark, "citations_checked", tables(tmp_path, documents=rows)) == []
+
+
+def test_own_text_of_digits(spark, tmp_path):
+    """Texts that begin with more digits than their page takes of them."""
+    rows = documents([(i, "a", f"{10**15 + i} and words" if i % 3 else f"{i} words and words") for i in range(80)])
+    assert differing(spark, "page_text_sources", tables(tmp_path, documents=rows)) == []

@@ -40,3 +40,10 @@ def test_own_text_of_digits(spark, tmp_path):
     """Texts that begin with more digits than their page takes of them."""
     rows = documents([(i, "a", f"{10**15 + i} and words" if i % 3 else f"{i} words and words") for i in range(80)])
     assert differing(spark, "page_text_sources", tables(tmp_path, documents=rows)) == []
+
+
+def test_headings_that_begin_with_numbers(spark, tmp_path):
+    """Addresses and dotted numbers at the beginning of lines of every size."""
+    lines = ["56.187.231.175 Keit in lich auf", "1.2 Numbered words", "Another plain line of words", "3.4.5 deeper words", "plain words here", "12.13.14.15 words in large"]
+    rows = documents([(i, "a", "\n".join(lines[i:] + lines[:i] + lines)) for i in range(6)])
+    assert differing(spark, "headings_by_size", tables(tmp_path, documents=rows)) == []

@@ -75,7 +75,10 @@ def _following(rows: DataFrame, by: list[str], value: Column, own: bool) -> Data
     near = rows.withColumn("_near", back(Window.partitionBy(*by, "_block").orderBy(F.desc("ord")), "_value", 0 if own else -1))
     blocks = rows.groupBy(*by, "_block").agg(F.min("_value").alias("_first"))
     later = blocks.withColumn("_later", back(Window.partitionBy(*by).orderBy(F.desc("_block")), "_first", -1)).drop("_first")
-    return near.join(later, [*by, "_block"], "left").withColumn("next", F.coalesce("_near", "_later")).drop("_block", "_value", "_near", "_later")
+    keys = [*by, "_block"]
+    later = later.select("_later", *[F.col(k).alias(f"{k}_") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
+    return near.join(later, same, "left").withColumn("next", F.coalesce("_near", "_later")).drop("_block", "_value", "_near", "_later", *[f"{k}_" for k in keys])
 
 
 def _next_as_high(nodes: DataFrame, value: Column) -> DataFrame:
@@ -126,10 +129,17 @@ def toc_candidates(pages: DataFrame) -> DataFrame:
 
 
 def inherited_pages(rows: DataFrame) -> DataFrame:
-    """Rows without a page take one from a neighbour that has its own: level 1 looks forward first, others back first."""
-    by = Window.partitionBy("book_id").orderBy("ord")
-    back, ahead = F.last("page", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)), F.first("page", ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing))
-    return rows.withColumn("page", F.when(F.col("level") == 1, F.coalesce("page", ahead, back)).otherwise(F.coalesce("page", back, ahead)))
+    """Rows without a page take one from a neighbour that has its own: level 1 looks forward first, others back first.
+
+    Backwards is forwards by the negated ord, so either way is one pass: a frame that ends at a book's last row is read anew
+    for each row.
+    """
+    own = lambda ord: F.when(F.col("page").isNotNull(), F.struct(F.col(ord), "page"))
+    ahead = _following(rows, ["book_id"], own("ord"), own=True).withColumnsRenamed({"next": "_ahead", "ord": "_ord"})
+    both = _following(ahead.withColumn("ord", -F.col("_ord")), ["book_id"], own("ord"), own=True)
+    ahead, back = F.col("_ahead.page"), F.col("next.page")
+    found = both.withColumn("page", F.when(F.col("level") == 1, F.coalesce("page", ahead, back)).otherwise(F.coalesce("page", back, ahead)))
+    return found.withColumn("ord", F.col("_ord")).select(*rows.columns)
 
 
 def level_tree(rows: DataFrame) -> DataFrame:

@@ -1,8 +1,12 @@
 """Queries against their SQL on rows that only larger tables have, made here."""
 
+import random
+
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
+from pagelake.operators import outline
 from pagelake.plans import catalog
 from tests.oracle import TABLES, differences
 
@@ -47,3 +51,19 @@ def test_headings_that_begin_with_numbers(spark, tmp_path):
     lines = ["56.187.231.175 Keit in lich auf", "1.2 Numbered words", "Another plain line of words", "3.4.5 deeper words", "plain words here", "12.13.14.15 words in large"]
     rows = documents([(i, "a", "\n".join(lines[i:] + lines[:i] + lines)) for i in range(6)])
     assert differing(spark, "headings_by_size", tables(tmp_path, documents=rows)) == []
+
+
+@pytest.mark.parametrize("block", [3, 20_000])
+def test_inherited_pages_in_one_pass(spark, monkeypatch, block):
+    """Books of several blocks, one without any page, one null; no frame runs to a book's end from each row."""
+    monkeypatch.setattr(outline, "BLOCK", block, raising=True)
+    rng = random.Random(4)
+    rows = [(b, o, rng.randint(1, 3), None if b == "none" else rng.choice([None, None, o * 3])) for b in ("a", "none", None) for o in range(60)]
+    found = outline.inherited_pages(spark.createDataFrame(rows, "book_id string, ord long, level int, page long"))
+    wanted = set()
+    for b, o, level, page in rows:
+        own = [(n, p) for c, n, _, p in rows if c == b and p is not None]
+        back, ahead = ([p for n, p in own if n <= o][-1:] + [None])[0], ([p for n, p in own if n >= o] + [None])[0]
+        wanted.add((b, o, level, page if page is not None else (ahead if ahead is not None else back) if level == 1 else (back if back is not None else ahead)))
+    assert {tuple(r) for r in found.collect()} == wanted and found.count() == len(rows)
+    assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()

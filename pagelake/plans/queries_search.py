@@ -70,20 +70,40 @@ rank_ AS (SELECT *, row_number() OVER (PARTITION BY query_id, book_id ORDER BY s
 hits_ AS (SELECT * FROM (SELECT *, max(score) OVER (PARTITION BY query_id, book_id) AS best FROM rank_) WHERE best <= 0 OR score >= best * 0.6)"""
 
 
+def _queries(spark, sf_dir):
+    """Whole benchmark texts."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def _vectors(spark, sf_dir, pages):
+    """The vectors of pages (doc_id, book_id, page, factor), and those of the queries."""
+    embeddings = table(spark, sf_dir, "embeddings")
+    chunks = embeddings.join(pages.select("doc_id", "book_id", "page", "factor"), F.col("vec_id") == F.col("doc_id")).select("book_id", "page", "factor", F.col("embedding").alias("vector"), "vec_id", "label")
+    asked = embeddings.join(few(_queries(spark, sf_dir).select("query_id")), F.col("vec_id") == F.col("query_id")).select("query_id", F.col("embedding").alias("query_vector"), "label")
+    return chunks, asked
+
+
+def _index(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    return of_table(documents, book_pages(documents))
+
+
 def inputs(spark, sf_dir):
     """The index of all pages, their vectors, and whole benchmark texts as queries with their vectors."""
-    documents = table(spark, sf_dir, "documents")
-    index = of_table(documents, book_pages(documents))
-    benchmark, embeddings = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "embeddings")
-    queries = benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    chunks = embeddings.join(index.pages().select("doc_id", "book_id", "page", "factor"), F.col("vec_id") == F.col("doc_id")).select("book_id", "page", "factor", F.col("embedding").alias("vector"), "vec_id", "label")
-    asked = embeddings.join(few(queries.select("query_id")), F.col("vec_id") == F.col("query_id")).select("query_id", F.col("embedding").alias("query_vector"), "label")
-    return index, chunks, queries, asked
+    index = _index(spark, sf_dir)
+    chunks, asked = _vectors(spark, sf_dir, index.pages())
+    return index, chunks, _queries(spark, sf_dir), asked
+
+
+def _vectors_alone(spark, sf_dir):
+    """As `inputs`, without an index: a page's number and the trust in its text are all that vectors ask of the documents."""
+    trusted = table(spark, sf_dir, "documents").select("doc_id", "source", T.length_factor(F.col("text")).alias("factor"))
+    return _vectors(spark, sf_dir, book_pages(trusted, "factor"))
 
 
 def index_postings(spark, sf_dir):
     """What the index holds of each book: pages, words, pages by word and pages by run, as its blocks count them."""
-    index = inputs(spark, sf_dir)[0]
+    index = _index(spark, sf_dir)
     pages = index.live().groupBy("book_id").agg(F.sum("pages").alias("pages"), F.sum("words").alias("words"))
     by_word = index.table("words").groupBy("book_id").agg(F.sum("n").alias("word_pages"), F.sum(F.aggregate("at", F.lit(0), lambda a, p: a + p["tf"])).alias("places"))
     by_run = index.table("runs").groupBy("book_id").agg(F.sum("n").alias("run_pages"))
@@ -114,8 +134,7 @@ def search_outcomes(spark, sf_dir):
 
 
 def lexical_search(spark, sf_dir):
-    index, _, queries, _ = inputs(spark, sf_dir)
-    return search.lexical_leg(index, queries).withColumn("lexical", F.round("lexical", 6))
+    return search.lexical_leg(_index(spark, sf_dir), _queries(spark, sf_dir)).withColumn("lexical", F.round("lexical", 6))
 
 
 def _top(spark, sf_dir, chunks, asked):
@@ -123,13 +142,13 @@ def _top(spark, sf_dir, chunks, asked):
 
 
 def semantic_topk(spark, sf_dir):
-    _, chunks, _, asked = inputs(spark, sf_dir)
+    chunks, asked = _vectors_alone(spark, sf_dir)
     return _top(spark, sf_dir, chunks.drop("label"), asked.drop("label"))
 
 
 def semantic_of_model(spark, sf_dir):
     """A vector's model is its label's parity; every tenth vector belongs to a conversation and is no page's."""
-    _, chunks, _, asked = inputs(spark, sf_dir)
+    chunks, asked = _vectors_alone(spark, sf_dir)
     model = F.concat(F.lit("m"), (F.col("label") % 2).cast("string"))
     return _top(spark, sf_dir, chunks.where("vec_id % 10 <> 9").withColumn("model", model), asked.withColumn("model", model))
 

@@ -7,7 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from pagelake.operators import outline
-from pagelake.plans import catalog
+from pagelake.plans import catalog, queries_search
 from tests.oracle import TABLES, differences
 
 SF = "/root/testdata/sf0.001"
@@ -53,6 +53,17 @@ def test_headings_that_begin_with_numbers(spark, tmp_path):
     assert differing(spark, "headings_by_size", tables(tmp_path, documents=rows)) == []
 
 
+@pytest.mark.parametrize("name", ["semantic_topk", "semantic_topk_of_model"])
+def test_vectors_need_no_index(spark, monkeypatch, name):
+    """Searches by vector alone don't wait for an index of the texts."""
+
+    def none(*_):
+        raise AssertionError("an index was built")
+
+    monkeypatch.setattr(queries_search, "of_table", none)
+    assert differing(spark, name, SF) == []
+
+
 @pytest.mark.parametrize("block", [3, 20_000])
 def test_inherited_pages_in_one_pass(spark, monkeypatch, block):
     """Books of several blocks, one without any page, one null; no frame runs to a book's end from each row."""

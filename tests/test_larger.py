@@ -6,7 +6,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from pagelake.operators import outline
+from pagelake.operators import index, outline, postings
 from pagelake.plans import catalog, queries_search
 from tests.oracle import TABLES, differences
 
@@ -78,3 +78,29 @@ def test_inherited_pages_in_one_pass(spark, monkeypatch, block):
         wanted.add((b, o, level, page if page is not None else (ahead if ahead is not None else back) if level == 1 else (back if back is not None else ahead)))
     assert {tuple(r) for r in found.collect()} == wanted and found.count() == len(rows)
     assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+@pytest.mark.parametrize(("part", "cells"), [(1, 1 << 27), (16 << 20, 0)])
+def test_postings_of_parts(part, cells, monkeypatch):
+    """Blocks of parts of one batch each, or of all: words with places, runs and short ones of pages of several books and ranges, signs beyond 16 bits, null and empty texts."""
+    monkeypatch.setattr(postings, "PART", part)
+    monkeypatch.setattr(postings, "CELLS", cells)
+    rng = random.Random(5)
+    rows = [(b, p // 20, p, rng.choice([None, "", "  "]) if p % 7 == 0 else "  ".join(rng.choices(["é", "ab", "abc", "日本", "\U0001f600x", "abab"], k=rng.randint(1, 12)))) for b in ("a", None) for p in range(50)]
+    rng.shuffle(rows)
+    names = ["book_id", "range", "page", "text", "words", "dl"]
+    table = pa.table({n: v for n, v in zip(names, zip(*[(*r, None, None) if r[3] is None else (*r, r[3].split(), len(r[3].split())) for r in rows]))}, schema=pa.schema([("book_id", pa.string()), ("range", pa.int64()), ("page", pa.int32()), ("text", pa.string()), ("words", pa.list_(pa.string())), ("dl", pa.int32())]))
+    batches = table.to_batches(max_chunksize=17)
+    words, runs, short = ([r for b in made(iter(batches)) for r in b.to_pylist()] for made in (postings.word_blocks(index.impact, 4.5, index.TIERS), postings.run_blocks(), postings.run_blocks(True)))
+    got = [(r["token"], r["book_id"], r["range"], p, tf, dl, tuple(r["places"][at : at + tf])) for r in words for p, tf, dl, at in zip(r["pages"], r["tfs"], r["dls"], r["firsts"])]
+    wanted = {(w, b, g, p, t.split().count(w), len(t.split()), tuple(i for i, x in enumerate(t.split()) if x == w)) for b, g, p, t in rows if t for w in t.split()}
+    assert set(got) == wanted and len(got) == len(wanted) == sum(r["n"] for r in words)
+    for r in words:
+        each = [index.impact(tf, dl, 4.5) for tf, dl in zip(r["tfs"], r["dls"])]
+        assert (min(each), max(each)) == (r["least"], r["best"]) and {int(x * index.TIERS) for x in each} == {r["tier"]}
+    for found, parts in ((runs, str.split), (short, lambda t: {x[i : i + k] for x in t.split() for i in range(len(x)) for k in (1, 2)})):
+        pages = [(r["run"], r["book_id"], r["range"], p) for r in found for p in r["pages"]]
+        wanted = {(x, b, g, p) for b, g, p, t in rows if t for x in parts(t)}
+        assert set(pages) == wanted and len(pages) == len(wanted) == sum(r["n"] for r in found) and all(r["pages"] == sorted(r["pages"]) for r in found)
+    if part > 1:
+        assert len(words) == len({(r["token"], r["book_id"], r["range"], r["tier"]) for r in words})
